@@ -13,7 +13,6 @@ import zlib
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,7 +98,7 @@ def _packed(items: DataFrame, capacity: int, seed: int) -> DataFrame:
     """Best-fit decreasing in each group. ``seq`` is unique over all groups and rounds; ``open`` marks
     bins to exchange: all with room where the bound is not reached, else the emptiest."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+    def run(part):
         part = part.sort_values(["length", "uid"], ascending=[False, True], ignore_index=True)
         lengths = part["length"].to_numpy()
         bins, offsets, free = best_fit_decreasing(lengths, capacity)
