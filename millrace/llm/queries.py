@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, embedding_dedup, packing, pii, quality, substring_dedup, token_files, toxicity, warc
+from millrace.llm import bpe, embedding_dedup, jaccard_join, packing, pii, quality, substring_dedup, token_files, toxicity, warc
 from millrace.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.group_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.group_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -64,7 +68,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op7_embedding_dedup, op2_bpe, op4_token_files, op5_pii, op6_quality, op8_packing, op9_toxicity, op10_warc)}
+    return {f.__name__: f for f in (op1_substring_dedup, op7_embedding_dedup, op3_jaccard_join, op2_bpe, op4_token_files, op5_pii, op6_quality, op8_packing, op9_toxicity, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
