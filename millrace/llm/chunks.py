@@ -10,10 +10,9 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable
 
-import numpy as np
-
 _CUT = re.compile(r" (?=\S)")
 _LOOSE = re.compile(r" (?!\S)")
 
@@ -27,90 +26,90 @@ class ChunkCache:
     """Maps chunks to encoded values. ``encode(chunks, heads)`` gives the values of both lists; only
     the chunks, which follow a space in their texts, are cached."""
 
-    def __init__(self, encode: Callable[[list[str], list[str]], tuple[list, list]], bound: int = 300_000):
+    def __init__(self, encode: Callable[[list[str], list[str]], tuple[list, list]], bound: int = 400_000):
         self.encode, self.bound, self.young, self.old = encode, bound, {}, {}
 
     def values(self, texts: list[str]) -> list[list]:
         """Per text the list of its chunks' values."""
         if len(self.young) > self.bound:
             self.young, self.old = {}, self.young
-        young, old, parts, missing, heads = self.young, self.old, [], set(), []
+        young, old, rows, heads, holes, missing = self.young, self.old, [], [], [], {}
+        look = young.get
         for text in texts:
             chunks = cut(text)
             heads.append(chunks[0])
-            del chunks[0]
-            parts.append(chunks)
-            missing.update(set(chunks).difference(young))
+            row = list(map(look, chunks))
+            row[0] = b""
+            if None in row:
+                at = [i for i, v in enumerate(row) if v is None]
+                names = [chunks[i] for i in at]
+                missing.update(dict.fromkeys(names))
+                holes.append((row, at, names))
+            rows.append(row)
         if old:
-            kept = missing.intersection(old)
-            young.update((x, old[x]) for x in kept)
-            missing -= kept
+            kept = old.keys() & missing.keys()
+            for x in kept:
+                young[x] = old[x]
+                del missing[x]
         new = list(missing)
         got, first = self.encode(new, heads)
         young.update(zip(new, got))
-        look = young.__getitem__
-        return [[head, *map(look, chunks)] for head, chunks in zip(first, parts)]
+        for row, at, names in holes:
+            for i, x in zip(at, names):
+                row[i] = young[x]
+        for row, head in zip(rows, first):
+            row[0] = head
+        return rows
 
 
 class LibraryEncoder:
     """Ids of whole texts from the tokenizers library, packed as little-endian unsigned 32-bit integers.
 
-    Many chunks are encoded in one call of the library and the ids are dealt back: by the tokens
-    that begin with a space (byte level) or by the tokens that end a word (word level).
+    Chunks of Latin letters, with signs behind them, are one or two words of the library's model,
+    which is asked directly; all others go through the whole tokenizer.
     """
 
     _TAIL = ".,!?;:%*&$#|"
 
-    def __init__(self, path: str, bound: int = 300_000):
+    def __init__(self, path: str, bound: int = 650_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends = np.zeros(len(self.starts), bool)
-        for token, i in vocabulary.items():
-            self.starts[i] = token[:1] == "Ġ"
-            self.ends[i] = token.endswith("</w>")
-        self.by_word = bool(self.ends.any())
+        self.model = self.tokenizer.model
+        self.by_word = any(t.endswith("</w>") for t in self.tokenizer.get_vocab())
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.stand_in = dict(zip([b for b in range(256) if b not in shown], range(256, 512)))
+        self.tails = {"": b""}
         self.cache = ChunkCache(self._encode, bound)
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _words(self, chunk: str) -> int:
-        """Words that a chunk of Latin letters and signs at its end makes; 0 for any other chunk."""
-        base = chunk.rstrip(self._TAIL)
-        if base.isalpha() and (base.isascii() or max(base) <= "ÿ"):
-            return 1 if len(base) == len(chunk) else 2
-        return 0
+    def _word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _encode(self, chunks: list[str], heads: list[str]) -> tuple[list[bytes], list[bytes]]:
         out: dict[str, bytes] = {}
-        plain = [x for x in chunks if x and " " not in x and not any(s in x for s in self.special)]
-        counts = [1] * len(plain)
-        if self.by_word:
-            counts = [self._words(x) for x in plain]
-            plain, counts = [x for x, n in zip(plain, counts) if n], [n for n in counts if n]
-        for i in range(0, len(plain), 5000):
-            some = plain[i : i + 5000]
-            ids = self._ids(" " + " ".join(some))
-            if self.by_word:
-                last = np.flatnonzero(self.ends[ids]) + 1
-                to = last[np.cumsum(counts[i : i + 5000]) - 1]
+        rest, tails, by_word, tokenize = [], self.tails, self.by_word, self.model.tokenize
+        for chunk in chunks:
+            base = chunk.rstrip(self._TAIL)
+            ascii_only = base.isascii()
+            if base.isalpha() and (ascii_only or max(base) <= "ÿ"):
+                tail = chunk[len(base) :]
+                if tail not in tails:
+                    tails[tail] = self._word(tail)
+                if by_word:
+                    base = base.lower()
+                if not ascii_only:
+                    base = base.encode().decode("latin-1").translate(self.stand_in)
+                ids = tokenize(base if by_word else "Ġ" + base)
+                out[chunk] = array("I", [t.id for t in ids]).tobytes() + tails[tail]
             else:
-                to = np.append(np.flatnonzero(self.starts[ids])[1:], len(ids))
-            assert len(to) == len(some)
-            packed, at = ids.tobytes(), 0
-            for x, end in zip(some, (to * 4).tolist()):
-                out[x] = packed[at:end]
-                at = end
-        rest = [x for x in chunks if x not in out]
+                rest.append(chunk)
+        if len(tails) > 10_000:
+            self.tails = {"": b""}
         singly = self.tokenizer.encode_batch_fast([" " + x for x in rest] + heads, add_special_tokens=False)
-        packed = [np.array(e.ids, "<u4").tobytes() for e in singly]
+        packed = [array("I", e.ids).tobytes() for e in singly]
         out.update(zip(rest, packed))
         return [out[x] for x in chunks], packed[len(rest) :]
 

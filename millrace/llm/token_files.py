@@ -69,7 +69,7 @@ def write_token_files(
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.row.index.stride", str(row_group))
         .option("orc.stripe.size", str(stripe_bytes))
-        .option("compression", "zstd")
+        .option("compression", "lz4")
         .orc(path)
     )
     return path
