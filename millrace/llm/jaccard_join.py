@@ -27,6 +27,8 @@ from millrace.llm.shingles import mix, set_hash, shingle_sets
 
 #: Classes whose rows may be broadcast to the texts; beyond, both sides are shuffled.
 BROADCAST_CLASSES = 300_000
+#: Groups up to this size are paired by a join, larger ones block by block.
+GROUP_PAIRS = 24
 _NOBODY = 65_535
 _FP_BITS = 28
 
@@ -181,21 +183,26 @@ def _differ(n: int, high: int, num: int, den: int) -> int:
     return min((den - num) * (n + min(high, n * den // num)) // (den + num), (den - num) * 2 * high // (den + num))
 
 
-def plan_bands(sizes: dict[int, int], num: int, den: int, repeated: float = 0.5) -> list[Band]:
-    """Bands of ratio den/num over all sizes up to the largest, each with the cheaper kind of segments.
+#: Fixed costs: how likely a shingle of one text is to be common, and what a chance agreement costs
+#: against one signature. Neither depends on the input, so that bands look alike at every size.
+COMMON, AGREEMENT = 0.02, 3000
 
-    ``sizes`` has the number of classes by set size. Costs are signatures a set plus the pairs expected to
-    share a segment by chance, if each shingle in it is common with probability ``repeated``.
+
+def plan_bands(largest: int, num: int, den: int) -> list[Band]:
+    """Bands of ratio den/num up to the largest size, each with the cheaper kind of segments.
+
+    Exact segments number a third more than the sets' difference asks for, so that common ones can
+    be left out. The cost is the signatures a set gets, and the chance that a segment, or one
+    without a shingle, is all common.
     """
     bands, low = [], 1
-    largest = max(sizes, default=0)
     while low <= largest:
         high = max(low, (low * den - 1) // num)
         d = _differ(high, high, num, den)
         exact, halves = d + 1 + -(-d // 3), d // 2 + 1
-        n = sum(c for s, c in sizes.items() if low * num <= s * den and s <= high)
-        chance = lambda m: m * n * repeated ** max(high / m, 1)  # noqa: B023, E731
-        bands.append(Band(low, high, halves, True) if halves * (1 + high / halves) + chance(halves) < exact + chance(exact) else Band(low, high, exact, False))
+        cost = exact + AGREEMENT * (d + 1) * COMMON ** (high / exact)
+        near = halves + high + AGREEMENT * (halves + high) * COMMON ** max(high / halves - 1, 0)
+        bands.append(Band(low, high, halves, True) if near < cost else Band(low, high, exact, False))
         low = high + 1
     return bands
 
@@ -302,9 +309,7 @@ def group_documents(
     sets = materialize(fetched, "sets")
     if sets.count() > classes.count():  # rows that are repeated whole
         sets = sets.dropDuplicates(["cid"])
-    counted = {r["n"]: r["count"] for r in classes.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().collect()}  # at most 100,000 sizes
-    largest = classes.agg(F.max("n").alias("n")).first()["n"] or 0
-    bands = plan_bands(counted | ({largest: counted.get(largest, 1)} if largest else {}), num, den)
+    bands = plan_bands(classes.agg(F.max("n").alias("n")).first()["n"] or 0, num, den)
     keys = signatures(sets, bands, num, den, words)
     leads = keys.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("last"), F.count("*").alias("held")).where("last > lead").drop("last")
     shared = materialize(keys.join(leads, "key"), "segments")
@@ -331,6 +336,61 @@ def _remaining(shared: DataFrame, found: DataFrame, sets: DataFrame, num: int, d
     listed = rows.groupBy("cid", "band", "spare", "component").agg(F.array_sort(F.collect_set(F.struct((-F.col("held")).alias("held"), "key"))).alias("keys"))
     kept = listed.select("cid", "component", F.explode(F.slice("keys", F.col("spare") + 1, F.greatest(F.size("keys") - F.col("spare"), F.lit(0)))).alias("k"))
     kept = materialize(kept.select("cid", "component", F.col("k.key").alias("key")), "kept")
-    a, b = (kept.select("key", F.col("cid").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
-    pairs = a.join(b, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+    held = kept.groupBy("key").agg(F.count("*").alias("held"))
+    sized = kept.join(held, "key")
+    few = sized.where(F.col("held") <= GROUP_PAIRS)
+    a, b = (few.select("key", F.col("cid").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
+    pairs = a.join(b, "key").where("a < b and ca <> cb").select("a", "b")
+    pairs = pairs.unionAll(_block_pairs(sized.where(F.col("held") > GROUP_PAIRS), sets, num, den, words)).distinct()
     return materialize(verified(pairs, sets, num, den, words), "edges")
+
+
+def _block_pairs(rows: DataFrame, sets: DataFrame, num: int, den: int, words: int, bits: int = 4096, block: int = 4096) -> DataFrame:
+    """Pairs ``(a, b)`` of large groups that may be similar enough.
+
+    Each set is a bitmap of its hashed shingles. Two bitmaps differ in no more bits than the sets
+    do in shingles, so that no linked pair is lost; groups are compared block by block. A pair is
+    given in the smallest of the groups it shares alone.
+    """
+
+    def draw(batches):
+        for batch in batches:
+            found = shingle_sets([t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()], words)
+            maps = np.zeros((len(found), bits), bool)
+            for row, s in zip(maps, found):
+                row[(mix(s) >> np.uint64(40)) % np.uint64(bits)] = True
+            packed = [m.tobytes() for m in np.packbits(maps, axis=1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(packed, pa.binary())], ["cid", "n", "bits"])
+
+    wanted = sets.join(rows.select("cid").distinct(), "cid", "left_semi").select("cid", "text")
+    drawn = wanted.mapInArrow(draw, "cid long, n long, bits binary")
+    blocks = F.ceil(F.col("held") / block).cast("int")
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("cid"), blocks).cast("int")).join(drawn, "cid")
+    rows = rows.join(rows.groupBy("cid").agg(F.collect_set("key").alias("mine")), "cid")
+    tasks = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi")))
+    dealt = rows.withColumn("t", F.explode(tasks)).select("key", "t.lo", "t.hi", "i", "cid", "component", "n", "bits", "mine")
+
+    def compare(key, t):
+        cid, component, n, side = (t.column(c).to_numpy() for c in ("cid", "component", "n", "i"))
+        maps = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(cid), -1)
+        mine = [frozenset(m) for m in t.column("mine").to_pylist()]
+        name, lo, hi = (k.as_py() for k in key)
+        first, second = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        a, b = [], []
+        for at in range(0, len(first), 64):
+            x = first[at : at + 64]
+            differ = np.zeros((len(x), len(second)), np.int64)
+            for w in range(maps.shape[1]):
+                differ += np.bitwise_count(maps[x, w][:, None] ^ maps[second, w][None])
+            small, large = np.minimum(n[x][:, None], n[second][None]), np.maximum(n[x][:, None], n[second][None])
+            near = ((den + num) * differ <= (den - num) * (small + large)) & (small * den >= large * num)
+            near &= component[x][:, None] != component[second][None]
+            near &= (cid[x][:, None] < cid[second][None]) if lo == hi else True
+            i, j = np.nonzero(near)
+            i, j = x[i], second[j]
+            here = np.array([min(mine[p] & mine[q]) == name for p, q in zip(i.tolist(), j.tolist())], bool)
+            a.append(np.minimum(cid[i], cid[j])[here])
+            b.append(np.maximum(cid[i], cid[j])[here])
+        return pa.table({"a": pa.array(np.concatenate([*a, np.zeros(0, np.int64)])), "b": pa.array(np.concatenate([*b, np.zeros(0, np.int64)]))})
+
+    return dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long")
