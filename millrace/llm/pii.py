@@ -25,7 +25,7 @@ BASE = (
 #: words such as those below, in the characters before them, make telephone numbers.
 ADDED = (
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ -]?+[A-Z0-9]{4}){2,7}+(?:[ -]?+[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.8),
-    ("local_phone", r"(?<![A-Za-z0-9+.-])\(?+[0-9]{2,4}\)?+[ -][0-9]{3,4}[ -][0-9]{3,4}(?![A-Za-z0-9.-])", r"[0-9][ -][0-9]", 0.3),
+    ("local_phone", r"(?<![A-Za-z0-9+.-])\(?+[0-9]{2,4}\)?+[ -][0-9]{3,4}[ -][0-9]{3,4}(?![A-Za-z0-9-]|\.[0-9])", r"[0-9][ -][0-9]", 0.3),
 )
 CONTEXT = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|correo)\b",
