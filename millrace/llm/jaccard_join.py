@@ -128,7 +128,7 @@ def _count_chunk(key, t):
     })
 
 
-def shingle_counts(docs: DataFrame, words: int = 5, bucket_shingles: int = 4_000_000) -> DataFrame:
+def shingle_counts(docs: DataFrame, words: int = 5, bucket_shingles: int = 2_000_000) -> DataFrame:
     """``doc_id, n, h1, h2, shared`` of ``docs(doc_id, text)``: set size and hash, and an upper bound of
     the shingles that another row has as well."""
     chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
@@ -151,7 +151,7 @@ def shingle_counts(docs: DataFrame, words: int = 5, bucket_shingles: int = 4_000
                 ids += names[i : i + 500]
                 sets += some
                 held += sum(map(len, some))
-                if held > 4_000_000 or len(sets) > 60_000:
+                if held > 1_500_000 or len(sets) > 60_000:
                     yield flush()
                     k, ids, sets, held = k + 1, [], [], 0
         if sets:

@@ -32,7 +32,7 @@ class _Powers:
     @classmethod
     def upto(cls, n: int) -> None:
         if len(cls.up) < n:
-            n = max(n, 2_000_000)
+            n = max(n, 500_000)
             cls.up = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n - 1, _BASE))])
             cls.down = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n - 1, _INVERSE))])
 
@@ -46,7 +46,7 @@ def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
     start = 0
     while start < len(texts):
         stop, size = start, 0
-        while stop < len(texts) and (stop == start or size + len(texts[stop]) < 1_500_000):
+        while stop < len(texts) and (stop == start or size + len(texts[stop]) < 400_000):
             size += len(texts[stop]) + 1
             stop += 1
         out += _some(texts[start:stop], words)
