@@ -6,9 +6,14 @@ stays narrow and can be reused on later batches.
 
 from __future__ import annotations
 
+import random
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.plans.numbering import numbered, numbered_within
+
 
 def _finite(c: Column) -> Column:
     """NaN and infinity become missing."""
@@ -58,7 +63,7 @@ def add(df: DataFrame, name: str, kind: str, at: int | None = None) -> DataFrame
 
 
 def add_id(df: DataFrame, order: list[str], name: str = "ID") -> DataFrame:
-    return df.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias(name), "*")
+    return numbered(df, order, "__id").select(F.col("__id").alias(name), *df.columns)
 
 
 def center(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -165,8 +170,8 @@ def interquartile_flags(df: DataFrame, column: str, outlier: float = 3.0, extrem
     else:
         places = {"m": [half, min(half + 1, n - 1)], "a": [quarter], "b": [min(half + quarter, n - 1)]}
     wanted = sorted({p for ps in places.values() for p in ps})
-    rows = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v")).orderBy("v")
-    got = {i: r["v"] for i, r in _pick(rows, wanted)}
+    rows = numbered(df.where(F.col(column).isNotNull()).select(F.col(column).alias("v")), ["v"])
+    got = {r["_i"] - 1: r["v"] for r in rows.where(F.col("_i").isin([p + 1 for p in wanted])).collect()}
     q1, q3 = (sum(got[p] for p in places[k]) / len(places[k]) for k in ("a", "b"))
     r, c = q3 - q1, F.col(column)
     far = (c > q3 + extreme * r) | (c < q1 - extreme * r)
@@ -174,19 +179,6 @@ def interquartile_flags(df: DataFrame, column: str, outlier: float = 3.0, extrem
     return df.withColumns({"Outlier": F.coalesce(out, F.lit(False)), "ExtremeValue": F.coalesce(far, F.lit(False))})
 
 
-def _pick(ordered: DataFrame, places: list[int]):
-    """The rows at 0-based places of an ordered frame, found through the sizes of its partitions."""
-    held = ordered.withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id() % (1 << 33))
-    sizes = dict(held.groupBy("p").count().orderBy("p").collect())
-    found, base = [], 0
-    for p in sorted(sizes):
-        inside = [x for x in places if base <= x < base + sizes[p]]
-        if inside:
-            found += [(base + r["i"], r) for r in held.where((F.col("p") == p) & F.col("i").isin([x - base for x in inside])).collect()]
-        base += sizes[p]
-    return found
-
-
 def relaggs(df: DataFrame, key: str, numbers: list[str], nominals: dict[str, list[str]], relation: str, limit: int = 20) -> DataFrame:
     """Aggregates of a bag's members by ``key``; a lone value has an infinite deviation."""
     made = []
@@ -203,6 +195,8 @@ def relaggs(df: DataFrame, key: str, numbers: list[str], nominals: dict[str, lis
 def time_series_delta(df: DataFrame, columns: list[str], order: list[str], lag: int = -1, by: list[str] = (), translate: bool = False, fill: bool = True) -> DataFrame:
     """``x[t] - x[t + lag]`` under the name ``x d-1``, or ``x[t + lag]`` in place of ``x``; rows without
     a partner stay with missing cells, or go if not ``fill``."""
+    if not by:
+        return _shifted(df, columns, order, lag, translate, fill)
     w = Window.partitionBy(*by).orderBy(*order)
     other = lambda c: F.lag(c, -lag).over(w) if lag < 0 else F.lead(c, lag).over(w)
     held = df.withColumn("_partner", other(F.lit(1)))
@@ -213,7 +207,115 @@ def time_series_delta(df: DataFrame, columns: list[str], order: list[str], lag:
     return held.select(names)
 
 
+def _shifted(df: DataFrame, columns: list[str], order: list[str], lag: int, translate: bool, fill: bool) -> DataFrame:
+    """The same over the whole table, by a join of row numbers."""
+    rows = numbered(df, order)
+    other = rows.select((F.col("_i") - lag).alias("_i"), *[F.col(c).alias(f"_{c}") for c in columns])
+    held = rows.join(other, "_i", "left" if fill else "inner")
+    made = lambda c: F.col(f"_{c}").alias(c) if translate else (F.col(c) - F.col(f"_{c}")).alias(f"{c} d{lag:+d}")
+    return held.select([made(c) if c in columns else F.col(c) for c in df.columns])
+
+
 def unit_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows scaled to length 1; a missing cell or zero length makes all the row's cells missing."""
     n = F.sqrt(sum((F.col(c) * F.col(c) for c in columns), F.lit(0.0)))
     return df.withColumn("_n", n).withColumns({c: F.when(F.col("_n") > 0, F.col(c) / F.col("_n")) for c in columns}).drop("_n")
+
+
+def add_expression(df: DataFrame, expression: str, name: str = "expression") -> DataFrame:
+    """A column from arithmetic over ``a1 .. aN``; ``^`` is power and ``log`` natural. NaN and infinity become missing."""
+    text = re.sub(r"\ba(\d+)\b", lambda m: f"`{df.columns[int(m[1]) - 1]}`", re.sub(r"\blog\b", "ln", expression))
+    while "^" in text:
+        text, n = re.subn(r"(`[^`]*`|[\d.]+|\([^()]*\)|pow\([^()]*\))\s*\^\s*(`[^`]*`|[\d.]+|\([^()]*\))", r"pow(\1, \2)", text, count=1)
+        if not n:
+            raise ValueError(f"cannot read {expression!r}")
+    return df.withColumn(name, _finite(F.expr(text).cast("double")))
+
+
+def numeric_transform(df: DataFrame, columns: list[str], function: str = "abs") -> DataFrame:
+    """A named SQL function of each cell; NaN and infinity become missing."""
+    return df.withColumns({c: _finite(F.expr(f"{function}(CAST(`{c}` AS DOUBLE))")) for c in columns})
+
+
+def change_date_format(df: DataFrame, column: str, pattern: str) -> DataFrame:
+    """Times cut to what the pattern shows."""
+    return df.withColumn(column, F.to_timestamp(F.date_format(column, pattern), pattern))
+
+
+def with_domain(df: DataFrame, column: str, domain: list[str]) -> DataFrame:
+    return df.withColumn(column, F.col(column).alias(column, metadata={"domain": list(domain)}))
+
+
+def domain_of(df: DataFrame, column: str) -> list[str]:
+    """The declared values of a nominal column, or its distinct values in order."""
+    known = (df.schema[column].metadata or {}).get("domain")
+    return known or [r[0] for r in df.where(F.col(column).isNotNull()).select(F.col(column).cast("string")).distinct().orderBy(column).collect()]
+
+
+def add_values(df: DataFrame, column: str, values: list[str], ordered: bool = False) -> DataFrame:
+    found = list(dict.fromkeys([*domain_of(df, column), *values]))
+    return with_domain(df, column, sorted(found) if ordered else found)
+
+
+def swap_values(df: DataFrame, column: str, a: str, b: str) -> DataFrame:
+    """Swaps two values in the domain; rows keep theirs."""
+    return with_domain(df, column, [{a: b, b: a}.get(v, v) for v in domain_of(df, column)])
+
+
+def class_order(df: DataFrame, column: str, descending: bool = True) -> DataFrame:
+    """The domain in order of frequency, equal ones by value."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).count()
+    return with_domain(df, column, [r[0] for r in counts.orderBy(F.desc("count") if descending else "count", column).collect()])
+
+
+def numeric_to_nominal(df: DataFrame, columns: list[str], decimals: int = 6) -> DataFrame:
+    """Numbers as text of at most ``decimals`` places; the domain is in the order of the numbers."""
+    for c in columns:
+        text = F.regexp_replace(F.format_string(f"%.{decimals}f", F.round(F.col(c).cast("double"), decimals)), r"\.?0+$", "")
+        shown = F.when(F.col(c).isNotNull(), text)
+        values = df.select(F.col(c).alias("v"), shown.alias("s")).where("v is not null").groupBy("s").agg(F.min("v").alias("v")).orderBy("v")
+        df = with_domain(df.withColumn(c, shown), c, [r["s"] for r in values.collect()])
+    return df
+
+
+def obfuscate(df: DataFrame) -> DataFrame:
+    """Columns ``A1 ..`` and, for those with a domain, values ``V1 ..``."""
+    made = []
+    for i, f in enumerate(df.schema.fields):
+        domain, c = (f.metadata or {}).get("domain"), F.col(f"`{f.name}`")
+        if domain:
+            c = F.element_at(F.create_map(*[F.lit(x) for j, v in enumerate(domain) for x in (v, f"V{j + 1}")]), c)
+        made.append(c.alias(f"A{i + 1}"))
+    return df.select(made)
+
+
+def random_subset(df: DataFrame, fraction: float, seed: int, protect: str | None = None) -> DataFrame:
+    """``fraction`` (below 1) or that many of the columns, in their order; a protected one comes last."""
+    others = [c for c in df.columns if c != protect]
+    n = int(fraction * len(others) + 0.5) if fraction < 1 else int(fraction)
+    chosen = set(random.Random(seed).sample(others, min(n, len(others))))
+    return df.select([c for c in others if c in chosen] + ([protect] if protect else []))
+
+
+def add_noise(df: DataFrame, column: str, percent: float, seed: int, key: list[str]) -> DataFrame:
+    """Of each value's rows, ``round(p%)`` get another value of the domain; missing cells stay."""
+    domain = domain_of(df, column)
+    if len(domain) < 2:
+        return df
+    draw = F.xxhash64(F.lit(seed), *key)
+    rows = numbered_within(df.withColumn("_h", draw), column, ["_h", *key])
+    counts = df.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n")).where("_v is not null")
+    values = F.array(*[F.lit(v) for v in domain])
+    at = F.array_position(values, F.col(column)) - 1
+    step = F.pmod(F.xxhash64("_h", F.lit(seed)), F.lit(len(domain) - 1)) + 1
+    other = F.get(values, F.pmod(at + step, F.lit(len(domain))).cast("int"))
+    rows = rows.join(counts, F.col(column) == F.col("_v"), "left")
+    return rows.withColumn(column, F.when(F.col("_i") <= F.floor(F.col("_n") * percent / 100 + 0.5), other).otherwise(F.col(column))).select(df.columns)
+
+
+def supervised_to_binary(df: DataFrame, column: str, target: str) -> DataFrame:
+    """Columns that say whether the value's rank by mean ``target`` exceeds k, for k from 1 to one less than the values."""
+    means = df.where(F.col(column).isNotNull() & F.col(target).isNotNull()).groupBy(column).agg(F.avg(target).alias("m")).orderBy("m", column).collect()
+    ranked = [r[column] for r in means]
+    made = [F.when(F.col(column).isNotNull(), F.col(column).isin(ranked[k:]).cast("double")).alias(f"{column}={','.join(map(str, ranked[k:]))}") for k in range(1, len(ranked))]
+    return df.select(*[c for c in df.columns if c != column], *made)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.predicates import compile_predicate
+from millrace.plans.numbering import numbered, numbered_within
 
 
 def subset_by_expression(df: DataFrame, expression: str, class_column: str | None = None) -> DataFrame:
@@ -28,25 +29,21 @@ def keep_frequent_values(df: DataFrame, column: str, n: int, least: bool = False
     return df.join(top, column, "left_semi").select(df.columns)
 
 
-def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    return df.withColumn("_i", F.row_number().over(Window.orderBy(*order)))
-
-
 def remove_range(df: DataFrame, first: int, last: int, order: list[str], invert: bool = False) -> DataFrame:
     inside = F.col("_i").between(first, last)
-    return _numbered(df, order).where(inside if invert else ~inside).drop("_i")
+    return numbered(df, order).where(inside if invert else ~inside).drop("_i")
 
 
 def remove_percentage(df: DataFrame, percent: float, order: list[str], invert: bool = False) -> DataFrame:
     cut = int(df.count() * percent / 100 + 0.5)
-    return _numbered(df, order).where((F.col("_i") <= cut) == F.lit(invert)).drop("_i")
+    return numbered(df, order).where((F.col("_i") <= cut) == F.lit(invert)).drop("_i")
 
 
 def fold(df: DataFrame, k: int, n: int, order: list[str], by: str | None = None, invert: bool = False) -> DataFrame:
     """Fold ``k`` of ``n`` by order; within each class of ``by`` where given."""
-    w = Window.orderBy(*order) if by is None else Window.partitionBy(by).orderBy(*order)
-    inside = (F.row_number().over(w) - 1) % n == k - 1
-    return df.withColumn("_in", inside).where(~F.col("_in") if invert else F.col("_in")).drop("_in")
+    rows = numbered(df, order) if by is None else numbered_within(df, by, order)
+    inside = (F.col("_i") - 1) % n == k - 1
+    return rows.where(~inside if invert else inside).drop("_i")
 
 
 def resample(df: DataFrame, percent: float, seed: int, key: list[str]) -> DataFrame:
@@ -59,4 +56,27 @@ def spread_subsample(df: DataFrame, by: str, spread: float, order: list[str]) ->
     if not spread:
         return df
     least = df.where(F.col(by).isNotNull()).groupBy(by).count().agg(F.min("count")).first()[0] or 0
-    return df.withColumn("_i", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_i") <= int(least * spread)).drop("_i")
+    return numbered_within(df, by, order).where(F.col("_i") <= int(least * spread)).drop("_i")
+
+
+def randomize(df: DataFrame, seed: int) -> DataFrame:
+    """All rows in a random order."""
+    return df.orderBy(F.rand(seed))
+
+
+def reservoir_sample(df: DataFrame, k: int, seed: int) -> DataFrame:
+    """``k`` rows, or all of fewer: each task keeps ``k`` in a heap, and one merges the heaps."""
+    return df.orderBy(F.rand(seed)).limit(k)
+
+
+def train_test_split(df: DataFrame, percent: float, seed: int, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The first ``round(n * p / 100)`` rows by hash of ``key``, and the rest."""
+    rows = numbered(df, [F.xxhash64(F.lit(seed), *key), *key])
+    cut = int(df.count() * percent / 100 + 0.5)
+    return rows.where(F.col("_i") <= cut).drop("_i"), rows.where(F.col("_i") > cut).drop("_i")
+
+
+def zip_rows(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str]) -> DataFrame:
+    """Rows side by side by their places; rows without a partner go. A shared name is kept from ``a``."""
+    right = numbered(b, order_b).select("_i", *[c for c in b.columns if c not in a.columns])
+    return numbered(a, order_a).join(right, "_i").drop("_i")

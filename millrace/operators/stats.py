@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.plans.numbering import running
+
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column its rows, missing cells, distinct values and values that occur once."""
@@ -56,13 +58,12 @@ def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 def threshold_curve(df: DataFrame, score: str, positive: str) -> DataFrame:
     """One row a distinct score with the counts of a rule ``score >= threshold``.
 
-    Scores are first aggregated; prefix sums then run over the distinct scores alone.
+    Scores are first aggregated; prefix sums in two levels then run over the distinct scores alone.
     """
     points = df.where(F.col(score).isNotNull() & F.col(positive).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
         F.sum(F.when(F.col(positive), 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(positive), 0).otherwise(1)).alias("q")
     )
-    down = Window.orderBy(F.desc("threshold"))
-    run = points.select("threshold", F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"))
+    run = running(points, [F.desc("threshold")], {"tp": "p", "fp": "q"}).drop("p", "q")
     ends = points.agg(F.sum("p").alias("pos"), F.sum("q").alias("neg")).first()
     return run.select(
         "threshold", "tp", "fp", (F.lit(ends["pos"]) - F.col("tp")).alias("fn"), (F.lit(ends["neg"]) - F.col("fp")).alias("tn"),
