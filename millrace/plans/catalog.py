@@ -190,3 +190,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: s for k, (_, s) in _ALL.items() if s}
+
+
+from millrace.plans import mining_queries  # noqa: E402, F401  registers its queries

@@ -1,0 +1,187 @@
+"""Operators without SQL against brute force on small tables, and edge cases."""
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.operators import columns as C
+from millrace.operators import discretize, evaluation, models, reshape, rows
+from millrace.plans import experiment, numbering
+from millrace.sources import formats, generators
+
+
+def test_numbers_and_running_sums_over_many_partitions(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 5).alias("v")).repartition(7)
+    got = numbering.numbered(df, ["k"]).orderBy("k").collect()
+    assert [r["_i"] for r in got] == list(range(1, 1001))
+    total, want = 0, []
+    for r in got:
+        total += r["v"]
+        want.append(total)
+    assert [r["s"] for r in numbering.running(df, ["k"], {"s": "v"}).orderBy("k").collect()] == want
+    assert numbering.numbered(df.limit(0), ["k"]).count() == 0
+
+
+def test_numbers_within_missing_values_too(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else "a" if i % 3 == 1 else "b") for i in range(30)], "k int, c string")
+    got = numbering.numbered_within(df, "c", ["k"]).collect()
+    assert {(r["c"], r["_i"]) for r in got} == {(c, i) for c in (None, "a", "b") for i in range(1, 11)}
+
+
+def plain_frequency_cuts(values, bins):
+    ordered = sorted(values)
+    edges = [((a + b) / 2, i + 1) for i, (a, b) in enumerate(zip(ordered, ordered[1:])) if a < b]
+    cuts, start, before = [], 0, None
+    for cut, upto in edges:
+        if len(cuts) == bins - 1:
+            break
+        goal = start + (len(ordered) - start) / (bins - len(cuts))
+        if upto < goal:
+            before = (cut, upto)
+        elif before and goal - before[1] < upto - goal:
+            cuts.append(before[0])
+            start, before = before[1], (cut, upto)
+        else:
+            cuts.append(cut)
+            start, before = upto, None
+    return cuts
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_frequency_cuts(spark, seed):
+    r = random.Random(seed)
+    values = [float(r.choice([1, 1, 1, 2, 3, 5, 8, 13, 21, r.randint(0, 40)])) for _ in range(200)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    assert discretize.frequency_cuts(df, "v", 6) == plain_frequency_cuts(values, 6)
+    even = spark.range(100).select(F.col("id").cast("double").alias("v"))
+    assert discretize.frequency_cuts(even, "v", 4) == [24.5, 49.5, 74.5]
+    assert {r["count"] for r in discretize.root_frequency_bins(even, "v").groupBy("v").count().collect()} == {10}
+    assert discretize.frequency_cuts(df.limit(0), "v", 4) == []
+
+
+def plain_entropy_cuts(pairs):
+    def h(ps):
+        return -sum(ps.count(c) / len(ps) * math.log2(ps.count(c) / len(ps)) for c in set(ps))
+
+    values = sorted({v for v, _ in pairs})
+    best = None
+    for a, b in zip(values, values[1:]):
+        left, right = [c for v, c in pairs if v <= a], [c for v, c in pairs if v > a]
+        e = (len(left) * h(left) + len(right) * h(right)) / len(pairs)
+        if best is None or e < best[0] - 1e-12:
+            best = (e, (a + b) / 2, left, right)
+    if best is None:
+        return []
+    e, cut, left, right = best
+    whole = [c for _, c in pairs]
+    k, k1, k2 = len(set(whole)), len(set(left)), len(set(right))
+    price = (math.log2(len(values) - 1) + math.log2(3**k - 2) - (k * h(whole) - k1 * h(left) - k2 * h(right))) / len(pairs)
+    if h(whole) - e <= price:
+        return []
+    return sorted([*plain_entropy_cuts([p for p in pairs if p[0] <= cut]), cut, *plain_entropy_cuts([p for p in pairs if p[0] > cut])])
+
+
+def test_entropy_cuts(spark):
+    r = random.Random(5)
+    pairs = [(float(v), "a" if v < 20 or 50 <= v < 70 else "b" if v < 90 else "c") for v in (r.randint(0, 120) for _ in range(400))]
+    pairs = [(v, r.choice("abc") if r.random() < 0.05 else c) for v, c in pairs]
+    df = spark.createDataFrame([*pairs, (None, "a"), (3.0, None)], "v double, c string")
+    want = plain_entropy_cuts(pairs)
+    assert len(want) >= 3
+    assert discretize.entropy_cuts(df, "v", "c") == want
+    assert discretize.entropy_cuts(df.withColumn("c", F.lit("a")), "v", "c") == []
+
+
+def test_one_rule_and_missing_cells(spark):
+    df = spark.createDataFrame([("x", "p", "yes"), ("x", "q", "yes"), ("y", "p", "no"), (None, "q", "no"), ("y", "q", "no")], "a string, b string, c string")
+    chosen, apply = models.one_rule(df, ["b", "a"], "c")
+    assert chosen == "a"
+    unseen = spark.createDataFrame([("x", "p"), (None, "p"), ("new", "p")], "a string, b string")
+    assert {r["a"]: r["prediction"] for r in apply(unseen).collect()} == {"x": "yes", None: "no", "new": "no"}
+
+
+def test_hyper_pipes_and_line_fit(spark):
+    df = spark.createDataFrame([(1.0, 5.0, "u"), (2.0, 7.0, "u"), (8.0, 19.0, "v"), (9.0, 21.0, "v")], "x double, y double, c string")
+    assert [r["prediction"] for r in models.hyper_pipes(df, ["x", "y"], "c")(df).orderBy("x").collect()] == ["u", "u", "v", "v"]
+    name, slope, intercept = models.line_fit(df, ["x"], "y")
+    assert name == "x" and slope == pytest.approx(2) and intercept == pytest.approx(3)
+
+
+def test_farthest_first(spark):
+    df = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, 10.0), (3, 5.0), (4, None)], "k int, x double")
+    assert [c["k"] for c in models.farthest_first(df, "k", ["x"], 3)] == [0, 2, 3]
+    assert len(models.farthest_first(df.limit(1), "k", ["x"], 3)) == 1
+
+
+def test_paired_test_against_known_tails(spark):
+    assert evaluation._tail(2.228, 10) == pytest.approx(0.05, abs=1e-4)
+    assert evaluation._tail(0.0, 5) == 1.0
+    assert evaluation._tail(1.0, 1) == pytest.approx(0.5)
+    df = spark.createDataFrame([(i, s, v) for i, (a, b) in enumerate([(1, 2), (2, 4), (3, 4)]) for s, v in (("a", float(a)), ("b", float(b)))], "k int, s string, v double")
+    r = evaluation.paired_test(df, ["k"], "s", "v", "a").first()
+    assert r["n"] == 3 and r["mean_difference"] == pytest.approx(4 / 3) and r["t"] == pytest.approx(4.0)
+    assert evaluation.paired_test(df, ["k"], "s", "v", "a", 1 / 3).first()["t"] == pytest.approx(4 / math.sqrt(2))
+
+
+def test_wavelet_keeps_length_and_pads(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0, 5.0, None)], "a double, b double, c double, d double, e double, f double")
+    r = reshape.wavelet(df, df.columns).first()
+    assert len(r) == 8 and sum(x * x for x in r) == pytest.approx(55.0)
+    assert r["wavelet_0"] == pytest.approx(15 / math.sqrt(8))
+
+
+def test_domains(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "c string")
+    assert C.domain_of(C.class_order(df, "c"), "c") == ["b", "a"]
+    assert C.domain_of(C.swap_values(df, "c", "a", "b"), "c") == ["b", "a"]
+    assert C.domain_of(C.add_values(df, "c", ["0", "b"], ordered=True), "c") == ["0", "a", "b"]
+    assert [r["A1"] for r in C.obfuscate(C.class_order(df, "c")).collect()] == ["V2", "V1", "V1", None]
+    nominal = C.numeric_to_nominal(spark.createDataFrame([(1.5,), (10.0,), (2.0,), (None,)], "x double"), ["x"])
+    assert C.domain_of(nominal, "x") == ["1.5", "2", "10"]
+
+
+def test_cross_validation_keeps_finished_results(spark):
+    df = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(30)], "k int, c string")
+    schemes = {"zero": lambda train: models.zero_rule(train, "c")}
+    first = experiment.cross_validate(df, schemes, "c", ["k"], folds=3)
+    assert [r["n"] for r in first.collect()] == [10, 10, 10] and sum(r["correct"] for r in first.collect()) == 20
+    kept = first.where("fold < 2").withColumn("correct", F.lit(-1).cast("long"))
+    again = experiment.cross_validate(df, schemes, "c", ["k"], folds=3, done=kept)
+    assert sorted(r["correct"] for r in again.collect())[:2] == [-1, -1] and again.count() == 3
+
+
+def test_split_has_every_row_once(spark):
+    df = spark.range(101).withColumnRenamed("id", "k")
+    train, test = rows.train_test_split(df, 50, 1, ["k"])
+    assert train.count() == 51 and train.intersect(test).count() == 0 and train.union(test).distinct().count() == 101
+
+
+def test_generators_repeat(spark):
+    a, b = (generators.gaussian_clusters(spark, 50, 3, 2, seed=4).collect() for _ in "ab")
+    assert a == b and {r["cluster"] for r in a} == {0, 1, 2}
+    y = generators.mexican_hat(spark, 20).collect()
+    assert all(r["y"] == pytest.approx(math.sin(abs(r["x"])) / abs(r["x"])) for r in y)
+
+
+def test_formats(spark, tmp_path):
+    (tmp_path / "a.names").write_text("yes, no.\n| a comment\nage: continuous.\nid: ignore.\ncolour: red, blue.\n")
+    (tmp_path / "a.data").write_text("31, 1, red, yes.\n?, 2, blue, no.\n")
+    got = formats.read_names(spark, str(tmp_path / "a.names"), str(tmp_path / "a.data"))
+    assert got.columns == ["age", "colour", "class"]
+    assert [tuple(r) for r in got.collect()] == [(31.0, "red", "yes"), (None, "blue", "no")]
+    (tmp_path / "a.data").write_text("31, 1, green, yes.\n")
+    with pytest.raises(Exception, match="undeclared"):
+        got.collect()
+    (tmp_path / "d.mat").write_text("2 3\n1 2 3\n4 5 6\n")
+    (tmp_path / "s.mat").write_text("2 3 2\n1 7 3 9\n2 8\n")
+    assert [r["value"] for r in formats.read_any(spark, str(tmp_path / "d.mat")).orderBy("row", "column").collect()] == [1, 2, 3, 4, 5, 6]
+    assert [tuple(r) for r in formats.read_any(spark, str(tmp_path / "s.mat")).orderBy("row", "column").collect()] == [(1, 1, 7.0), (1, 3, 9.0), (2, 2, 8.0)]
+    for kind in ("pos", "neg"):
+        (tmp_path / "texts" / kind).mkdir(parents=True)
+        (tmp_path / "texts" / kind / "1.txt").write_text(kind * 2)
+    assert {(r["class"], r["text"]) for r in formats.read_directory(spark, str(tmp_path / "texts")).collect()} == {("pos", "pospos"), ("neg", "negneg")}
+    df = spark.createDataFrame([(1.5, "a"), (None, "b")], "x double, c string")
+    formats.write_csv(df, str(tmp_path / "t.csv"))
+    assert sorted(formats.read_any(spark, str(tmp_path / "t.csv")).collect(), key=str) == sorted(df.collect(), key=str)
