@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.predicates import compile_predicate
-from millrace.plans.numbering import numbered, numbered_within
+from millrace.plans.numbering import numbered, numbered_within, stored
 
 
 def subset_by_expression(df: DataFrame, expression: str, class_column: str | None = None) -> DataFrame:
@@ -80,3 +80,19 @@ def zip_rows(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str])
     """Rows side by side by their places; rows without a partner go. A shared name is kept from ``a``."""
     right = numbered(b, order_b).select("_i", *[c for c in b.columns if c not in a.columns])
     return numbered(a, order_a).join(right, "_i").drop("_i")
+
+
+def remove_misclassified(df: DataFrame, fit, target: str, most: int = 10, within: float | None = None, invert: bool = False) -> DataFrame:
+    """Fits and drops the rows that are predicted wrongly (numbers: farther off than ``within``) until none
+    is or after ``most`` rounds; ``fit(rows)`` gives a function that adds ``prediction``. Inverted, the dropped rows."""
+    rows, gone, columns = df, None, df.columns
+    for _ in range(most):
+        y, p = F.col(target), F.col("prediction")
+        right = F.coalesce((F.abs(y - p) <= within) if within is not None else (y == p), F.lit(False))
+        judged = stored(fit(rows)(rows).withColumn("__right", right), "judged")
+        wrong = judged.where("not __right").select(columns)
+        rows = judged.where("__right").select(columns)
+        gone = wrong if gone is None else gone.unionAll(wrong)
+        if not wrong.limit(1).count():
+            break
+    return gone if invert else rows

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def words(c: Column) -> Column:
@@ -37,3 +39,99 @@ def nearest(targets: DataFrame, rows: DataFrame, columns: list[str], k: int, tar
 
 
 MOST_TARGETS = 10_000
+
+
+def difference(a: Column, b: Column, low: float | None = None, high: float | None = None) -> Column:
+    """0 to 1. Numbers (with a range): missing on both sides is 1, on one side the farther end of the
+    other. Texts (without): 1 unless equal and known."""
+    if low is None or high is None:
+        return F.when(F.coalesce(a == b, F.lit(False)), 0.0).otherwise(F.lit(1.0))
+    unit = lambda c: (c - low) / (high - low) if high > low else F.when(c.isNotNull(), 0.0)
+    x, y = unit(a), unit(b)
+    one = F.coalesce(x, y)
+    return F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y)).otherwise(F.coalesce(F.greatest(one, 1 - one), F.lit(1.0)))
+
+
+def combined(differences: list[Column], metric: str = "euclidean") -> Column:
+    total = lambda xs: sum(xs, F.lit(0.0))
+    if metric == "manhattan":
+        return total(differences)
+    if metric == "chebyshev":
+        return F.greatest(F.lit(0.0), *differences)
+    if metric != "euclidean":
+        raise ValueError(f"no metric is named {metric}")
+    return F.sqrt(total([d * d for d in differences]))
+
+
+def affine_gap(a: Column, b: Column, match: float = 0.0, change: float = 1.0, opened: float = 1.0, extended: float = 0.5) -> Column:
+    """The least cost to turn one text into the other, where a gap's first and later characters differ in cost.
+
+    Missing texts give a missing cost.
+    """
+    def one(x: str | None, y: str | None) -> float | None:
+        if x is None or y is None:
+            return None
+        inf = float("inf")
+        whole, down = [0.0] + [opened + extended * j for j in range(len(y))], [inf] * (len(y) + 1)
+        for i, c in enumerate(x):
+            corner, whole[0], across = whole[0], opened + extended * i, inf
+            for j, e in enumerate(y, 1):
+                down[j] = min(down[j] + extended, whole[j] + opened)
+                across = min(across + extended, whole[j - 1] + opened)
+                corner, whole[j] = whole[j], min(corner + (match if c == e else change), down[j], across)
+        return whole[-1]
+
+    @pandas_udf("double")
+    def cost(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([one(*p) for p in zip(x, y)], dtype="float64")
+
+    return cost(a, b)
+
+
+def similar_texts(df: DataFrame, key: str, text: str, least: float) -> DataFrame:
+    """``a, b, cosine``: pairs of rows whose weighted token vectors have at least that cosine, exactly.
+
+    Rows of equal vectors are compared once, by the smallest key; ``same_vectors`` has who they are.
+    Tokens are ordered from rare to frequent. A pair must share a token in the part of both vectors
+    before the rest is shorter than ``least``: frequent tokens are so never paired.
+    """
+    from millrace.operators.text import tf_idf
+    from millrace.plans.numbering import stored
+
+    weights = tf_idf(df, key, text).withColumnRenamed(key, "k")
+    firsts = _equal(weights).where("k = first").select("k")
+    weights = weights.join(firsts, "k", "left_semi")
+    norms = weights.groupBy("k").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    often = weights.groupBy("word").agg(F.count("*").alias("rows"))  # any one order of the words will do
+    unit = weights.join(norms, "k").join(often, "word").select("k", "word", (F.col("weight") / F.col("norm")).alias("w"), "rows")
+    unit = stored(unit, "vectors")
+    rest = Window.partitionBy("k").orderBy("rows", "word").rowsBetween(0, Window.unboundedFollowing)
+    first = unit.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(rest)).where(F.col("rest") >= least * least - 1e-9)
+    first = stored(first.select("k", "word"), "rare")
+    pairs = first.select(F.col("k").alias("a"), "word").join(first.select(F.col("k").alias("b"), "word"), "word").where("a < b").select("a", "b").distinct()
+    left = pairs.join(unit.select(F.col("k").alias("a"), "word", F.col("w").alias("x")), "a")
+    both = left.join(unit.select(F.col("k").alias("b"), "word", F.col("w").alias("y")), ["b", "word"])
+    return both.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("cosine")).where(F.col("cosine") >= least)
+
+
+def _equal(weights: DataFrame) -> DataFrame:
+    bag = F.array_sort(F.collect_list(F.struct("word", "weight"))).cast("string")
+    bags = weights.groupBy("k").agg(F.sha2(bag, 256).alias("bag"))
+    return bags.join(bags.groupBy("bag").agg(F.min("k").alias("first")), "bag").select("k", "first")
+
+
+def same_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, first``: the smallest key of the rows that have the same weighted tokens; rows without any go."""
+    from millrace.operators.text import tf_idf
+
+    return _equal(tf_idf(df, key, text).withColumnRenamed(key, "k")).withColumnRenamed("k", key)
+
+
+def pair_scores(found: DataFrame, truth: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """One row: precision, recall and F of pairs, whichever way round they are given."""
+    way = lambda d: d.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    both = way(found).withColumn("f", F.lit(1)).join(way(truth).withColumn("t", F.lit(1)), ["a", "b"], "full")
+    counts = both.agg(F.count(F.when(F.col("f").isNotNull() & F.col("t").isNotNull(), 1)).alias("hit"), F.count("f").alias("nf"), F.count("t").alias("nt"))
+    ratio = lambda x, y: F.when(y > 0, x / y).otherwise(F.lit(0.0))
+    hit, nf, nt = F.col("hit"), F.col("nf"), F.col("nt")
+    return counts.select(ratio(hit, nf).alias("precision"), ratio(hit, nt).alias("recall"), ratio(2 * hit, nf + nt).alias("f"))

@@ -97,3 +97,69 @@ def frequent_pairs(df: DataFrame, basket: str, item: str, least: int) -> DataFra
     rows = rows.join(often, "i", "left_semi")
     left, right = rows.select("k", F.col("i").alias("a")), rows.select("k", F.col("i").alias("b"))
     return left.join(right, "k").where("a < b").groupBy("a", "b").agg(F.count("*").alias("support")).where(F.col("support") >= least)
+
+
+def association(df: DataFrame, attribute: str, target: str) -> DataFrame:
+    """One row: Goodman and Kruskal's tau of the target given the attribute, and chi-squared, corrected for
+    continuity where both have two values."""
+    m = _cells(df, attribute, target)
+    expected = F.col("ra") * F.col("rb") / F.col("t")
+    s = m.agg(
+        F.sum(F.col("n") * F.col("n") / F.col("ra")).alias("within"), F.sum(F.col("n") / F.col("rb") * F.col("rb") * F.col("rb")).alias("squares"), F.max("t").alias("t"),
+        (F.sum(F.col("n") * F.col("n") / (F.col("ra") * F.col("rb"))) - 1).alias("phi2"), F.countDistinct("a").alias("ka"), F.countDistinct("b").alias("kb"),
+        F.min(F.abs(F.col("n") - expected)).alias("off"), F.max(F.col("ra")).alias("ra"), F.max(F.col("rb")).alias("rb"),
+    )
+    t, base = F.col("t"), F.col("squares") / F.col("t")
+    # In a table of two by two every cell is off its expectation by the same amount.
+    corrected = F.pow(F.greatest(F.col("off") - 0.5, F.lit(0.0)), 2) * F.pow(t, 3) / (F.col("ra") * (t - F.col("ra")) * F.col("rb") * (t - F.col("rb")))
+    chi = t * F.col("phi2")
+    return s.select(F.when(t > base, (F.col("within") - base) / (t - base)).otherwise(F.lit(0.0)).alias("tau"), F.when((F.col("ka") == 2) & (F.col("kb") == 2), corrected).otherwise(chi).alias("chi2"))
+
+
+def subset_merit(df: DataFrame, attributes: list[str], target: str) -> list[str]:
+    """Forward search for the attributes of most merit, ``k r_ac / sqrt(k + k (k - 1) r_aa)`` with mean
+    symmetrical uncertainties. Each pair of columns is one aggregation, and only its measure is kept."""
+    known: dict[tuple[str, str], float] = {}
+
+    def between(a: str, b: str) -> float:
+        pair = (min(a, b), max(a, b))
+        if pair not in known:
+            known[pair] = contingency(df, *pair).first()["symmetrical_uncertainty"] or 0.0
+        return known[pair]
+
+    def merit(chosen: list[str]) -> float:
+        outer = sum(between(a, target) for a in chosen)
+        inner = sum(between(a, b) for i, a in enumerate(chosen) for b in chosen[:i])
+        return outer / (len(chosen) + 2 * inner) ** 0.5
+
+    chosen: list[str] = []
+    while len(chosen) < len(attributes):
+        best = max((a for a in attributes if a not in chosen), key=lambda a: merit([*chosen, a]))
+        if chosen and merit([*chosen, best]) <= merit(chosen):
+            break
+        chosen.append(best)
+    return chosen
+
+
+def value_shares(df: DataFrame, column: str, by: list[str] = (), weight: str | None = None, laplace: bool = False) -> DataFrame:
+    """``share`` of each known value, within groups of ``by``; with ``laplace`` each has one more."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    n = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg((F.sum(w) + (1.0 if laplace else 0.0)).alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by))).drop("n")
+
+
+def subgroup(df: DataFrame, attributes: list[str], target: str, value, least: int, depth: int = 3) -> list[tuple[str, str, int, float]]:
+    """Greedily the tests ``attribute = value`` that raise the share of a target value most, with at least
+    ``least`` rows each: ``(attribute, value, rows, share)``. One aggregation a level."""
+    hit = F.sum(F.when(F.col(target) == value, 1).otherwise(0))
+    rows, found, open_ = df.where(F.col(target).isNotNull()), [], [a for a in attributes if a != target]
+    share = rows.agg((hit / F.count("*")).alias("s")).first()["s"]
+    while open_ and len(found) < depth and share is not None and share < 1:
+        cells = rows.select(target, F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.col(a).cast("string").alias("v")) for a in open_])).alias("x")).where("x.v is not null")
+        best = cells.groupBy("x.a", "x.v").agg(F.count("*").alias("n"), (hit / F.count("*")).alias("s")).where(F.col("n") >= least).orderBy(F.desc("s"), F.desc("n"), "a", "v").first()
+        if not best or best["s"] <= share:
+            break
+        share = best["s"]
+        found.append((best["a"], best["v"], best["n"], share))
+        rows, open_ = rows.where(F.col(best["a"]).cast("string") == best["v"]), [a for a in open_ if a != best["a"]]
+    return found

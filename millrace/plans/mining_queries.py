@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import columns as C
-from millrace.operators import discretize, evaluation, mining, models, reshape, text
+from millrace.operators import discretize, evaluation, mining, models, reshape, similarity, stats, text
 from millrace.operators import rows as R
 from millrace.plans import experiment
 from millrace.plans.catalog import _register, query, table
@@ -87,13 +87,13 @@ _register("ngrams", "part", lambda t: t.select("p_partkey", F.array_join(text.ng
 _register("word_vectors", "documents", lambda t: text.word_vectors(t, "doc_id", "text", 50, "lang").groupBy("doc_id").agg(F.sum("value").alias("n")), f"WITH w AS ({_WORDS}), c AS (SELECT lang, word, count(*) AS n FROM w JOIN documents USING (doc_id) GROUP BY 1, 2), k AS (SELECT DISTINCT word FROM (SELECT word, rank() OVER (PARTITION BY lang ORDER BY n DESC) AS r FROM c) WHERE r <= 50) SELECT doc_id, CAST(count(DISTINCT word) AS DOUBLE) AS n FROM w SEMI JOIN k USING (word) GROUP BY 1")
 _register("tf_idf", "documents", lambda t: _rounded(text.tf_idf(t, "doc_id", "text").groupBy("doc_id").agg(F.sum("weight").alias("s")), "s", places=4), f"WITH w AS ({_WORDS.replace('(text,', '(lower(text),')}), f AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY 1, 2), i AS (SELECT word, ln((SELECT count(*) FROM documents) / count(*)) AS idf FROM f GROUP BY 1) SELECT doc_id, round(sum(tf * idf), 4) AS s FROM f JOIN i USING (word) WHERE idf > 0 GROUP BY 1")
 
-_MASKS = "WITH o AS (SELECT l_orderkey, bit_or(1 << (l_linenumber - 1)) AS m FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1), c AS (SELECT g AS s, count(*) FILTER (m & g = g) AS n FROM o, generate_series(1, 15) t(g) GROUP BY 1), z AS (SELECT count(*) AS z FROM o)"
-_NAMES = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {{0}} & {1 << i} > 0 THEN '{i + 1}' END" for i in range(4)) + "], lambda x: x IS NOT NULL), ',')"
-_register("itemsets", "lineitem", lambda t: mining.itemsets(t.where("l_linenumber <= 4"), "l_orderkey", "l_linenumber", 0.01).select(F.array_join("items", ",").alias("items"), "n"), f"{_MASKS} SELECT {_NAMES.format('s')} AS items, n FROM c, z WHERE n >= ceil(0.01 * z)")
+_MASKS = "WITH o AS (SELECT l_orderkey, bit_or(1 << (l_linenumber - 1)) AS m FROM lineitem GROUP BY 1), c AS (SELECT g AS s, count(*) FILTER (m & g = g) AS n FROM o, generate_series(1, 127) t(g) GROUP BY 1), z AS (SELECT count(*) AS z FROM o)"
+_NAMES = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {{0}} & {1 << i} > 0 THEN '{i + 1}' END" for i in range(7)) + "], lambda x: x IS NOT NULL), ',')"
+_register("itemsets", "lineitem", lambda t: mining.itemsets(t, "l_orderkey", "l_linenumber", 0.01).select(F.array_join("items", ",").alias("items"), "n"), f"{_MASKS} SELECT {_NAMES.format('s')} AS items, n FROM c, z WHERE n >= ceil(0.01 * z)")
 _register(
-    "rules", "lineitem", lambda t: _rounded(mining.rules(t.where("l_linenumber <= 4"), "l_orderkey", "l_linenumber", 0.01, 0.1), "confidence", "lift", "leverage", "conviction"),
+    "rules", "lineitem", lambda t: _rounded(mining.rules(t, "l_orderkey", "l_linenumber", 0.01, 0.1), "confidence", "lift", "leverage", "conviction"),
     f"{_MASKS} SELECT {_NAMES.format('x.s')} AS premise, {_NAMES.format('y.s')} AS consequence, b.n AS n, round(b.n / x.n, 6) AS confidence, round(b.n / x.n / (y.n / z), 6) AS lift, round(b.n / z - x.n / z * (y.n / z), 6) AS leverage, "
-    "CASE WHEN x.n > b.n THEN round(x.n * (z - y.n) / (z * (x.n - b.n)), 6) END AS conviction FROM c b, c x, c y, z WHERE y.s IN (1, 2, 4, 8) AND x.s & y.s = 0 AND b.s = x.s | y.s AND b.n >= ceil(0.01 * z) AND b.n / x.n >= 0.1",
+    "CASE WHEN x.n > b.n THEN round(x.n * (z - y.n) / (z * (x.n - b.n)), 6) END AS conviction FROM c b, c x, c y, z WHERE y.s IN (1, 2, 4, 8, 16, 32, 64) AND x.s & y.s = 0 AND b.s = x.s | y.s AND b.n >= ceil(0.01 * z) AND b.n / x.n >= 0.1",
 )
 _register(
     "sequences", "events", lambda t: mining.sequences(t, "user_id", "event_type", ["ts", "event_id"], 0.01, 2),
@@ -167,3 +167,29 @@ def stream_filter(spark, d):
 def stream_windows(spark, d):
     rows = flows.drain(flows.windowed(_events(spark, d), "ts", "event_type", "value", "1 day", "1 hour"), "complete")
     return rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+_register(
+    "association", "lineitem", lambda t: _rounded(stats.association(t, "l_linestatus", "l_returnflag"), "tau", "chi2", places=4),
+    "WITH c AS (SELECT l_linestatus AS a, l_returnflag AS b, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1, 2), x AS (SELECT *, sum(n) OVER (PARTITION BY a) AS ra, sum(n) OVER (PARTITION BY b) AS rb, sum(n) OVER () AS t FROM c), "
+    "g AS (SELECT sum(n * n) AS q FROM (SELECT sum(n) AS n FROM c GROUP BY b)) SELECT round((sum(n * n / ra) - any_value(q) / any_value(t)) / (any_value(t) - any_value(q) / any_value(t)), 4) AS tau, round(any_value(t) * (sum(n * n / (ra * rb)) - 1), 4) AS chi2 FROM x, g",
+)
+_register("value_shares", "lineitem", lambda t: _rounded(stats.value_shares(t, "l_returnflag", ["l_linestatus"], laplace=True), "share"), "SELECT l_linestatus, l_returnflag, round((n + 1) / sum(n + 1) OVER (PARTITION BY l_linestatus), 6) AS share FROM (SELECT l_linestatus, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2)")
+_register(
+    "subgroup", "lineitem", lambda t: t.sparkSession.createDataFrame([(a, v, n, round(s, 6)) for a, v, n, s in stats.subgroup(t, ["l_linenumber", "l_linestatus"], "l_returnflag", "R", 50, 1)], "name string, value string, n long, share double"),
+    "SELECT name, value, n, round(s, 6) AS share FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS name, CAST({c} AS VARCHAR) AS value, count(*) AS n, avg(CAST(l_returnflag = 'R' AS INT)) AS s FROM lineitem GROUP BY 2" for c in ("l_linenumber", "l_linestatus"))
+    + ") WHERE n >= 50 AND s > (SELECT avg(CAST(l_returnflag = 'R' AS INT)) FROM lineitem) ORDER BY s DESC, n DESC, name, value LIMIT 1",
+)
+_VECTORS = (
+    "WITH w AS (SELECT p_partkey, unnest(list_filter(regexp_split_to_array(lower(p_name), '[ \\r\\n\\t.,;:''\"()?!]+'), lambda x: x <> '')) AS word FROM part), f AS (SELECT p_partkey AS k, word, count(*) AS tf FROM w GROUP BY 1, 2), "
+    "i AS (SELECT word, ln((SELECT count(*) FROM part) / count(*)) AS idf FROM f GROUP BY 1), v AS (SELECT k, word, tf, tf * idf AS x FROM f JOIN i USING (word) WHERE idf > 0), "
+    "s AS (SELECT k, string_agg(word || ':' || tf, ',' ORDER BY word) AS s FROM v GROUP BY 1), r AS (SELECT k, min(k) OVER (PARTITION BY s) AS first FROM s), "
+    "u AS (SELECT k, word, x / sqrt(sum(x * x) OVER (PARTITION BY k)) AS x FROM v SEMI JOIN (SELECT k FROM r WHERE k = first) USING (k)) "
+)
+_register("same_vectors", "part", lambda t: similarity.same_vectors(t, "p_partkey", "p_name"), _VECTORS + "SELECT k AS p_partkey, first FROM r")
+_register(
+    "similar_texts", "part", lambda t: _rounded(similarity.similar_texts(t, "p_partkey", "p_name", 0.4), "cosine", places=5),
+    _VECTORS + "SELECT p.k AS a, q.k AS b, round(sum(p.x * q.x), 5) AS cosine FROM u p JOIN u q ON p.word = q.word AND p.k < q.k GROUP BY 1, 2 HAVING sum(p.x * q.x) >= 0.4",
+)
+_register("affine_gap", "nation", lambda t: t.select("n_nationkey", similarity.affine_gap(F.lit("ALGERIA"), F.col("n_name")).alias("cost")), None)
+_register("remove_misclassified", "lineitem", lambda t: R.remove_misclassified(t, lambda rows: models.zero_rule(rows, "l_returnflag"), "l_returnflag").groupBy("l_returnflag").count(), "SELECT l_returnflag, count(*) AS count FROM lineitem WHERE l_returnflag = (SELECT l_returnflag FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) GROUP BY 1")

@@ -185,3 +185,84 @@ def test_formats(spark, tmp_path):
     df = spark.createDataFrame([(1.5, "a"), (None, "b")], "x double, c string")
     formats.write_csv(df, str(tmp_path / "t.csv"))
     assert sorted(formats.read_any(spark, str(tmp_path / "t.csv")).collect(), key=str) == sorted(df.collect(), key=str)
+
+
+def plain_affine(x, y):
+    """All alignments, by recursion."""
+    from functools import cache
+
+    @cache
+    def go(i, j, gap):
+        if i == len(x) and j == len(y):
+            return 0.0
+        options = []
+        if i < len(x) and j < len(y):
+            options.append((x[i] != y[j]) + go(i + 1, j + 1, ""))
+        if i < len(x):
+            options.append((0.5 if gap == "x" else 1.0) + go(i + 1, j, "x"))
+        if j < len(y):
+            options.append((0.5 if gap == "y" else 1.0) + go(i, j + 1, "y"))
+        return min(options)
+
+    return go(0, 0, "")
+
+
+def test_affine_gap(spark):
+    from millrace.operators import similarity
+
+    pairs = [("", ""), ("abc", ""), ("kitten", "sitting"), ("aaabbb", "ab"), ("abcdef", "abxxxxdef")]
+    df = spark.createDataFrame([*pairs, (None, "a")], "a string, b string")
+    got = [r[0] for r in df.select(similarity.affine_gap(F.col("a"), F.col("b"))).collect()]
+    assert got[:-1] == [plain_affine(*p) for p in pairs] and got[-1] is None
+
+
+def test_differences_with_missing_cells(spark):
+    from millrace.operators import similarity
+
+    df = spark.createDataFrame([(1.0, 4.0), (None, 4.0), (1.0, None), (None, None)], "a double, b double")
+    got = [r[0] for r in df.select(similarity.difference(F.col("a"), F.col("b"), 0.0, 5.0)).collect()]
+    assert got == pytest.approx([0.6, 0.8, 0.8, 1.0])
+    texts = spark.createDataFrame([("x", "x"), ("x", "y"), (None, None)], "a string, b string")
+    assert [r[0] for r in texts.select(similarity.difference(F.col("a"), F.col("b"))).collect()] == [0.0, 1.0, 1.0]
+    d = [F.lit(0.3), F.lit(0.4)]
+    got = df.limit(1).select(*[similarity.combined(d, m) for m in ("euclidean", "manhattan", "chebyshev")]).first()
+    assert list(got) == pytest.approx([0.5, 0.7, 0.4])
+
+
+def test_pair_scores_and_continuity(spark):
+    from millrace.operators import similarity, stats
+
+    found, truth = spark.createDataFrame([(1, 2), (3, 4)], "a int, b int"), spark.createDataFrame([(2, 1), (5, 6), (7, 8)], "a int, b int")
+    assert list(similarity.pair_scores(found, truth).first()) == pytest.approx([1 / 2, 1 / 3, 2 / 5])
+    rows = [("x", "p")] * 10 + [("x", "q")] * 20 + [("y", "p")] * 30 + [("y", "q")] * 15
+    df = spark.createDataFrame(rows, "a string, b string")
+    want = 75 * (abs(10 * 15 - 20 * 30) - 75 / 2) ** 2 / (30 * 45 * 40 * 35)
+    assert stats.association(df, "a", "b").first()["chi2"] == pytest.approx(want)
+
+
+def test_subset_merit_leaves_a_copy_out(spark):
+    from millrace.operators import stats
+
+    df = spark.createDataFrame([(str(i % 2), str(i % 2), str(i % 3), str(i % 2)) for i in range(60)], "a string, copy string, other string, c string")
+    assert stats.subset_merit(df, ["a", "copy", "other"], "c") == ["a"]
+
+
+def test_similar_texts_against_all_pairs(spark):
+    from millrace.operators import similarity
+
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(25)]
+    texts = [" ".join(r.choice(words[: r.randint(5, 25)]) for _ in range(r.randint(1, 12))) for _ in range(60)] + ["", None, "w1 w2", "W2  w1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    bags = {k: {w: (t or "").lower().split().count(w) for w in set((t or "").lower().split())} for k, t in enumerate(texts)}
+    idf = {w: math.log(len(texts) / sum(w in b for b in bags.values())) for w in words if any(w in b for b in bags.values())}
+    first = {}
+    for k, b in bags.items():
+        if b:
+            first.setdefault(tuple(sorted(b.items())), k)
+    kept = {k: {w: n * idf[w] for w, n in bags[k].items()} for k in first.values()}
+    norm = {k: math.sqrt(sum(x * x for x in v.values())) for k, v in kept.items()}
+    cosine = {(a, b): sum(x * kept[b].get(w, 0) for w, x in kept[a].items()) / norm[a] / norm[b] for a in kept for b in kept if a < b}
+    got = {(r["a"], r["b"]): r["cosine"] for r in similarity.similar_texts(df, "k", "t", 0.5).collect()}
+    want = {p: c for p, c in cosine.items() if c >= 0.5}
+    assert len(want) > 10 and got == pytest.approx(want)
