@@ -103,7 +103,15 @@ _register(
 
 _TOP = "SELECT {0}, arg_max({1}, (n, -r)) AS prediction FROM (SELECT {0}, {1}, count(*) AS n, dense_rank() OVER (ORDER BY {1}) AS r FROM {2} GROUP BY {0}, {1}) GROUP BY {0}"
 _register("zero_rule", "lineitem", lambda t: models.zero_rule(t, "l_returnflag")(t).groupBy("prediction").count(), "SELECT (SELECT l_returnflag FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS prediction, count(*) AS count FROM lineitem")
-_register("one_rule", "lineitem", lambda t: models.one_rule(t, ["l_linestatus", "l_linenumber"], "l_returnflag")[1](t).groupBy("l_returnflag", "prediction").count(), None)
+_RULE = " UNION ALL ".join(
+    f"SELECT {i} AS i, v, arg_max(y, (n, -r)) AS p, max(n) AS hit FROM (SELECT CAST({c} AS VARCHAR) AS v, l_returnflag AS y, count(*) AS n, dense_rank() OVER (ORDER BY l_returnflag) AS r FROM lineitem GROUP BY 1, 2) GROUP BY v"
+    for i, c in enumerate(("l_linestatus", "l_linenumber"))
+)
+_register(
+    "one_rule", "lineitem", lambda t: models.one_rule(t, ["l_linestatus", "l_linenumber"], "l_returnflag")[1](t).groupBy("l_returnflag", "prediction").count(),
+    f"WITH m AS ({_RULE}), b AS (SELECT i FROM m GROUP BY 1 ORDER BY sum(hit) DESC, i LIMIT 1) SELECT l_returnflag, p AS prediction, count(*) AS count FROM lineitem, b, m "
+    "WHERE m.i = b.i AND m.v = CASE WHEN b.i = 0 THEN l_linestatus ELSE CAST(l_linenumber AS VARCHAR) END GROUP BY 1, 2",
+)
 _register("decision_table", "lineitem", lambda t: models.decision_table(t, ["l_linestatus", "l_linenumber"], "l_returnflag")(t).groupBy("l_returnflag", "prediction").count(), "WITH m AS (" + _TOP.format("l_linestatus, l_linenumber", "l_returnflag", "lineitem") + ") SELECT l_returnflag, prediction, count(*) AS count FROM lineitem JOIN m USING (l_linestatus, l_linenumber) GROUP BY 1, 2")
 _register("consistency", "lineitem", lambda t: _rounded(models.consistency(t, ["l_linestatus", "l_linenumber"], "l_returnflag"), "consistency"), "SELECT round(sum(m) / sum(s), 6) AS consistency FROM (SELECT max(n) AS m, sum(n) AS s FROM (SELECT l_linestatus, l_linenumber, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2, 3) GROUP BY l_linestatus, l_linenumber)")
 
@@ -120,7 +128,11 @@ def naive_bayes(spark, d):
     return _rounded(models.naive_bayes(t, ["l_quantity"], ["l_linestatus"], "l_returnflag")(t).groupBy("l_orderkey", "l_linenumber", "l_quantity").agg(F.max("log_score").alias("log_score")).drop("l_quantity"), "log_score")
 
 
-_register("hyper_pipes", "lineitem", lambda t: models.hyper_pipes(t, ["l_quantity", "l_tax"], "l_returnflag")(t).groupBy("prediction").agg(F.count("*").alias("n")), None)
+_register(
+    "hyper_pipes", "lineitem", lambda t: models.hyper_pipes(t, ["l_quantity", "l_tax"], "l_returnflag")(t).groupBy("prediction").agg(F.count("*").alias("n")),
+    "WITH r AS (SELECT l_returnflag AS y, min(l_quantity) AS a, max(l_quantity) AS b, min(l_tax) AS c, max(l_tax) AS d, row_number() OVER (ORDER BY l_returnflag) AS i FROM lineitem GROUP BY 1), "
+    "s AS (SELECT k, arg_max(y, (CAST(l_quantity BETWEEN a AND b AS INT) + CAST(l_tax BETWEEN c AND d AS INT), -i)) AS prediction FROM (SELECT row_number() OVER () AS k, l_quantity, l_tax FROM lineitem), r GROUP BY 1) SELECT prediction, count(*) AS n FROM s GROUP BY 1",
+)
 _register("farthest_first", "part", lambda t: t.sparkSession.createDataFrame([(c["k"],) for c in models.farthest_first(t, "p_partkey", ["p_size", "p_retailprice"], 4)], "centre long"), None)
 _register("k_means", "part", lambda t: models.spark_model("k_means", t, ["p_size", "p_retailprice"], k=4, seed=1).transform(t).groupBy("prediction").agg(F.count("*").alias("n")), None)
 _register("logistic", "lineitem", lambda t: models.spark_model("logistic", t, ["l_quantity", "l_tax"], "l_linestatus", maxIter=10).transform(t).groupBy("prediction").agg(F.count("*").alias("n")), None)
