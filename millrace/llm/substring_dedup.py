@@ -1,9 +1,14 @@
-"""Substring dedup over sliding spans of sentences.
+"""Substring dedup over sliding spans of sentences, and over passages of words at any place.
 
 A text is a row of units: its sentences, the long ones cut every few words from their start. From
 each unit the shortest run of several units with enough words is hashed. Runs are joined globally
 by their hashes; every unit that a non-first run covers is removed. First is the smallest document
 id, and within a document the earliest place.
+
+Passages of many words are found wherever they begin. Of each stretch of words the least of the
+windows' hashes is a mark (winnowing), so that equal passages have a mark in common at any offset.
+All passages around the marks that two documents share are then joined by their own hashes, and
+every word of a non-first one is removed: marks only choose where to look.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import materialize
+from millrace.llm.common import discard, materialize
 
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+[ \t]*|[^.!?\n]+")
 ADDED = ("n_units", "n_removed", "first_doc_ids")
@@ -64,6 +69,81 @@ def runs(sizes: list[int], hashes: list[bytes], least_units: int, least_words: i
     return out
 
 
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+def word_hashes(text: str) -> np.ndarray:
+    words = text.lower().split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _over(x: np.ndarray, width: int, both) -> np.ndarray:
+    """``both`` over each ``width`` neighbours, for the least or the greatest of them."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = both(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def _windows(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A hash of each window of so many words: that of its first words, times a power, and that of the rest."""
+    n = max(len(hashes) - words + 1, 0)
+    if not n:
+        return np.zeros(0, np.uint64)
+    out, have, part, size = None, 0, hashes, 1
+    while True:
+        if words & size:
+            rest = part[have : have + n]
+            out = rest.copy() if out is None else out * np.uint64(pow(_FACTOR, size, 1 << 64)) + rest
+            have += size
+        if have == words:
+            break
+        part = part[:-size] * np.uint64(pow(_FACTOR, size, 1 << 64)) + part[size:]
+        size *= 2
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
+    return out
+
+
+def marks(hashes: np.ndarray, least_passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of windows such that every passage of ``least_passage`` words holds one, the same in every text.
+
+    A window is a mark if its hash is the least in a stretch that makes up such a passage.
+    """
+    size = least_passage // 2 + 1
+    found = _windows(hashes, size)
+    reach = least_passage - size + 1
+    if len(found) < reach:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    edge = np.zeros(reach - 1, np.uint64)
+    least = np.concatenate([edge, _over(found, reach, np.minimum), edge])
+    places = np.flatnonzero(found == _over(least, reach, np.maximum))
+    return places, found[places]
+
+
+def _around(n: int, places: list[int], least_passage: int) -> np.ndarray:
+    """Where the passages begin that hold one of the marks, in a text of ``n`` words."""
+    near = np.zeros(max(n - least_passage + 1, 0), bool)
+    for p in places:
+        near[max(p + least_passage // 2 + 1 - least_passage, 0) : p + 1] = True
+    return np.flatnonzero(near)
+
+
+def _again(hashes: np.ndarray, least_passage: int) -> np.ndarray:
+    """Where passages begin that the same text has before, without overlap."""
+    if len(hashes) < 2 * least_passage:
+        return np.zeros(0, np.int64)
+    found = _windows(hashes, least_passage)
+    ordered = np.sort(found)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return np.zeros(0, np.int64)
+    _, first, which = np.unique(found, return_index=True, return_inverse=True)
+    return np.flatnonzero(np.arange(len(found)) >= first[which] + least_passage)
+
+
 def _local(text: str, least_units: int, least_words: int):
     """The text's unit ends, its first runs, and those that repeat an earlier one of the same text."""
     ends, sizes, hashes = units(text)
@@ -75,11 +155,19 @@ def _local(text: str, least_units: int, least_words: int):
     return ends, first, again
 
 
+def _firsts(found: DataFrame) -> DataFrame:
+    return found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("last > first").drop("last")
+
+
 def remove_repeats(
-    docs: DataFrame, least_units: int = 3, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, least_units: int = 3, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text", least_passage: int = 51
 ) -> DataFrame:
     """``docs`` with ``text_col`` cleaned, and ``n_units``, ``n_removed``, ``first_doc_ids``.
 
+    Besides the runs of whole units, every word goes that lies in a passage of ``least_passage``
+    words which an earlier document has too, at any place in either; case and white space do not
+    count. ``n_removed`` counts the units that lose a word.
+
     Every row is kept, with all its columns; a null text stays null, and a text of which all is
     removed becomes empty. Rows of equal ids count as one document, whose spans do not repeat each
     other. Spans in rows without an id are never first and are not removed for other documents'
@@ -93,10 +181,12 @@ def remove_repeats(
             ids, places, lengths, packed = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 _, first, _ = _local(text, least_units, least_words)
-                ids += [doc] * len(first)
-                places += [r[0] for r in first]
-                lengths += [r[1] for r in first]
+                at, found = marks(word_hashes(text), least_passage)
+                ids += [doc] * (len(first) + len(at))
+                places += [r[0] for r in first] + at.tolist()
+                lengths += [r[1] for r in first] + [0] * len(at)  # a mark has no units
                 packed += [r[2] for r in first]
+                packed.append(np.stack([found, np.zeros_like(found)], 1).tobytes())
             halves = np.frombuffer(b"".join(packed), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(lengths, pa.int32())],
@@ -105,18 +195,51 @@ def remove_repeats(
 
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     found = materialize(texts.mapInArrow(spans, "h1 long, h2 long, doc long, place int, units int"), "spans")
-    firsts = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("last > first").drop("last")
+    # A mark is wanted in the first document as well: its passages are compared with the others'.
+    mark, run = F.col("units") == 0, F.col("units") > 0
     hits = (
-        found.join(firsts, ["h1", "h2"]).where("doc > first")
-        .groupBy("doc").agg(F.collect_set(F.struct("place", "units")).alias("_millrace_runs"), F.array_sort(F.collect_set("first")).alias("_millrace_firsts"))
+        found.join(_firsts(found), ["h1", "h2"]).where(mark | (F.col("doc") > F.col("first")))
+        .groupBy("doc").agg(F.collect_set(F.when(run, F.struct("place", "units"))).alias("runs"), F.collect_list(F.when(mark, F.col("place"))).alias("marks"), F.collect_set(F.when(run, F.col("first"))).alias("firsts"))
+    )
+    hits = materialize(hits, "hits")
+    discard(found, "spans")
+
+    def passages(batches):
+        for batch in batches:
+            for doc, text, places in zip(*(c.to_pylist() for c in batch.columns)):
+                hashes = word_hashes(text)
+                at = _around(len(hashes), places, least_passage)
+                if not len(at):
+                    continue
+                held = hashes.tobytes()
+                packed = b"".join([xxhash.xxh3_128_digest(held[8 * i : 8 * (i + least_passage)]) for i in at.tolist()])
+                halves = np.frombuffer(packed, "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([doc] * len(at), pa.int64()), pa.array(at, pa.int32())], ["h1", "h2", "doc", "place"]
+                )
+
+    marked = hits.where(F.size("marks") > 0).select("doc", "marks")
+    near = texts.toDF("doc", "text").join(marked, "doc").select("doc", "text", "marks").mapInArrow(passages, "h1 long, h2 long, doc long, place int")
+    near = materialize(near, "passages")
+    more = (
+        near.join(_firsts(near), ["h1", "h2"]).where("doc > first")
+        .groupBy("doc").agg(F.collect_list("place").alias("_millrace_words"), F.collect_set("first").alias("more"))
     )
-    joined = docs.join(hits.withColumnRenamed("doc", "_millrace_doc"), F.col(id_col).cast("long") == F.col("_millrace_doc"), "left").select(*names, "_millrace_runs", "_millrace_firsts")
+    none = F.array().cast("array<bigint>")
+    all_firsts = F.array_sort(F.array_union(F.coalesce("firsts", none), F.coalesce("more", none)))
+    removed = materialize(
+        hits.join(more, "doc", "left").select(F.col("doc").alias("_millrace_doc"), F.col("runs").alias("_millrace_runs"), "_millrace_words", all_firsts.alias("_millrace_firsts")).where(F.size("_millrace_firsts") > 0),
+        "removed",
+    )
+    discard(near, "passages")
+    discard(hits, "hits")
+    joined = docs.join(removed, F.col(id_col).cast("long") == F.col("_millrace_doc"), "left").select(*names, "_millrace_runs", "_millrace_words", "_millrace_firsts")
     at = names.index(text_col)
 
     def clean(batches):
         for batch in batches:
             texts, n_units, n_removed = [], [], []
-            for text, hit in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
+            for text, hit, places in zip(*(batch.column(i).to_pylist() for i in (at, len(names), len(names) + 1))):
                 if text is None:
                     texts.append(None)
                     n_units.append(0)
@@ -127,12 +250,31 @@ def remove_repeats(
                 for i, n, *_ in again + [(r["place"], r["units"]) for r in hit or ()]:
                     gone[i : i + n] = True
                 starts = [0, *ends[:-1]]
-                texts.append("".join([text[a:b] for a, b, g in zip(starts, ends, gone.tolist()) if not g]) if gone.any() else text)
+                cuts = [(a, b) for a, b, g in zip(starts, ends, gone.tolist()) if g]
+                hashes = word_hashes(text)
+                lost = np.zeros(len(hashes) + 1, np.int64)
+                for i in (*_again(hashes, least_passage).tolist(), *(places or ())):
+                    if i + least_passage <= len(hashes):  # else it is of another row of the same id
+                        lost[i] += 1
+                        lost[i + least_passage] -= 1
+                lost = np.cumsum(lost)[:-1] > 0
+                if lost.any():
+                    at_word = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+                    edges = np.flatnonzero(np.diff(np.concatenate([[False], lost, [False]]).astype(np.int8))).reshape(-1, 2)
+                    cuts = sorted(cuts + [(at_word[i], at_word[j]) for i, j in edges.tolist()])
+                    unit_of = np.searchsorted(ends, np.array(at_word[:-1])[lost], "right")
+                    gone[unit_of] = True
+                kept, end = [], 0
+                for a, b in cuts:
+                    if a > end:
+                        kept.append(text[end:a])
+                    end = max(end, b)
+                texts.append("".join(kept) + text[end:] if cuts else text)
                 n_units.append(len(ends))
                 n_removed.append(int(gone.sum()))
             columns = [batch.column(i) for i in range(len(names))]
             columns[at] = pa.array(texts, pa.string())
-            columns += [pa.array(n_units, pa.int32()), pa.array(n_removed, pa.int32()), batch.column(len(names) + 1)]
+            columns += [pa.array(n_units, pa.int32()), pa.array(n_removed, pa.int32()), batch.column(len(names) + 2)]
             yield pa.RecordBatch.from_arrays(columns, [*names, *ADDED])
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.IntegerType()) for n in ADDED[:2]), T.StructField(ADDED[2], T.ArrayType(T.LongType()))])

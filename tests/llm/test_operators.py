@@ -152,6 +152,30 @@ def test_substring(docs, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_substring_at_any_offset(spark):
+    """Passages planted inside sentences, against a search for equal passages at every word."""
+    rng = np.random.default_rng(5)
+    write = lambda n: " ".join(f"w{x}" + ("." if d < 0.02 else "") for x, d in zip(rng.integers(0, 10**6, n), rng.random(n)))
+    shared = [write(n) for n in (51, 52, 60, 75, 120, 50, 300)]
+    rows = [(i, " ".join([write(int(rng.integers(1, 40))), shared[i % 7].upper() if i % 2 else shared[i % 7], write(int(rng.integers(0, 40))), *([shared[(i + 2) % 7]] if i % 3 else [])])) for i in range(40)]
+    rows += [(90, write(30) + " " + rows[3][1][20:900]), (91, rows[0][1] + "\n" + rows[0][1]), (92, write(200))]
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first = {}
+    for i, text in rows:
+        w = text.lower().split()
+        lost = set()
+        for j in range(len(w) - 50):
+            doc, place = first.setdefault(tuple(w[j : j + 51]), (i, j))
+            if doc < i or place + 51 <= j:
+                lost.update(range(j, j + 51))
+        left = collections.Counter(x for j, x in enumerate(w) if j not in lost)
+        have = collections.Counter(got[i]["text"].lower().split())
+        # Runs of whole units may go besides; what the search finds goes in any case.
+        assert not have - left and (lost or have == left or i % 7 == 5 or (i + 2) % 7 == 5)
+        assert (got[i]["n_removed"] > 0) >= bool(lost)
+    assert got[92]["text"] == rows[-1][1] and got[0]["text"].split() == rows[0][1].split()
+
+
 def test_units_cover_text():
     for _, x in TEXTS:
         ends = substring_dedup.units(x or "")[0]
