@@ -31,11 +31,14 @@ def rules(df: DataFrame, basket: str, item: str, support: float, confidence: flo
     )
 
 
-def sequences(df: DataFrame, key: str, item: str, order: list[str], support: float, longest: int) -> DataFrame:
-    """Frequent sequences of single items within the rows of a key, as text ``a > b``, and their support."""
+def sequences(df: DataFrame, key: str, item: str, order: list[str], support: float, longest: int | None = None) -> DataFrame:
+    """Frequent sequences of single items within the rows of a key, as text ``a > b``, and their support.
+
+    They are of any length unless ``longest`` is given.
+    """
     from pyspark.ml.fpm import PrefixSpan
 
     held = F.array_sort(F.collect_list(F.struct(*order, F.col(item).alias("_item"))))
     rows = df.groupBy(key).agg(F.transform(held, lambda x: F.array(x["_item"])).alias("sequence"))
-    found = PrefixSpan(minSupport=support, maxPatternLength=longest).findFrequentSequentialPatterns(rows)
+    found = PrefixSpan(minSupport=support, maxPatternLength=longest or 2**31 - 1).findFrequentSequentialPatterns(rows)
     return found.select(F.array_join(F.transform("sequence", lambda x: F.array_join(x, "+")), " > ").alias("sequence"), F.col("freq").alias("n"))

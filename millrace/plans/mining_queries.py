@@ -100,6 +100,8 @@ _register(
     "WITH u AS (SELECT count(DISTINCT user_id) AS u FROM events), s AS (SELECT event_type AS sequence, count(DISTINCT user_id) AS n FROM events GROUP BY 1 UNION ALL "
     "SELECT x.event_type || ' > ' || y.event_type, count(DISTINCT x.user_id) FROM events x JOIN events y ON x.user_id = y.user_id AND (x.ts, x.event_id) < (y.ts, y.event_id) GROUP BY 1) SELECT sequence, n FROM s, u WHERE n >= ceil(0.01 * u)",
 )
+# Of any length, within a user's day: over all of a user's events nearly all sequences are frequent, too many for any result.
+_register("sequences_whole", "events", lambda t: mining.sequences(t.withColumn("day", F.struct("user_id", F.to_date("ts"))), "day", "event_type", ["ts", "event_id"], 0.01), None)
 
 _TOP = "SELECT {0}, arg_max({1}, (n, -r)) AS prediction FROM (SELECT {0}, {1}, count(*) AS n, dense_rank() OVER (ORDER BY {1}) AS r FROM {2} GROUP BY {0}, {1}) GROUP BY {0}"
 _register("zero_rule", "lineitem", lambda t: models.zero_rule(t, "l_returnflag")(t).groupBy("prediction").count(), "SELECT (SELECT l_returnflag FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS prediction, count(*) AS count FROM lineitem")

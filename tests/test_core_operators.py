@@ -266,3 +266,34 @@ def test_similar_texts_against_all_pairs(spark):
     got = {(r["a"], r["b"]): r["cosine"] for r in similarity.similar_texts(df, "k", "t", 0.5).collect()}
     want = {p: c for p, c in cosine.items() if c >= 0.5}
     assert len(want) > 10 and got == pytest.approx(want)
+
+
+def test_sequences_of_any_length(spark):
+    import itertools
+
+    from millrace.operators import mining
+
+    held = {1: "abcabca", 2: "abcacb", 3: "bacabca", 4: "cabcab", 5: "aabbcca"}
+    rows = [(u, i, x) for u, xs in held.items() for i, x in enumerate(xs)]
+    got = mining.sequences(spark.createDataFrame(rows, "u int, i int, x string"), "u", "x", ["i"], 0.6).collect()
+    inside = lambda p, xs: all(c in it for it in [iter(xs)] for c in p)
+    counts = {" > ".join(p): sum(inside(p, xs) for xs in held.values()) for n in range(1, 8) for p in itertools.product("abc", repeat=n)}
+    assert {r["sequence"]: r["n"] for r in got} == {p: n for p, n in counts.items() if n >= 3}
+    assert max(r["sequence"].count(">") for r in got) >= 4
+
+
+def test_sequences_whole_is_registered_without_limit(spark):
+    from millrace.plans import catalog
+
+    data = "/root/testdata/sf0.001"
+    days = {}
+    for r in spark.read.parquet(f"{data}/events.parquet").orderBy("user_id", "ts", "event_id").collect():
+        days.setdefault((r["user_id"], r["ts"].date()), []).append(r["event_type"])
+    inside = lambda p, xs: all(c in it for it in [iter(xs)] for c in p)
+    types, open_, want = sorted({x for xs in days.values() for x in xs}), [()], {}
+    while open_:
+        found = {p + (x,): sum(inside(p + (x,), xs) for xs in days.values()) for p in open_ for x in types}
+        open_ = [p for p, n in found.items() if 100 * n >= len(days)]
+        want |= {" > ".join(p): found[p] for p in open_}
+    got = catalog.queries()["sequences_whole"](spark, data).collect()
+    assert len(got) == len(want) and {r["sequence"]: r["n"] for r in got} == want and max(p.count(">") for p in want) >= 2
