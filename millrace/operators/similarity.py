@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from millrace.plans.numbering import numbered, scratch, stored
+
 
 def words(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != ""))
@@ -26,11 +28,25 @@ def edit_distance(a: Column, b: Column) -> Column:
 def nearest(targets: DataFrame, rows: DataFrame, columns: list[str], k: int, target_id: str, row_id: str) -> DataFrame:
     """The ``k`` nearest rows of each target by range-normalised Euclidean distance, with ties at the last.
 
-    ``targets`` is a stated, small query set and is broadcast; at most ``MOST_TARGETS`` are taken in a call.
+    The targets are broadcast in blocks of at most ``MOST_TARGETS``, one after the other; any number is answered.
     """
-    if targets.limit(MOST_TARGETS + 1).count() > MOST_TARGETS:
-        raise ValueError(f"more than {MOST_TARGETS} targets; call in parts")
-    m = rows.agg(*[x for c in columns for x in (F.min(c).alias(f"{c}|a"), F.max(c).alias(f"{c}|b"))]).first()
+    names = dict.fromkeys([target_id, *columns])
+    targets = targets.select(*names)
+    if targets.limit(MOST_TARGETS + 1).count() <= MOST_TARGETS:
+        return _nearest(targets, rows, columns, k, target_id, row_id, _ranges(rows, columns))
+    held, m = stored(numbered(targets, [target_id], "_place"), "targets"), _ranges(rows, columns)
+    path, last = scratch(rows.sparkSession, "nearest"), held.agg(F.max("_place")).first()[0]
+    for at in range(1, last + 1, MOST_TARGETS):
+        found = _nearest(held.where(F.col("_place").between(at, at + MOST_TARGETS - 1)), rows, columns, k, target_id, row_id, m)
+        found.write.mode("append").parquet(path)
+    return rows.sparkSession.read.schema(found.schema).parquet(path)
+
+
+def _ranges(rows: DataFrame, columns: list[str]):
+    return rows.agg(*[x for c in columns for x in (F.min(c).alias(f"{c}|a"), F.max(c).alias(f"{c}|b"))]).first()
+
+
+def _nearest(targets: DataFrame, rows: DataFrame, columns: list[str], k: int, target_id: str, row_id: str, m) -> DataFrame:
     t = F.broadcast(targets.select(F.col(target_id).alias("target"), *[F.col(c).alias(f"_{c}") for c in columns]))
     width = {c: (m[f"{c}|b"] - m[f"{c}|a"]) or 1.0 for c in columns}
     d = F.sqrt(sum((F.pow((F.col(c) - F.col(f"_{c}")) / width[c], 2) for c in columns), F.lit(0.0)))
@@ -96,7 +112,6 @@ def similar_texts(df: DataFrame, key: str, text: str, least: float) -> DataFrame
     before the rest is shorter than ``least``: frequent tokens are so never paired.
     """
     from millrace.operators.text import tf_idf
-    from millrace.plans.numbering import stored
 
     weights = tf_idf(df, key, text).withColumnRenamed(key, "k")
     firsts = _equal(weights).where("k = first").select("k")

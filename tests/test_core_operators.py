@@ -297,3 +297,14 @@ def test_sequences_whole_is_registered_without_limit(spark):
         want |= {" > ".join(p): found[p] for p in open_}
     got = catalog.queries()["sequences_whole"](spark, data).collect()
     assert len(got) == len(want) and {r["sequence"]: r["n"] for r in got} == want and max(p.count(">") for p in want) >= 2
+
+
+def test_nearest_answers_any_number_of_targets(spark, monkeypatch):
+    from millrace.operators import similarity
+
+    rows = spark.createDataFrame([(i, float(i * i % 37), float(i * 7 % 23)) for i in range(60)], "id long, x double, y double")
+    targets = rows.where("id % 3 = 0")
+    whole = sorted(map(tuple, similarity.nearest(targets, rows, ["x", "y"], 3, "id", "id").collect()))
+    monkeypatch.setattr(similarity, "MOST_TARGETS", 7)
+    assert sorted(map(tuple, similarity.nearest(targets, rows, ["x", "y"], 3, "id", "id").collect())) == whole
+    assert {t for t, *_ in whole} == set(range(0, 60, 3))
