@@ -6,28 +6,12 @@ bounds stay as they are when a task is run again. Only one row a partition is th
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_PART, _PLACE, _BASE = "__part", "__place", "__base"
-
+from millrace.plans.storage import scratch, stored  # noqa: F401  given on
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; a temporary folder is set only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_PART, _PLACE, _BASE = "__part", "__place", "__base"
 
 
 def numbered(df: DataFrame, order: list, name: str = "_i") -> DataFrame:
