@@ -2,40 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.plans.storage import discard, scratch, shared_dir, stored  # noqa: F401  given on
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one is set only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, so that lost executors repeat no earlier work."""
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame, *tags: str) -> None:
-    """Remove the files of a materialised table that no later plan reads."""
-    sc = df.sparkSession.sparkContext
-    for f in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        if any(f"/{tag}-" in f for tag in tags):
-            path = sc._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+materialize = stored
+#: Slots of the filter that ``only_wanted`` broadcasts: 8 MB, whatever the tables' sizes.
+_SLOTS = 1 << 26
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -54,6 +30,63 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with underscores until no column is called so in any case."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def flag_wanted(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, name: str) -> DataFrame:
+    """``df`` with a column ``name``: whether ``key``, a 64-bit hash, may be one of ``wanted``. It is true for all
+    that are, and for a few others; a null key is not wanted.
+
+    A filter of a fixed number of bits is broadcast, so that a join that follows shuffles little where
+    little is wanted, and all where much is; no row is missed at any size.
+    """
+    slot = F.pmod(wanted_key, F.lit(_SLOTS))
+    bits = wanted.select(slot.alias("s")).where("s is not null").select((F.col("s") / 32_768).cast("int").alias("b"), (F.col("s") % 32_768).alias("p"))
+    bits = bits.groupBy("b").agg(F.expr("bitmap_construct_agg(p)").alias("bits"))
+    block, place, shown = (free_name([*df.columns, name], n) for n in ("_block", "_place", "_bits"))
+    held = df.withColumn(place, F.pmod(key, F.lit(_SLOTS)))
+    held = held.withColumn(block, (F.col(place) / 32_768).cast("int"))
+    held = held.join(F.broadcast(bits.toDF(block, shown)), block, "left")  # at most 2,048 rows of 4 KB
+    byte = F.conv(F.hex(F.substring(shown, (F.col(place) % 32_768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.pow(F.lit(2), F.col(place) % 8).cast("int")) != 0
+    return held.select(*df.columns, F.coalesce(hit, F.lit(False)).alias(name))
+
+
+def only_wanted(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """The rows of ``df`` that ``flag_wanted`` flags."""
+    name = free_name(df.columns, "_wanted")
+    return flag_wanted(df, key, wanted, wanted_key, name).where(F.col(name)).drop(name)
+
+
+def block_sizes(total: int, least: int = 1_500_000, entries: int = 256) -> tuple[int, int]:
+    """Entries of a chunk, and the number of buckets of which each chunk fills one block.
+
+    A chunk and a bucket hold at least ``least`` entries, and beyond that the root of the total, so
+    that a block has some hundred entries at any size: blocks grow in proportion to the input, and
+    the memory of a task with its root.
+    """
+    size = max(least, math.isqrt(entries * max(total, 1)))
+    return size, max(8, -(-total // max(least // 3, math.isqrt(entries * max(total, 1)))))
+
+
+def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], held: str, rows: int, least: int = 10_000) -> DataFrame:
+    """Left join of ``left``, of so many ``rows``, with ``right``, whose keys are unique and whose column ``held``
+    says how many rows of ``left`` have each.
+
+    Keys of more than a thousandth of the rows (and of ``least`` rows), at most a thousand, are broadcast, so that a hot key
+    stays spread over the tasks that read it; the others are shuffled.
+    """
+    limit = max(rows // 1000, least)
+    heavy = F.broadcast(right.where(F.col(held) > limit).drop(held))
+    light = right.where(F.col(held) <= limit).drop(held)
+    rest = left.join(heavy.select(keys), keys, "left_anti").join(light, keys, "left")
+    return left.join(heavy, keys).unionByName(rest)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every node of ``edges(a long, b long)``; nodes without edges are not returned.
 
@@ -85,7 +118,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             after.join(after.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi").limit(1).count() == 0
             and leaves.where("n > 1").limit(1).count() == 0
         )
-        discard(e, "cc")
+        discard(e)
         e = after
         if settled:
             break

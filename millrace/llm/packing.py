@@ -49,15 +49,17 @@ def token_pieces(
     ).mapInArrow(run, PIECES)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Bins that any packing needs: the best of two families of dual feasible functions.
+def lower_bound(lengths: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """Bins that any packing needs: the best of two families of dual feasible functions. ``counts`` says how often
+    each length occurs, once without.
 
     The first counts items above ``capacity - t`` whole and drops those below ``t``; the second
     rounds ``(k + 1) * length / capacity`` down unless it is whole.
     """
     if not len(lengths):
         return 0
-    x, n = np.unique(lengths, return_counts=True)
+    x, at = np.unique(lengths, return_inverse=True)
+    n = np.bincount(at, counts).astype(np.int64)
     mass, count = np.concatenate([[0], np.cumsum(x * n)]), np.concatenate([[0], np.cumsum(n)])
     t = np.concatenate([[0], x[x <= capacity // 2]])
     low, high = np.searchsorted(x, t, "left"), np.searchsorted(x, capacity - t, "right")
@@ -94,60 +96,74 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, np.array(free, np.int64)
 
 
-def _packed(items: DataFrame, capacity: int, seed: int) -> DataFrame:
-    """Best-fit decreasing in each group. ``seq`` is unique over all groups and rounds; ``open`` marks
-    bins to exchange: all with room where the bound is not reached, else the emptiest."""
+def _packed(items: DataFrame, capacity: int) -> DataFrame:
+    """Best-fit decreasing in each group of ``uid, length, grp, bin, at``. A bin is named by its smallest ``uid``;
+    ``open`` marks bins to exchange: all with room where the bound is not reached, else the emptiest."""
 
     def run(part):
         part = part.sort_values(["length", "uid"], ascending=[False, True], ignore_index=True)
         lengths = part["length"].to_numpy()
         bins, offsets, free = best_fit_decreasing(lengths, capacity)
-        old = int(part["bin"].nunique()) if seed else len(free) + 1
-        if len(free) >= old:  # the exchange gained nothing: the bins stay as they came
-            return part.assign(seq=part["bin"], offset=part["at"], open=False)[["uid", "length", "grp", "seq", "offset", "open"]]
+        if part["bin"].notna().all() and len(free) >= part["bin"].nunique():  # nothing gained: the bins stay as they came
+            bins, offsets = part["bin"].factorize()[0], part["at"].to_numpy()
+            free = capacity - np.bincount(bins, lengths).astype(np.int64)
         opened = np.zeros(len(free), bool)
         if len(free):
             opened[int(free.argmax())] = free.max() > 0
             if len(free) > lower_bound(lengths, capacity):
                 opened |= free > 0
         firsts = part.groupby(bins)["uid"].min().to_numpy()
-        return part.assign(seq=firsts[bins] * 4 + seed, offset=offsets, open=opened[bins])[
-            ["uid", "length", "grp", "seq", "offset", "open"]
-        ]
+        return part.assign(seq=firsts[bins], offset=offsets, open=opened[bins])[["uid", "length", "grp", "seq", "offset", "open"]]
 
     return items.groupBy("grp").applyInPandas(run, PLACED)
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, group_items: int = 20_000, rounds: int = 2) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, group_items: int = 20_000) -> DataFrame:
     """The rows of ``pieces`` with ``sequence_id`` and ``offset``.
 
-    Ties go to the smaller row number of the written pieces, so that repeated rows are packed one
-    by one. An empty table gives no rows.
+    Open bins are exchanged until two rounds in a row have gained none, and ``certificate`` says how
+    far the result may be from the best. Ties go to the smaller row number of the written pieces,
+    so that repeated rows are packed one by one. An empty table gives no rows; columns of ``pieces`` besides its own five are not read.
     """
-    pieces = materialize(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    pieces = materialize(pieces.select("doc_id", "piece", "start", "length", "ids_crc32").withColumn("uid", F.monotonically_increasing_id()), "pieces")
     loose = pieces.where(F.col("length") < capacity).select("uid", "length")
     groups = max(1, -(-loose.count() // group_items))
     start = loose.select(
         "*", F.pmod(F.xxhash64("uid"), F.lit(groups)).alias("grp"), F.lit(None).cast("long").alias("bin"), F.lit(None).cast("long").alias("at")
     )
-    placed = materialize(_packed(start, capacity, 0), "packed")
-    done = [placed.where("not open")]
-    for seed in range(1, rounds + 1):
+    placed, done, number, fruitless = materialize(_packed(start, capacity), "packed"), [], 0, 0
+    while fruitless < 2:
         waiting = placed.where("open")
-        n = waiting.count()
+        n, before = waiting.agg(F.count("*"), F.countDistinct("seq")).first()
         if not n:
-            done.append(waiting)
             break
+        done.append(placed.where("not open"))
+        number += 1
         groups = max(1, -(-n // group_items))
         again = waiting.select(
-            "uid", "length", F.pmod(F.xxhash64("seq", F.lit(seed)), F.lit(groups)).alias("grp"), F.col("seq").alias("bin"), F.col("offset").alias("at")
+            "uid", "length", F.pmod(F.xxhash64("seq", F.lit(number)), F.lit(groups)).alias("grp"), F.col("seq").alias("bin"), F.col("offset").alias("at")
         )
-        placed = materialize(_packed(again, capacity, seed), "packed")
-        done.append(placed.where("not open") if seed < rounds else placed)
+        placed = materialize(_packed(again, capacity), "packed")
+        after = placed.agg(F.countDistinct("seq")).first()[0]
+        fruitless = 0 if after < before else fruitless + 1
+        if groups == 1 and number > 1:  # one group has seen all that is open
+            break
+    done.append(placed)
     places = reduce(DataFrame.unionAll, done).select("uid", "seq", "offset")
-    whole = pieces.where(F.col("length") >= capacity).select("uid", (F.col("uid") * 4 + 3).alias("seq"), F.lit(0).cast("long").alias("offset"))
+    whole = pieces.where(F.col("length") >= capacity).select("uid", F.col("uid").alias("seq"), F.lit(0).cast("long").alias("offset"))
     return (
         pieces.join(places.unionAll(whole), "uid")
         .withColumnRenamed("seq", "sequence_id")
         .select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
     )
+
+
+def certificate(packed: DataFrame, capacity: int = 4096) -> DataFrame:
+    """One row: ``sequences``, the ``bound`` that no packing of the same pieces is below, and the ``gap``.
+
+    The bound is of all pieces together, from one row a length, of which there are at most ``capacity``.
+    """
+    held = packed.groupBy("length").agg(F.count("*").alias("n")).collect()
+    bound = lower_bound(np.array([r["length"] for r in held], np.int64), capacity, np.array([r["n"] for r in held], np.int64))
+    used = packed.agg(F.countDistinct("sequence_id").alias("sequences"))
+    return used.select("sequences", F.lit(bound).cast("long").alias("bound"), (F.col("sequences") - bound).alias("gap"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import free_name
+
 SPAN = "array<struct<kind:string,start:int,end:int,value:string,score:double>>"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
@@ -22,7 +24,7 @@ BASE = (
     ("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", 0.7),
 )
 #: What the method adds to the base: account numbers confirmed by mod-97, and numbers that only
-#: words such as those below, in the characters before them, make telephone numbers.
+#: words such as those below, in the characters before or behind them, make telephone numbers.
 ADDED = (
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ -]?+[A-Z0-9]{4}){2,7}+(?:[ -]?+[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.8),
     ("local_phone", r"(?<![A-Za-z0-9+.-])\(?+[0-9]{2,4}\)?+[ -][0-9]{3,4}[ -][0-9]{3,4}(?![A-Za-z0-9-]|\.[0-9])", r"[0-9][ -][0-9]", 0.3),
@@ -83,7 +85,7 @@ def _found(text: Column, kind: str, pattern: str, hint: str, base: float, contex
         start = acc["at"] + x["gap"]
         end = start + F.length(x["hit"])
         from_ = F.greatest(start - context_chars, F.lit(0))
-        near = F.substring(text, from_ + 1, start - from_)
+        near = F.concat(F.substring(text, from_ + 1, start - from_), F.lit(" "), F.substring(text, end + 1, F.lit(context_chars // 2)))
         score = F.lit(base) + F.when(near.rlike(CONTEXT[kind]), F.lit(0.3)).otherwise(F.lit(0.0))
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["hit"].alias("value"), F.least(score, F.lit(1.0)).alias("score"))
         kept = F.concat(acc["out"], F.filter(F.array(span), lambda s: s["score"] >= least).cast(SPAN))
@@ -96,18 +98,27 @@ def _found(text: Column, kind: str, pattern: str, hint: str, base: float, contex
     return F.when(text.contains(hint) if kind == "email" else text.rlike(hint), spans).otherwise(empty)
 
 
+def _spans(text_col: str, least_score: float, context_chars: int) -> tuple[Column, Column]:
+    """The base spans, and what the method adds."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    base = [_found(text, *k, context_chars, 0.0) for k in BASE]
+    more = [_found(text, *k, context_chars, least_score) for k in ADDED]
+    return F.concat(*base), F.concat(*more)
+
+
 def find(docs: DataFrame, text_col: str = "text", least_score: float = 0.5, context_chars: int = 40) -> DataFrame:
     """``docs`` with ``pii_base`` and ``pii``: the base spans, and these with what the method adds.
 
     A null or empty text has no spans; every row is kept, with all its columns; repeated rows get
-    equal spans. Base spans stay whatever their score; added ones need ``least_score``.
+    equal spans; an empty table gives no rows. Base spans stay whatever their score; added ones need
+    ``least_score``. Context words are looked for in ``context_chars`` characters before a span and
+    half as many behind it. Columns of ``docs`` named like the two added ones, in any case, are replaced.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = [_found(text, *k, context_chars, 0.0) for k in BASE]
-    more = [_found(text, *k, context_chars, least_score) for k in ADDED]
-    return docs.withColumns({"pii_base": F.concat(*base), "pii_more": F.concat(*more)}).withColumn(
-        "pii", F.concat("pii_base", "pii_more")
-    ).drop("pii_more")
+    if text_col.lower() in ("pii", "pii_base"):
+        raise ValueError("the text column must not be named like an added one")
+    names = [c for c in docs.columns if c.lower() not in ("pii", "pii_base")]
+    base, more = _spans(text_col, least_score, context_chars)
+    return docs.select(*names, base.alias("pii_base"), more.alias("pii")).withColumn("pii", F.concat("pii_base", "pii"))
 
 
 def _joined(spans: Column) -> Column:
@@ -125,13 +136,14 @@ def digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(F.col("pii_base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"))
 
 
-def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def mask(docs: DataFrame, text_col: str = "text", least_score: float = 0.5, context_chars: int = 40) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; overlapping spans count as one,
-    named by the first. Texts without spans, nulls among them, stay as they are."""
-    columns = docs.columns
-    found = find(docs, text_col)
+    named by the first. Texts without spans, nulls among them, stay as they are, and so do all other
+    columns, whatever their names."""
+    columns, spans = docs.columns, free_name(docs.columns, "_spans")
+    found = docs.withColumn(spans, F.concat(*_spans(text_col, least_score, context_chars)))
     text = F.col(text_col)
-    ordered = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def step(acc, s):
         fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
@@ -142,4 +154,4 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     masked = F.aggregate(
         ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
     )
-    return found.withColumn(text_col, F.when(F.size("pii") > 0, masked).otherwise(text)).select(*columns)
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, masked).otherwise(text)).select(*columns)

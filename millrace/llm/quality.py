@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import join_heavy, materialize
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -39,8 +39,9 @@ def _repeated_window_words(words: Column) -> Column:
     return F.when(n < 3, F.lit(0).cast("long")).otherwise(F.get(F.transform(F.array(hashes), covered), F.lit(0)))
 
 
-def measure(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``doc_id, host`` and the counts of every row. A null text has no words; a null host counts as the empty one."""
+def measure(docs: DataFrame, text_col: str = "text", host_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, host`` and the counts of every row. A null text has no words; a null host counts as the empty one.
+    Other columns of ``docs`` are not read, whatever their names."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     by_words = F.transform(
         F.array(F.filter(F.split(text, _SPACE), lambda w: w != "")),
@@ -50,7 +51,7 @@ def measure(docs: DataFrame, text_col: str = "text", host_col: str = "source") -
         F.array(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")
     )
     return docs.select(
-        "doc_id",
+        F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
         F.get(by_words, F.lit(0)).alias("w"),
         F.length(F.regexp_replace(text, _SPACE, "")).cast("long").alias("word_chars"),
@@ -67,11 +68,12 @@ def rules(counts: DataFrame) -> DataFrame:
     return counts.withColumn("base_failed", base).withColumn("failed", base | odd)
 
 
-def host_verdicts(rated: DataFrame, most: float = 0.8) -> DataFrame:
+def host_verdicts(rated: DataFrame, most: float = 0.5) -> DataFrame:
     """``host, n, n_failed, rate, host_ok``: rates pulled towards the mean of all hosts.
 
     The prior's strength is fitted to the hosts' own rates by moments and kept within 1 and 1000
-    documents. A host is rejected when its shrunk rate is above ``most``.
+    documents. A host is rejected when its shrunk rate is above ``most``: half of what it gives, as
+    far as the prior lets its own documents say so, is bad.
     """
     hosts = rated.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
     r = F.col("n_failed") / F.col("n")
@@ -84,15 +86,16 @@ def host_verdicts(rated: DataFrame, most: float = 0.8) -> DataFrame:
     return hosts.withColumn("rate", rate).withColumn("host_ok", F.col("rate") <= most)
 
 
-def judge(docs: DataFrame, most: float = 0.8, host_col: str = "source") -> DataFrame:
+def judge(docs: DataFrame, most: float = 0.5, host_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs`` with its counts, ``base_failed``, the host's ``rate`` and ``kept``.
 
     The counts are written once to the shared folder, since hosts and documents both read them.
-    Repeated rows count as often as they occur, and an empty table gives no rows.
+    Repeated rows count as often as they occur, and an empty table gives no rows. A host of many
+    documents meets them where they are read. Other columns of ``docs`` are not read.
     """
-    rated = materialize(rules(measure(docs, host_col=host_col)), "quality")
-    hosts = host_verdicts(rated, most).select("host", "rate", "host_ok")
-    return rated.join(hosts, "host").select(
+    rated = materialize(rules(measure(docs, text_col, host_col, id_col)), "quality")
+    hosts = host_verdicts(rated, most).select("host", "rate", "host_ok", "n")
+    return join_heavy(rated, hosts, ["host"], "n", rated.count()).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.col("host_ok")).alias("kept"), "host", F.col("rate").alias("host_rate"),
     )

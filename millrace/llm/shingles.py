@@ -42,29 +42,48 @@ def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
 
     A text with fewer words has one shingle, of all its words; one without words has none.
     """
-    out: list[np.ndarray] = []
+    return [s for a, b in bounded(texts) for s in _some(texts[a:b], words)]
+
+
+def bounded(texts: list[bytes], most: int = 400_000):
+    """Stretches ``(start, stop)`` of the texts with at most so many bytes, or of one longer text."""
     start = 0
     while start < len(texts):
         stop, size = start, 0
-        while stop < len(texts) and (stop == start or size + len(texts[stop]) < 400_000):
+        while stop < len(texts) and (stop == start or size + len(texts[stop]) < most):
             size += len(texts[stop]) + 1
             stop += 1
-        out += _some(texts[start:stop], words)
+        yield start, stop
         start = stop
-    return out
+
+
+class Words:
+    """The words of many UTF-8 texts: where they begin and end in ``data``, the texts behind each other with a
+    line feed after each, and their hashes. ``at`` has the first word of each text, and the end of the last."""
+
+    def __init__(self, texts: list[bytes]):
+        self.data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
+        space = _SPACE[self.data]
+        before = np.concatenate([[True], space[:-1]])
+        self.first = np.flatnonzero(~space & before)
+        self.last = np.flatnonzero(space & ~before)
+        _Powers.upto(len(self.data) + 1)
+        total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[self.data] * _Powers.up[: len(self.data)])])
+        self.hashes = mix((total[self.last] - total[self.first]) * _Powers.down[self.first] + (self.last - self.first).astype(np.uint64))
+        self.offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        self.at = np.searchsorted(self.first, self.offsets)
+        self._sums = None
+
+    def ranges(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A hash of the words from ``a`` to before ``b``."""
+        if self._sums is None:
+            self._sums = np.concatenate([[np.uint64(0)], np.cumsum(self.hashes * _Powers.up[: len(self.hashes)])])
+        return mix((self._sums[b] - self._sums[a]) * _Powers.down[a] + (b - a).astype(np.uint64) * _PLACE[50])
 
 
 def _some(texts: list[bytes], words: int) -> list[np.ndarray]:
-    data = _LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
-    space = _SPACE[data]
-    before = np.concatenate([[True], space[:-1]])
-    first = np.flatnonzero(~space & before)
-    last = np.flatnonzero(space & ~before)
-    _Powers.upto(len(data) + 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * _Powers.up[: len(data)])])
-    word = mix((total[last] - total[first]) * _Powers.down[first] + (last - first).astype(np.uint64))
-    bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    at = np.searchsorted(first, bounds)
+    found = Words(texts)
+    word, at = found.hashes, found.at
     if len(word) >= words:
         run = word[: len(word) - words + 1] * _PLACE[0]
         for k in range(1, words):

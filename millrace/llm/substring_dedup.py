@@ -1,80 +1,72 @@
 """Substring dedup over sliding spans of sentences, and over passages of words at any place.
 
-A text is a row of units: its sentences, the long ones cut every few words from their start. From
-each unit the shortest run of several units with enough words is hashed. Runs are joined globally
-by their hashes; every unit that a non-first run covers is removed. First is the smallest document
-id, and within a document the earliest place.
+From each sentence of a text the shortest run of several sentences with enough words is hashed. All
+runs are joined globally by their hashes, and the sentences that a non-first run covers go. First is
+the smallest document id, and within a document the earliest place.
 
 Passages of many words are found wherever they begin. Of each stretch of words the least of the
-windows' hashes is a mark (winnowing), so that equal passages have a mark in common at any offset.
-All passages around the marks that two documents share are then joined by their own hashes, and
-every word of a non-first one is removed: marks only choose where to look.
+windows' hashes is a mark (winnowing), so that equal passages have a mark in common at any offset;
+marks only choose where to look. The passages around marks that two texts share are joined by their
+own hashes, and every word of a non-first one goes.
+
+Both joins run on blocks: a chunk of documents sorts its hashes and sends each bucket of the hash
+range one block, with every hash once; the bucket answers each chunk which of them others have too.
+So a passage that a third of all documents share costs its bucket one entry a chunk.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import discard, materialize
+from millrace.llm.common import block_sizes, discard, flag_wanted, free_name, materialize, only_wanted
+from millrace.llm.shingles import Words, bounded
 
-_SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+[ \t]*|[^.!?\n]+")
-ADDED = ("n_units", "n_removed", "first_doc_ids")
-_WORD = re.compile(r"\S+")
+ADDED = ("n_removed", "first_doc_ids")
+_STOP, _CLOSER = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[list(b".!?")] = True
+_CLOSER[list(b"\"')]")] = True
+#: Keeps the hashes of runs and of windows apart.
+_RUN = np.uint64(0xA0761D6478BD642F)
+_NEW, _IS_RUN = np.uint32(1 << 31), np.uint32(1 << 30)
 
 
-def units(text: str, longest: int = 16) -> tuple[list[int], list[int], list[bytes]]:
-    """Where each unit ends, its words, and the hash of its words without regard to case.
+# Spans of a text -----------------------------------------------------------------------------
 
-    The units cover the text. What has no word belongs to the unit before it.
-    """
-    ends, sizes, hashes, at = [], [], [], 0
-    for sentence in _SENTENCE.findall(text):
-        end = at + len(sentence)
-        words = sentence.lower().split()
-        if not words:
-            if ends:
-                ends[-1] = end
-            at = end
-            continue
-        if len(words) <= longest:
-            ends.append(end)
-            sizes.append(len(words))
-            hashes.append(xxhash.xxh3_64_digest(" ".join(words)))
-        else:
-            starts = [m.start() for m in _WORD.finditer(sentence)]
-            for i in range(0, len(words), longest):
-                some = words[i : i + longest]
-                ends.append(at + starts[i + longest] if i + longest < len(starts) else end)
-                sizes.append(len(some))
-                hashes.append(xxhash.xxh3_64_digest(" ".join(some)))
-        at = end
-    return ends, sizes, hashes
-
-
-def runs(sizes: list[int], hashes: list[bytes], least_units: int, least_words: int) -> list[tuple[int, int, bytes]]:
-    """``(first unit, units, hash)`` of the shortest long enough run from each unit that has one."""
-    out, total = [], np.concatenate([[0], np.cumsum(sizes)]) if sizes else np.zeros(1, np.int64)
-    stops = np.maximum(np.searchsorted(total, total[:-1] + least_words), np.arange(len(sizes)) + least_units).tolist()
-    for i, stop in enumerate(stops):
-        if stop > len(sizes):
-            break
-        out.append((i, stop - i, xxhash.xxh3_128_digest(b"".join(hashes[i:stop]))))
-    return out
-
-
-_FACTOR = 0x9E3779B97F4A7C15
-
-
-def word_hashes(text: str) -> np.ndarray:
-    words = text.lower().split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+def sentence_starts(w: Words) -> np.ndarray:
+    """Words that begin a sentence: the first of a text, and those behind a stop or a line feed."""
+    if not len(w.first):
+        return np.zeros(0, np.int64)
+    tail, before = w.data[w.last - 1], w.data[np.maximum(w.last - 2, w.first)]
+    ends = _STOP[tail] | (_CLOSER[tail] & _STOP[before])
+    lines = np.concatenate([[0], np.cumsum(w.data == 10)])
+    begins = np.ones(len(w.first), bool)
+    begins[1:] = ends[:-1] | (lines[w.first[1:]] > lines[w.last[:-1]])
+    begins[w.at[:-1][w.at[:-1] < len(begins)]] = True
+    return np.flatnonzero(begins)
+
+
+def _owners(w: Words) -> np.ndarray:
+    return np.repeat(np.arange(len(w.at) - 1), np.diff(w.at))
+
+
+def runs(w: Words, least_units: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and end of the shortest long enough run from each sentence that has one in its text."""
+    starts = sentence_starts(w)
+    ends = np.append(starts[1:], len(w.first))
+    last = np.maximum(np.searchsorted(ends, starts + least_words), np.arange(len(starts)) + least_units - 1)
+    inside = np.flatnonzero(last < len(starts))
+    stops = ends[last[inside]]
+    own = w.at[np.searchsorted(w.at, starts[inside], "right")] if len(inside) else stops
+    fine = stops <= own
+    return starts[inside][fine], stops[fine]
 
 
 def _over(x: np.ndarray, width: int, both) -> np.ndarray:
@@ -87,200 +79,367 @@ def _over(x: np.ndarray, width: int, both) -> np.ndarray:
     return x
 
 
-def _windows(hashes: np.ndarray, words: int) -> np.ndarray:
-    """A hash of each window of so many words: that of its first words, times a power, and that of the rest."""
-    n = max(len(hashes) - words + 1, 0)
-    if not n:
-        return np.zeros(0, np.uint64)
-    out, have, part, size = None, 0, hashes, 1
-    while True:
-        if words & size:
-            rest = part[have : have + n]
-            out = rest.copy() if out is None else out * np.uint64(pow(_FACTOR, size, 1 << 64)) + rest
-            have += size
-        if have == words:
-            break
-        part = part[:-size] * np.uint64(pow(_FACTOR, size, 1 << 64)) + part[size:]
-        size *= 2
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    out ^= out >> np.uint64(32)
-    return out
-
-
-def marks(hashes: np.ndarray, least_passage: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of windows such that every passage of ``least_passage`` words holds one, the same in every text.
-
-    A window is a mark if its hash is the least in a stretch that makes up such a passage.
-    """
-    size = least_passage // 2 + 1
-    found = _windows(hashes, size)
-    reach = least_passage - size + 1
-    if len(found) < reach:
+def marks(w: Words, least_passage: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of windows such that every passage of ``least_passage`` words within a text holds one,
+    the same in every text. A window is a mark if its hash is the least of all in such a passage."""
+    n, reach = len(w.first), least_passage - window + 1
+    if n < least_passage:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.arange(n - window + 1)
+    found = w.ranges(at, at + window)
+    least = _over(found, reach, np.minimum)
+    ends = np.repeat(w.at[1:], np.diff(w.at))[: len(least)]
+    least[np.arange(len(least)) + least_passage > ends] = 0
     edge = np.zeros(reach - 1, np.uint64)
-    least = np.concatenate([edge, _over(found, reach, np.minimum), edge])
-    places = np.flatnonzero(found == _over(least, reach, np.maximum))
+    places = np.flatnonzero(found == _over(np.concatenate([edge, least, edge]), reach, np.maximum))
     return places, found[places]
 
 
-def _around(n: int, places: list[int], least_passage: int) -> np.ndarray:
-    """Where the passages begin that hold one of the marks, in a text of ``n`` words."""
-    near = np.zeros(max(n - least_passage + 1, 0), bool)
-    for p in places:
-        near[max(p + least_passage // 2 + 1 - least_passage, 0) : p + 1] = True
-    return np.flatnonzero(near)
+def _candidates(texts: list[bytes], rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, owners and places (with a bit for runs) of all runs and marks of some texts."""
+    w = Words(texts)
+    owner = _owners(w)
+    a, b = runs(w, rule.least_units, rule.least_words)
+    at, found = marks(w, rule.least_passage, rule.window)
+    first = np.concatenate([a, at])
+    own = owner[first] if len(first) else first
+    place = (first - w.at[own]).astype(np.uint32)
+    place[: len(a)] |= _IS_RUN
+    return np.concatenate([w.ranges(a, b) ^ _RUN, found]), own.astype(np.uint32), place
+
+
+class Rule:
+    """What counts as a repeated span."""
+
+    def __init__(self, least_units: int, least_words: int, least_passage: int):
+        self.least_units, self.least_words, self.least_passage = least_units, least_words, least_passage
+        self.window = max(1, least_passage // 4)
+
+    def spans(self, texts: list[bytes], run_lists: list[list[int]], mark_lists: list[list[int]]):
+        """Keys, owners, first words and lengths of the chosen runs, and of all passages that hold a chosen mark."""
+        w = Words(texts)
+        a, b = runs(w, self.least_units, self.least_words)
+        wanted = np.concatenate([np.array(x, np.int64) + w.at[i] for i, x in enumerate(run_lists)])
+        chosen = np.isin(a, wanted)
+        a, b = a[chosen], b[chosen]
+        near = np.zeros(len(w.first) + 2, np.int64)
+        for i, x in enumerate(mark_lists):
+            if len(x) and w.at[i + 1] - w.at[i] >= self.least_passage:
+                p = np.array(x, np.int64) + w.at[i]
+                np.add.at(near, np.maximum(p + self.window - self.least_passage, w.at[i]), 1)
+                np.add.at(near, np.minimum(p, w.at[i + 1] - self.least_passage) + 1, -1)
+        at = np.flatnonzero(np.cumsum(near) > 0)
+        first, end = np.concatenate([a, at]), np.concatenate([b, at + self.least_passage])
+        keys = w.ranges(first, end)
+        keys[: len(a)] ^= _RUN
+        own = _owners(w)[first] if len(first) else first
+        return keys, own.astype(np.uint32), (first - w.at[own]).astype(np.uint32), (end - first).astype(np.uint32)
+
+
+# Blocks --------------------------------------------------------------------------------------
+
+_BLOCKS = "bucket long, chunk long, payload binary"
+
+
+def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows))
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["bucket", "chunk", "payload"])
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    sizes = np.array([a.nbytes for a in arrays], "<i8")
+    return sizes.tobytes() + b"".join(a.tobytes() for a in arrays)
+
+
+def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    sizes = np.frombuffer(blob, "<i8", len(kinds))
+    at = 8 * len(kinds) + np.concatenate([[0], np.cumsum(sizes)])
+    return [np.frombuffer(blob[a:b], k) for a, b, k in zip(at[:-1].tolist(), at[1:].tolist(), kinds)]
+
+
+def _blocks(chunk: int, ids: np.ndarray, keys, owner, columns: list[np.ndarray], buckets: int, with_first: bool) -> list[tuple[int, int, bytes]]:
+    """The blocks of a chunk, one a bucket that occurs, and its own row of documents and entries in key order."""
+    order = np.argsort(keys, kind="stable")  # equal keys stay in order of the documents
+    keys, owner, columns = keys[order], owner[order], [c[order] for c in columns]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+    unique = keys[new]
+    bucket = (unique >> np.uint64(32)) // np.uint64(-(-(1 << 32) // buckets))
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(unique) else np.zeros(1, np.int64)
+    sent = (unique, _least_by_key(ids[0][owner], new)) if with_first else ((unique & np.uint64(0xFFFFFFFF)).astype("<u4"),)
+    rows = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        rows.append((int(bucket[a]), chunk, _pack(np.array([a], "<i8"), *[s[a:b] for s in sent])))
+    columns[0] = columns[0] | np.where(new, _NEW, np.uint32(0))
+    narrow = owner.astype("<u2") if len(ids[0]) <= 65_536 else owner.astype("<u4")
+    rows.append((-1 - chunk, chunk, _pack(*ids, narrow, *columns)))
+    return rows
+
+
+def _least_by_key(values: np.ndarray, new: np.ndarray) -> np.ndarray:
+    return np.minimum.reduceat(values, np.flatnonzero(new)) if len(values) else values
+
+
+def _answer(t: pa.Table, answers: list[tuple[int, bytes]] | None) -> pa.Table:
+    """Rows ``chunk, own, seen``: a chunk's own row passes through, else what a bucket answers."""
+    if answers is None:
+        return pa.table({"chunk": t.column("chunk"), "own": t.column("payload"), "seen": pa.nulls(len(t), pa.binary())})
+    columns = list(zip(*answers)) if answers else [[], []]
+    return pa.table({"chunk": pa.array(columns[0], pa.int64()), "own": pa.nulls(len(columns[0]), pa.binary()), "seen": pa.array(columns[1], pa.binary())})
+
+
+_ANSWERS = "chunk long, own binary, seen binary"
+
+
+def _seen(key, t):
+    """Of each block the places of the hashes that another block of the bucket has too."""
+    if key[0].as_py() < 0:
+        return _answer(t, None)
+    blocks = [_unpack(b, "<i8", "<u4") for b in t.column("payload").to_pylist()]
+    found = np.concatenate([b[1] for b in blocks])
+    order = np.argsort(found, kind="stable")
+    same = found[order[1:]] == found[order[:-1]]
+    seen = np.zeros(len(found), bool)
+    seen[order[1:][same]] = True
+    seen[order[:-1][same]] = True
+    answers, at = [], 0
+    for chunk, (start, part) in zip(t.column("chunk").to_pylist(), blocks):
+        hit = np.flatnonzero(seen[at : at + len(part)])
+        at += len(part)
+        if len(hit):
+            answers.append((chunk, (hit + start[0]).astype("<u4").tobytes()))
+    return _answer(t, answers)
+
+
+def _firsts(key, t):
+    """Of each block the places of the hashes that a smaller document of another block has, and that document."""
+    if key[0].as_py() < 0:
+        return _answer(t, None)
+    blocks = [_unpack(b, "<i8", "<u8", "<i8") for b in t.column("payload").to_pylist()]
+    found, docs = np.concatenate([b[1] for b in blocks]), np.concatenate([b[2] for b in blocks])
+    order = np.lexsort((docs, found))
+    new = np.concatenate([[True], found[order[1:]] != found[order[:-1]]])[: len(found)]
+    first = np.empty(len(found), np.int64)
+    first[order] = docs[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(found) else docs
+    answers, at = [], 0
+    for chunk, (start, part, own) in zip(t.column("chunk").to_pylist(), blocks):
+        lead = first[at : at + len(part)]
+        at += len(part)
+        hit = np.flatnonzero(lead < own)
+        if len(hit):
+            answers.append((chunk, _pack((hit + start[0]).astype("<u4"), lead[hit])))
+    return _answer(t, answers)
+
+
+def _chunked(rows, take: Callable, buckets: int, size: int, with_first: bool):
+    """Batches of blocks. ``take(batch)`` yields ids, hashes of texts, keys, owners and further columns of some
+    documents; a chunk is full at ``size`` entries or 65,000 documents."""
+    part, number, held, docs, entries = TaskContext.get().partitionId(), 0, [], 0, 0
+
+    def flush():
+        ids = [np.concatenate([h[0][i] for h in held]) for i in range(2)]
+        base = np.concatenate([[0], np.cumsum([len(h[0][0]) for h in held])])
+        owner = np.concatenate([h[2] + np.uint32(k) for h, k in zip(held, base)])
+        columns = [np.concatenate([h[3][i] for h in held]) for i in range(len(held[0][3]))]
+        return _rows(_blocks(part * 65_536 + number, ids, np.concatenate([h[1] for h in held]), owner, columns, buckets, with_first))
+
+    for batch in rows:
+        for ids, keys, owner, columns in take(batch):
+            held.append((ids, keys, owner, columns))
+            docs, entries = docs + len(ids[0]), entries + len(keys)
+            if entries >= size or docs >= 65_000:
+                yield flush()
+                number, held, docs, entries = number + 1, [], 0, 0
+    if held:
+        yield flush()
+
+
+def _own_row(t: pa.Table) -> bytes:
+    return next(b for b in t.column("own").to_pylist() if b is not None)
+
+
+def _by_owner(ids, owner: np.ndarray, hit: np.ndarray):
+    """Documents with hits, and where the hits of each, ordered by document, begin and end."""
+    order = hit[np.argsort(owner[hit], kind="stable")]
+    own = owner[order]
+    cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]])) if len(own) else np.zeros(1, np.int64)
+    docs = own[cuts[:-1]]
+    return order, cuts, ids[0][docs], ids[1][docs]
+
+
+def _lists(values: np.ndarray, cuts: np.ndarray, kind) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values.astype(kind)))
+
+
+def _own(blob: bytes, columns: int) -> list[np.ndarray]:
+    """Documents, hashes of texts, owners and columns of a chunk's own row; owners take two bytes where they fit."""
+    docs = int(np.frombuffer(blob, "<i8", 1)[0]) // 8
+    return _unpack(blob, "<i8", "<i8", "<u2" if docs <= 65_536 else "<u4", *["<u4"] * columns)
+
+
+def _hits(key, t):
+    """``doc, hash, places`` of a chunk: its runs and marks that another text, or the same at another place, has."""
+    doc, text, owner, place = _own(_own_row(t), 1)
+    new = (place & _NEW) != 0
+    which = np.cumsum(new) - 1
+    known = np.bincount(which, minlength=1) > 1
+    for b in t.column("seen").to_pylist():
+        if b is not None:
+            known[np.frombuffer(b, "<u4")] = True
+    order, cuts, docs, texts = _by_owner((doc, text), owner, np.flatnonzero(known[which]) if len(which) else which)
+    return pa.table({"doc": pa.array(docs), "hash": pa.array(texts), "places": _lists((place & ~_NEW)[order], cuts, np.int32)})
+
+
+def _removed(key, t):
+    """``doc, hash, starts, lengths, firsts`` of a chunk: the spans that a smaller document has, or the same text
+    at an earlier place that does not overlap."""
+    doc, text, owner, place, length = _own(_own_row(t), 2)
+    new = (place & _NEW) != 0
+    place = (place & ~_NEW).astype(np.int64)
+    which = np.cumsum(new) - 1
+    first = _least_by_key(doc[owner], new).copy()
+    for b in t.column("seen").to_pylist():
+        if b is not None:
+            at, lead = _unpack(b, "<u4", "<i8")
+            first[at] = lead
+    if not len(which):
+        gone, lead = np.zeros(0, bool), doc[owner]
+    else:
+        lead = first[which]
+        own = np.concatenate([[True], new[1:] | (owner[1:] != owner[:-1])])  # entries of a key are in order of owner and place
+        earliest = place[np.flatnonzero(own)][np.cumsum(own) - 1]
+        gone = (doc[owner] > lead) | (place >= earliest + length)
+    order, cuts, docs, texts = _by_owner((doc, text), owner, np.flatnonzero(gone))
+    firsts = [np.unique(lead[order[a:b]][lead[order[a:b]] < d]) for a, b, d in zip(cuts[:-1], cuts[1:], docs)]
+    return pa.table({
+        "doc": pa.array(docs), "hash": pa.array(texts), "starts": _lists(place[order], cuts, np.int32), "lengths": _lists(length[order], cuts, np.int32),
+        "firsts": pa.array([f.tolist() for f in firsts], pa.list_(pa.int64())),
+    })
+
+
+def _bytes(column: pa.Array) -> list[bytes]:
+    return column.cast(pa.binary()).to_pylist()
+
+
+def repeated_spans(texts: DataFrame, rule: Rule) -> DataFrame:
+    """``doc, hash, starts, lengths, firsts`` of each text of ``texts(doc, hash, text)`` that loses words."""
+    chars = texts.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    size, buckets = block_sizes(chars // 30)
+
+    def candidates(batches):
+        def take(batch):
+            data = _bytes(batch.column(2))
+            doc, text = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, b in bounded(data):
+                keys, owner, place = _candidates(data[a:b], rule)
+                yield (doc[a:b], text[a:b]), keys, owner, [place]
+
+        yield from _chunked(batches, take, buckets, size, False)
+
+    blocks = texts.mapInArrow(candidates, _BLOCKS).groupBy("bucket").applyInArrow(_seen, _ANSWERS)
+    hits = blocks.groupBy("chunk").applyInArrow(_hits, "doc long, hash long, places array<int>")
+    hits = materialize(hits.dropDuplicates(["doc", "hash"]), "hits")
+
+    more = hits.agg(F.sum(F.size("places")).alias("n")).first()["n"] or 0
+    size2, buckets2 = block_sizes(more * (rule.least_passage - rule.window))
 
-
-def _again(hashes: np.ndarray, least_passage: int) -> np.ndarray:
-    """Where passages begin that the same text has before, without overlap."""
-    if len(hashes) < 2 * least_passage:
-        return np.zeros(0, np.int64)
-    found = _windows(hashes, least_passage)
-    ordered = np.sort(found)
-    if not (ordered[1:] == ordered[:-1]).any():
-        return np.zeros(0, np.int64)
-    _, first, which = np.unique(found, return_index=True, return_inverse=True)
-    return np.flatnonzero(np.arange(len(found)) >= first[which] + least_passage)
-
-
-def _local(text: str, least_units: int, least_words: int):
-    """The text's unit ends, its first runs, and those that repeat an earlier one of the same text."""
-    ends, sizes, hashes = units(text)
-    seen: set[bytes] = set()
-    first, again = [], []
-    for run in runs(sizes, hashes, least_units, least_words):
-        (again if run[2] in seen else first).append(run)
-        seen.add(run[2])
-    return ends, first, again
-
-
-def _firsts(found: DataFrame) -> DataFrame:
-    return found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("last > first").drop("last")
+    def spans(batches):
+        def take(batch):
+            data = _bytes(batch.column(2))
+            doc, text = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            places = [np.array(p, np.int64) for p in batch.column(3).to_pylist()]
+            chosen = [p[p >= int(_IS_RUN)] - int(_IS_RUN) for p in places]
+            marked = [p[p < int(_IS_RUN)] for p in places]
+            for a, b in bounded(data):
+                keys, owner, place, length = rule.spans(data[a:b], chosen[a:b], marked[a:b])
+                yield (doc[a:b], text[a:b]), keys, owner, [place, length]
+
+        yield from _chunked(batches, take, buckets2, size2, True)
+
+    key = F.xxhash64("doc", "hash")
+    chosen = only_wanted(texts, key, hits, key).join(hits, ["doc", "hash"]).select("doc", "hash", "text", "places")
+    blocks = chosen.mapInArrow(spans, _BLOCKS).groupBy("bucket").applyInArrow(_firsts, _ANSWERS)
+    found = blocks.groupBy("chunk").applyInArrow(_removed, "doc long, hash long, starts array<int>, lengths array<int>, firsts array<long>")
+    removed = materialize(found.dropDuplicates(["doc", "hash"]), "removed")
+    discard(hits)
+    return removed
+
+
+def _cut(texts: list[bytes], starts: list[list[int]], lengths: list[list[int]]) -> tuple[list[bytes], list[int]]:
+    """The texts without the words of their spans, and how many sentences of each lose a word."""
+    w = Words(texts)
+    lost = np.zeros(len(w.first) + 1, np.int64)
+    for i, (x, n) in enumerate(zip(starts, lengths)):
+        at = np.array(x, np.int64) + w.at[i]
+        np.add.at(lost, at, 1)
+        np.add.at(lost, at + np.array(n, np.int64), -1)
+    lost = np.cumsum(lost)[:-1] > 0
+    heads = sentence_starts(w)
+    hurt = np.unique(np.searchsorted(heads, np.flatnonzero(lost), "right") - 1)
+    units = np.bincount(np.searchsorted(w.at, heads[hurt], "right") - 1, minlength=len(texts))
+    kept = []
+    for i, text in enumerate(texts):
+        a, b = int(w.at[i]), int(w.at[i + 1])
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], lost[a:b], [False]]).astype(np.int8))).reshape(-1, 2) + a
+        parts, at = [], 0
+        for first, end in edges.tolist():
+            parts.append(text[at : int(w.first[first] - w.offsets[i])])
+            at = int(w.first[end] - w.offsets[i]) if end < b else len(text)
+        kept.append(b"".join(parts) + text[at:])
+    return kept, units[: len(texts)].tolist()
 
 
 def remove_repeats(
     docs: DataFrame, least_units: int = 3, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text", least_passage: int = 51
 ) -> DataFrame:
-    """``docs`` with ``text_col`` cleaned, and ``n_units``, ``n_removed``, ``first_doc_ids``.
+    """``docs`` with ``text_col`` cleaned, and ``n_removed``, ``first_doc_ids``.
 
-    Besides the runs of whole units, every word goes that lies in a passage of ``least_passage``
-    words which an earlier document has too, at any place in either; case and white space do not
-    count. ``n_removed`` counts the units that lose a word.
+    Removed are the runs of at least ``least_units`` sentences and ``least_words`` words, and the
+    passages of ``least_passage`` words at any place, that a smaller document has, or the same
+    text earlier without overlap. Words end at ASCII space, and A-Z count as a-z. ``n_removed``
+    counts the sentences that lose a word; ``first_doc_ids`` lists the documents that keep what is
+    removed here. Spans are compared by 64-bit hashes.
 
     Every row is kept, with all its columns; a null text stays null, and a text of which all is
-    removed becomes empty. Rows of equal ids count as one document, whose spans do not repeat each
-    other. Spans in rows without an id are never first and are not removed for other documents'
-    sake. ``first_doc_ids`` lists the documents that keep the spans removed here. Columns of ``docs`` named like the three added ones are replaced.
+    removed becomes empty. Rows without an id stay as they are and are never first. Rows of equal
+    ids do not repeat each other. An empty table gives no rows. Columns of ``docs`` named like the
+    two added ones, in any case, are replaced.
     """
-    docs = docs.drop(*ADDED)
-    names = docs.columns
-
-    def spans(batches):
-        for batch in batches:
-            ids, places, lengths, packed = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                _, first, _ = _local(text, least_units, least_words)
-                at, found = marks(word_hashes(text), least_passage)
-                ids += [doc] * (len(first) + len(at))
-                places += [r[0] for r in first] + at.tolist()
-                lengths += [r[1] for r in first] + [0] * len(at)  # a mark has no units
-                packed += [r[2] for r in first]
-                packed.append(np.stack([found, np.zeros_like(found)], 1).tobytes())
-            halves = np.frombuffer(b"".join(packed), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(lengths, pa.int32())],
-                ["h1", "h2", "doc", "place", "units"],
-            )
-
-    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    found = materialize(texts.mapInArrow(spans, "h1 long, h2 long, doc long, place int, units int"), "spans")
-    # A mark is wanted in the first document as well: its passages are compared with the others'.
-    mark, run = F.col("units") == 0, F.col("units") > 0
-    hits = (
-        found.join(_firsts(found), ["h1", "h2"]).where(mark | (F.col("doc") > F.col("first")))
-        .groupBy("doc").agg(F.collect_set(F.when(run, F.struct("place", "units"))).alias("runs"), F.collect_list(F.when(mark, F.col("place"))).alias("marks"), F.collect_set(F.when(run, F.col("first"))).alias("firsts"))
-    )
-    hits = materialize(hits, "hits")
-    discard(found, "spans")
-
-    def passages(batches):
-        for batch in batches:
-            for doc, text, places in zip(*(c.to_pylist() for c in batch.columns)):
-                hashes = word_hashes(text)
-                at = _around(len(hashes), places, least_passage)
-                if not len(at):
-                    continue
-                held = hashes.tobytes()
-                packed = b"".join([xxhash.xxh3_128_digest(held[8 * i : 8 * (i + least_passage)]) for i in at.tolist()])
-                halves = np.frombuffer(packed, "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([doc] * len(at), pa.int64()), pa.array(at, pa.int32())], ["h1", "h2", "doc", "place"]
-                )
-
-    marked = hits.where(F.size("marks") > 0).select("doc", "marks")
-    near = texts.toDF("doc", "text").join(marked, "doc").select("doc", "text", "marks").mapInArrow(passages, "h1 long, h2 long, doc long, place int")
-    near = materialize(near, "passages")
-    more = (
-        near.join(_firsts(near), ["h1", "h2"]).where("doc > first")
-        .groupBy("doc").agg(F.collect_list("place").alias("_millrace_words"), F.collect_set("first").alias("more"))
-    )
-    none = F.array().cast("array<bigint>")
-    all_firsts = F.array_sort(F.array_union(F.coalesce("firsts", none), F.coalesce("more", none)))
-    removed = materialize(
-        hits.join(more, "doc", "left").select(F.col("doc").alias("_millrace_doc"), F.col("runs").alias("_millrace_runs"), "_millrace_words", all_firsts.alias("_millrace_firsts")).where(F.size("_millrace_firsts") > 0),
-        "removed",
-    )
-    discard(near, "passages")
-    discard(hits, "hits")
-    joined = docs.join(removed, F.col(id_col).cast("long") == F.col("_millrace_doc"), "left").select(*names, "_millrace_runs", "_millrace_words", "_millrace_firsts")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
+    names, rule = docs.columns, Rule(least_units, least_words, least_passage)
+    text = F.col(text_col).cast("string")
+    keyed = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    removed = repeated_spans(keyed, rule)
+
+    doc, hash_, flag, starts, lengths = (free_name([*names, *ADDED], n) for n in ("_doc", "_hash", "_flag", "_starts", "_lengths"))
+    known = F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
+    held = docs.withColumns({doc: F.when(known, F.col(id_col).cast("long")), hash_: F.when(known, F.xxhash64(text))})
+    held = flag_wanted(held, F.when(known, F.xxhash64(doc, hash_)), removed, F.xxhash64("doc", "hash"), flag)
+    none = [F.lit(0).alias(ADDED[0]), F.array().cast("array<bigint>").alias(ADDED[1])]
+    whole = held.where(~F.col(flag)).select(*names, *none)
+    joined = held.where(F.col(flag)).join(removed.toDF(doc, hash_, starts, lengths, ADDED[1]), [doc, hash_], "left").select(*names, ADDED[1], starts, lengths)
     at = names.index(text_col)
 
     def clean(batches):
         for batch in batches:
-            texts, n_units, n_removed = [], [], []
-            for text, hit, places in zip(*(batch.column(i).to_pylist() for i in (at, len(names), len(names) + 1))):
-                if text is None:
-                    texts.append(None)
-                    n_units.append(0)
-                    n_removed.append(0)
-                    continue
-                ends, _, again = _local(text, least_units, least_words)
-                gone = np.zeros(len(ends), bool)
-                for i, n, *_ in again + [(r["place"], r["units"]) for r in hit or ()]:
-                    gone[i : i + n] = True
-                starts = [0, *ends[:-1]]
-                cuts = [(a, b) for a, b, g in zip(starts, ends, gone.tolist()) if g]
-                hashes = word_hashes(text)
-                lost = np.zeros(len(hashes) + 1, np.int64)
-                for i in (*_again(hashes, least_passage).tolist(), *(places or ())):
-                    if i + least_passage <= len(hashes):  # else it is of another row of the same id
-                        lost[i] += 1
-                        lost[i + least_passage] -= 1
-                lost = np.cumsum(lost)[:-1] > 0
-                if lost.any():
-                    at_word = [m.start() for m in _WORD.finditer(text)] + [len(text)]
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], lost, [False]]).astype(np.int8))).reshape(-1, 2)
-                    cuts = sorted(cuts + [(at_word[i], at_word[j]) for i, j in edges.tolist()])
-                    unit_of = np.searchsorted(ends, np.array(at_word[:-1])[lost], "right")
-                    gone[unit_of] = True
-                kept, end = [], 0
-                for a, b in cuts:
-                    if a > end:
-                        kept.append(text[end:a])
-                    end = max(end, b)
-                texts.append("".join(kept) + text[end:] if cuts else text)
-                n_units.append(len(ends))
-                n_removed.append(int(gone.sum()))
+            chosen = np.flatnonzero(batch.column(len(names) + 1).is_valid().to_numpy(zero_copy_only=False))
+            texts, units = _bytes(batch.column(at)), np.zeros(batch.num_rows, np.int32)
+            some = [texts[i] for i in chosen.tolist()]
+            first, count = (batch.column(len(names) + k).take(pa.array(chosen)).to_pylist() for k in (1, 2))
+            for a, b in bounded(some):
+                kept, n = _cut(some[a:b], first[a:b], count[a:b])
+                for i, x, k in zip(chosen[a:b].tolist(), kept, n):
+                    texts[i], units[i] = x, k
             columns = [batch.column(i) for i in range(len(names))]
-            columns[at] = pa.array(texts, pa.string())
-            columns += [pa.array(n_units, pa.int32()), pa.array(n_removed, pa.int32()), batch.column(len(names) + 2)]
+            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
+            empty = pa.array([[]], pa.list_(pa.int64()))[0]
+            columns += [pa.array(units), batch.column(len(names)).fill_null(empty)]
             yield pa.RecordBatch.from_arrays(columns, [*names, *ADDED])
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.IntegerType()) for n in ADDED[:2]), T.StructField(ADDED[2], T.ArrayType(T.LongType()))])
-    return joined.mapInArrow(clean, schema)
+    fields = [f if f.name != text_col else T.StructField(text_col, T.StringType()) for f in docs.schema.fields]
+    schema = T.StructType([*fields, T.StructField(ADDED[0], T.IntegerType()), T.StructField(ADDED[1], T.ArrayType(T.LongType()))])
+    return whole.withColumn(text_col, text).select(*names, *ADDED).unionByName(joined.mapInArrow(clean, schema))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_units, n_removed, first_doc_ids, text`` of every document."""
-    return remove_repeats(docs.select("doc_id", "text")).select("doc_id", "n_units", "n_removed", "first_doc_ids", "text")
+    """``doc_id, n_removed, first_doc_ids, text`` of every document."""
+    return remove_repeats(docs.select("doc_id", "text")).select("doc_id", "n_removed", "first_doc_ids", "text")

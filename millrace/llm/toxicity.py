@@ -65,6 +65,12 @@ def _fit(features: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, penalty:
     return x[:-1], float(x[-1])
 
 
+def log_count_ratios(counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How much likelier each slot is in a row of class 1 than in one of class 0, as a logarithm, with one row
+    with the slot and one without added to each class. ``counts`` has a line a class, ``rows`` its rows."""
+    return np.log((counts[1] + 1) / (rows[1] + 2)) - np.log((counts[0] + 1) / (rows[0] + 2))
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -124,7 +130,7 @@ def train(
     if not n.all():
         rate = n[1] / max(n.sum(), 1)
         return ToxicityModel(bits, np.full(slots, -1, np.int32), np.zeros(1), float(np.log((rate + 1e-9) / (1 - rate + 1e-9))))
-    ratio = np.log((counts[1] + 1) / (n[1] + 2)) - np.log((counts[0] + 1) / (n[0] + 2))
+    ratio = log_count_ratios(counts, n)
     p = counts.sum(0) / n.sum()
     apart = np.abs(counts[1] / n[1] - counts[0] / n[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n[0] + 1 / n[1]))
     apart[counts.sum(0) < min(5, n.sum())] = 0
@@ -147,7 +153,8 @@ def train(
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score`` of every row; a null text counts as empty and repeated rows are repeated."""
+    """``doc_id, score`` of every row; a null text counts as empty and repeated rows are repeated. Other columns
+    of ``docs`` are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 bytes a hash slot: fixed by ``bits``
 
     def run(batches):
@@ -162,7 +169,8 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text scores below ``threshold``, with all their columns."""
+    """The rows of ``docs`` whose text scores below ``threshold``, with all their columns, whatever their names.
+    A null text counts as empty; repeated rows are each kept or dropped; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 

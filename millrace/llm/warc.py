@@ -1,6 +1,6 @@
 """WARC archives: writing with revisits and segments, and reading back with reassembly.
 
-Long blocks are written as a first segment and continuation records. The reader groups the
+Each record is a gzip member of its own, as readers of compressed archives expect. Long blocks are written as a first segment and continuation records. The reader groups the
 continuations by their origin's identifier, orders them by segment number, verifies the total
 length, and decodes chunked transfer framing. Records without segments never leave their task.
 """
@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import scratch
+from millrace.llm.common import join_heavy, scratch
 
 CRLF = b"\r\n"
 RECORDS = (
@@ -76,15 +77,37 @@ def page_records(page_id, uri, body: bytes, digest: str, refers_to, segment_byte
             )
 
 
+def compress(record: bytes, level: int = 6) -> bytes:
+    """A gzip member. Its last byte is the highest of the record's length: zero, for records below 16 MB."""
+    c = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return c.compress(record) + c.flush()
+
+
+def members(data: bytes):
+    """The contents of the gzip members of an archive, one after the other; a cut member is an error."""
+    at = 0
+    while at < len(data):
+        d = zlib.decompressobj(31)
+        found = d.decompress(memoryview(data)[at:])
+        if not d.eof:
+            raise ValueError("a gzip member is cut off")
+        yield found
+        at = len(data) - len(d.unused_data)
+
+
 def write_archives(
-    pages: DataFrame, path: str, least_revisit: int = 1000, segment_bytes: int = 32_768, chunk_bytes: int = 8_192, records_a_file: int = 10_000
+    pages: DataFrame, path: str, least_revisit: int = 1000, segment_bytes: int = 32_768, chunk_bytes: int = 8_192, file_bytes: int = 128 << 20
 ) -> str:
-    """Write a record for each row of ``pages(page_id, url, html)`` to uncompressed archives under ``path``.
+    """Write a record for each row of ``pages(page_id, url, html)`` to archives under ``path``.
 
     Of rows with equal payloads of at least ``least_revisit`` bytes those with the largest page id
     (all, if repeated) are responses and the others refer to it. Null pages count as empty, a null
-    page id counts as the smallest and is never referred to.
+    page id counts as the smallest and is never referred to. Other columns are not read, and an
+    empty table gives no records. A record is at most a segment and its headers, and an archive holds
+    as many records as segments fit into ``file_bytes``.
     """
+    if not 0 < segment_bytes < 1 << 23:
+        raise ValueError("segments must be smaller than 8 MB")
     full = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("body"),
@@ -93,9 +116,9 @@ def write_archives(
     best = (
         keyed.where(F.length("body") >= least_revisit)
         .groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n"))
-        .where("n > 1 and best is not null").select("digest", "best")
+        .where("n > 1 and best is not null").select("digest", "best", "n")
     )
-    rows = keyed.join(best, "digest", "left").select(
+    rows = join_heavy(keyed, best, ["digest"], "n", pages.count()).select(
         "page_id", "url", "body", "digest", F.when(F.col("page_id").isNull() | (F.col("best") != F.col("page_id")), F.col("best")).alias("refers_to")
     )
 
@@ -103,13 +126,16 @@ def write_archives(
         for batch in batches:
             out = []
             for page_id, url, body, digest, refers_to in zip(*[c.to_pylist() for c in batch.columns]):
-                # The text sink adds the line feed that ends a record.
-                out += [r[:-1] for r in page_records(page_id, url, body, digest, refers_to, segment_bytes, chunk_bytes)]
+                # The text sink adds the zero byte that ends a member.
+                out += [compress(r)[:-1] for r in page_records(page_id, url, body, digest, refers_to, segment_bytes, chunk_bytes)]
+                if len(out) >= 500:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                    out = []
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option(
-        "maxRecordsPerFile", records_a_file
-    ).option("encoding", "UTF-8").text(path)
+        "maxRecordsPerFile", max(1, file_bytes // segment_bytes)
+    ).option("encoding", "UTF-8").option("lineSep", "\x00").text(path)
     return path
 
 
@@ -129,13 +155,13 @@ def parse(data: bytes):
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record of all archives under ``path``."""
+    """One row a record of all archives under ``path``. A task holds an archive compressed, and unpacks record by record."""
 
     def run(batches):
         for batch in batches:
-            for content in batch.column(0).to_pylist():
+            for i in range(batch.num_rows):
                 rows = []
-                for f, block in parse(content):
+                for f, block in (r for member in members(batch.column(0)[i].as_py()) for r in parse(member)):
                     number = lambda name: int(f[name]) if name in f else None  # noqa: B023, E731
                     record_id = f["warc-record-id"].strip("<>")
                     rows.append((

@@ -1,14 +1,19 @@
 """The text operators against brute force, on hard rows: nulls, empty and long texts, ties, repeats, no rows."""
 
 import collections
+import glob
+import gzip
 import hashlib
 import re
 import zlib
 
+import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import bpe, embedding_dedup, jaccard_join, packing, pii, quality, substring_dedup, token_files, toxicity, warc
+from millrace.llm.common import block_sizes, connected_components, flag_wanted, join_heavy
 from millrace.llm.queries import vocabulary
 
 SAID = "The quick brown fox jumps over the lazy dog while seven wizards mix potions. Nobody saw it coming that day! Yet the crowd stayed calm and waited for the last bell of the evening to ring again."
@@ -69,6 +74,25 @@ def test_token_files(spark, docs, none, tmp_path):
     assert [r["n_tokens"] for r in token_files.read_token_files(spark, str(tmp_path / "t"), [5]).collect()] == [1]
 
 
+def scanned(df):
+    """Rows that the scan of a plan without shuffles gave out."""
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().get("numOutputRows").get().value()
+
+
+def test_token_files_are_pruned(spark, tmp_path):
+    """Files follow the ids; a look-up reads few row groups, and none for an id that the Bloom filter does not know."""
+    docs = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.format_string("word%d and %d", "id", F.col("id") % 7).alias("text"))
+    path = token_files.write_token_files(docs, str(tmp_path / "t"), vocabulary("byte_bpe_50k.json"), row_group=1000)
+    rows = spark.read.schema(token_files.SCHEMA).orc(path)
+    ends = sorted((r["a"], r["b"]) for r in rows.groupBy(F.input_file_name()).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).collect())
+    assert all(x[1] < y[0] for x, y in zip(ends, ends[1:]))
+    assert 0 < scanned(rows.where("doc_id = 20000")) <= 1000
+    assert sum(scanned(rows.where(f"doc_id = {k}")) > 0 for k in range(10_001, 10_061, 2)) <= 4
+    assert "EqualTo(doc_id,20000)" in rows.where("doc_id = 20000")._jdf.queryExecution().toString()
+
+
 def test_packing(docs, none):
     t = tokenizer("word_bpe_49k.json")
     rows = packing.pack(packing.token_pieces(docs, vocabulary("word_bpe_49k.json"), 512), 512, group_items=4).collect()
@@ -91,6 +115,40 @@ def test_packing(docs, none):
     assert packing.pack(packing.token_pieces(none, vocabulary("word_bpe_49k.json"))).count() == 0
 
 
+def fewest_bins(items, capacity):
+    """By trying all ways, for a few items."""
+    best = [len(items)]
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(items):
+            best[0] = len(rooms)
+            return
+        for j in range(len(rooms)):
+            if rooms[j] >= items[k] and rooms[j] not in rooms[:j]:
+                place(k + 1, [*rooms[:j], rooms[j] - items[k], *rooms[j + 1 :]])
+        place(k + 1, [*rooms, capacity - items[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_packing_against_the_fewest_sequences(spark):
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        x = rng.integers(5, 70, rng.integers(1, 11))
+        least = fewest_bins(sorted(x.tolist(), reverse=True), 100)
+        assert packing.lower_bound(x, 100) <= least <= len(packing.best_fit_decreasing(x, 100)[2])
+        u, n = np.unique(x, return_counts=True)
+        assert packing.lower_bound(u, 100, n) == packing.lower_bound(x, 100)
+    rows = [(i, 0, 0, int(n), 1) for i, n in enumerate(rng.integers(1, 101, 600))]
+    packed = packing.pack(spark.createDataFrame(rows, packing.PIECES), 100, group_items=150)
+    got = packing.certificate(packed, 100).collect()[0]
+    assert got["sequences"] == got["bound"] + got["gap"] and 0 <= got["gap"] <= 0.02 * got["bound"]
+    assert packing.certificate(packed.limit(0), 100).collect()[0]["gap"] == 0
+
+
 def test_packing_bounds():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -99,9 +157,7 @@ def test_packing_bounds():
         assert packing.lower_bound(x, 100) <= len(free) and all(x[bins == b].sum() == 100 - f for b, f in enumerate(free))
 
 
-def sets_of(x):
-    w = re.findall(r"[^\x20\x09-\x0D]+", (x or "").translate({k: k + 32 for k in range(65, 91)}))
-    return frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+sets_of = brute.shingles
 
 
 def components(rows):
@@ -143,6 +199,60 @@ def test_jaccard_large_group(spark, monkeypatch):
     assert sorted(tuple(r) for r in jaccard_join.group_documents(df).collect()) == components([(i, sets_of(x)) for i, x in rows])
 
 
+def test_keep_firsts_goes_by_id_and_text(spark):
+    rows = [(1, SAID, 7), (2, SAID, 8), (2, "another text under the same id stays as it is", 9), (None, SAID, 1), (3, None, 2), (3, "", 3), (1, SAID, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _t long")
+    assert sorted(map(str, jaccard_join.keep_firsts(df).collect())) == sorted(map(str, df.where("_t <> 8").collect()))
+    assert jaccard_join.keep_firsts(df.limit(0)).count() == 0
+
+
+def test_null_ids_link_and_bridge(spark):
+    base = [f"w{k}" for k in range(40)]
+    rows = [(5, " ".join(base)), (None, " ".join(base[:36])), (3, " ".join(base[:32])), (None, "x y z"), (None, "x y z")]
+    got = jaccard_join.group_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"]) == [(3, 3), (5, 3)]
+    assert sorted(str(r["component_id"]) for r in got if not r["doc_id"]) == ["3", "None", "None"]
+
+
+def test_bands_follow_what_is_measured():
+    edges = jaccard_join.band_edges(500, 3, 4)
+    assert [e[0] for e in edges[1:]] == [e[1] + 1 for e in edges[:-1]] and edges[-1][1] >= 500
+    rare = jaccard_join.plan_bands(edges, [(1000, 0.01)] * len(edges), 3, 4)
+    common = jaccard_join.plan_bands(edges, [(10**9, 0.5)] * len(edges), 3, 4)
+    assert not rare[-1].deletion and common[-1].deletion
+
+
+@pytest.mark.parametrize("share", [0.0, 0.9])
+def test_jaccard_with_either_kind_of_segments(spark, monkeypatch, share):
+    """The links do not depend on the plan: all bands exact, or all with one-deletion neighbourhoods."""
+    monkeypatch.setattr(jaccard_join, "measure_bands", lambda rows, edges, num, den: [(10**12 if share else 0, share)] * len(edges))
+    rng, rows = np.random.default_rng(8), []
+    for g in range(30):
+        base = [f"w{g}x{rng.integers(50)}" for _ in range(rng.integers(5, 60))]
+        for k in range(4):
+            w = list(base)
+            for _ in range(rng.integers(0, 1 + len(w) // 14)):
+                w[rng.integers(len(w))] = f"z{rng.integers(10**6)}"
+            rows.append((10 * g + k, " ".join(w)))
+    got = sorted(tuple(r) for r in jaccard_join.group_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == components([(i, sets_of(x)) for i, x in rows])
+
+
+def test_block_sizes_keep_blocks_filled():
+    for total in (0, 10**6, 10**9, 15 * 10**12):
+        size, buckets = block_sizes(total)
+        assert total / max(1, -(-total // size)) / buckets >= min(256, total / buckets) * 0.9
+        assert size <= max(1_500_000, 62_000_000)
+
+
+def removed_as_brute(got, rows):
+    want = collections.Counter((i, text, n, tuple(sorted(firsts))) for (i, _), (text, n, firsts) in zip(rows, brute.without_repeats(rows)))
+    have = collections.Counter((r["doc_id"], r["text"], r["n_removed"], None) for r in got)
+    assert have == collections.Counter((i, t, n, None) for i, t, n, _ in want.elements())
+    seen = {(r["doc_id"], r["text"]): set(r["first_doc_ids"]) for r in got}
+    assert all(set(f) == seen[i, t] for i, t, _, f in want)
+
+
 def test_substring(docs, none):
     got = {(r["doc_id"], r["n_removed"] > 0): r for r in substring_dedup.remove_repeats(docs).collect()}
     assert (1, False) in got and (2, True) in got and (3, True) in got
@@ -150,36 +260,52 @@ def test_substring(docs, none):
     assert got[2, True]["text"].startswith("Before all that, a preface was written here.") and "wizards" not in got[2, True]["text"]
     assert got[4, False]["text"] is None and got[5, False]["text"] == ""
     assert substring_dedup.remove_repeats(none).count() == 0
+    removed_as_brute(substring_dedup.remove_repeats(docs).collect(), TEXTS)
 
 
-def test_substring_at_any_offset(spark):
-    """Passages planted inside sentences, against a search for equal passages at every word."""
+def test_substring_against_all_spans(spark):
+    """Passages planted inside sentences, and sentences from a small stock, against a search for every span."""
     rng = np.random.default_rng(5)
     write = lambda n: " ".join(f"w{x}" + ("." if d < 0.02 else "") for x, d in zip(rng.integers(0, 10**6, n), rng.random(n)))
     shared = [write(n) for n in (51, 52, 60, 75, 120, 50, 300)]
     rows = [(i, " ".join([write(int(rng.integers(1, 40))), shared[i % 7].upper() if i % 2 else shared[i % 7], write(int(rng.integers(0, 40))), *([shared[(i + 2) % 7]] if i % 3 else [])])) for i in range(40)]
-    rows += [(90, write(30) + " " + rows[3][1][20:900]), (91, rows[0][1] + "\n" + rows[0][1]), (92, write(200))]
-    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    first = {}
-    for i, text in rows:
-        w = text.lower().split()
-        lost = set()
-        for j in range(len(w) - 50):
-            doc, place = first.setdefault(tuple(w[j : j + 51]), (i, j))
-            if doc < i or place + 51 <= j:
-                lost.update(range(j, j + 51))
-        left = collections.Counter(x for j, x in enumerate(w) if j not in lost)
-        have = collections.Counter(got[i]["text"].lower().split())
-        # Runs of whole units may go besides; what the search finds goes in any case.
-        assert not have - left and (lost or have == left or i % 7 == 5 or (i + 2) % 7 == 5)
-        assert (got[i]["n_removed"] > 0) >= bool(lost)
-    assert got[92]["text"] == rows[-1][1] and got[0]["text"].split() == rows[0][1].split()
-
-
-def test_units_cover_text():
-    for _, x in TEXTS:
-        ends = substring_dedup.units(x or "")[0]
-        assert ends == sorted(ends) and (not ends or ends[-1] == len(x))
+    rows += [(90, write(30) + " " + rows[3][1][20:900]), (91, rows[0][1] + "\n" + rows[0][1]), (92, write(200)), (93, "é w. " * 300), (93, "another text of this id. " + shared[4])]
+    stock = [" ".join(f"s{x}" for x in rng.integers(0, 90, rng.integers(2, 14))).capitalize() + rng.choice([".", "!", "?\"", ".\n", "\n"]) for _ in range(40)]
+    rows += [(100 + i, rng.choice([" ", "  ", "\t"]).join(stock[x] for x in (int(rng.integers(0, 34)) + np.arange(rng.integers(1, 7))))) for i in range(60)]
+    rows += [(None, rows[0][1]), (7, rows[7][1]), (200, None)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    removed_as_brute(got, rows)
+    texts = {r["doc_id"]: r["text"] for r in got}
+    assert texts[92] == dict(rows)[92] and texts[0] == rows[0][1]
+
+
+def test_substring_over_many_chunks(spark, monkeypatch):
+    """The same result where every document is a chunk of its own."""
+    monkeypatch.setattr(substring_dedup, "block_sizes", lambda n: (1, 16))
+    rows = [(i, SAID + f" number {i} " + SAID.replace("fox", f"fox{i % 3}")) for i in range(12)]
+    removed_as_brute(substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
+def test_filter_misses_nothing_and_heavy_keys_join(spark):
+    rows = spark.range(5000).select((F.col("id") % 700).alias("k"), F.col("id").alias("v"))
+    wanted = spark.range(0, 700, 3).select(F.col("id").alias("w"))
+    got = flag_wanted(rows, F.xxhash64("k"), wanted, F.xxhash64("w"), "hit").collect()
+    assert len(got) == 5000 and all(r["hit"] for r in got if r["k"] % 3 == 0) and sum(r["hit"] for r in got) < 1800
+    left = spark.range(3000).select(F.when(F.col("id") < 2000, 1).when(F.col("id") < 2990, F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = left.where("k is not null and k <> 2500").groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m"))
+    plain = left.join(right.drop("n"), ["k"], "left").collect()
+    assert sorted(map(str, join_heavy(left, right, ["k"], "n", 3000, 5).collect())) == sorted(map(str, plain))
+
+
+def test_components(spark):
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(400, 460)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    label = {n: n for e in edges for n in e}
+    for _ in range(100):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert got == {n: label[n] for a, b in edges if a != b for n in (a, b)}
 
 
 BASE = [
@@ -209,6 +335,39 @@ def test_pii(spark, docs, none):
     assert pii.digest(none).count() == 0
 
 
+def test_pii_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "call 555 123 4567 or a@b.co", "mine", [1], 2, "x")], "doc_id long, text string, pii string, pii_base array<int>, pii_more int, _spans string")
+    got = pii.mask(rows).collect()[0]
+    assert tuple(got) == (1, "call <LOCAL_PHONE> or <EMAIL>", "mine", [1], 2, "x")
+    assert [s["kind"] for s in pii.find(rows).collect()[0]["pii"]] == ["email", "local_phone"]
+
+
+def test_pii_context_on_either_side(spark):
+    texts = ["555 123 4567 is my phone", "phone 555 123 4567", "555 123 4567 is a number", "phone " + "x " * 40 + "555 123 4567"]
+    got = [r["spans"] for r in pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert [bool(x) for x in got] == [True, True, False, False]
+
+
+def test_host_verdicts(spark):
+    """Hosts' shrunk rates and verdicts by hand; a host most of whose documents are junk loses all of them."""
+    good = " ".join(f"word{k}" for k in range(60))
+    odd = " ".join(f"word{k} #*" for k in range(60))  # fails a rule that is not of the base
+    rows = [(h * 100 + k, odd if (k < 30 if h == 3 else k < h) else good, f"h{h}" if h else None) for h in range(4) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, body string, site string")
+    got = quality.judge(df, host_col="site", text_col="body").collect()
+    n, failed = [40] * 4, [0, 1, 2, 30]
+    mean, r = sum(failed) / 160, [f / 40 for f in failed]
+    v = sum((x - sum(r) / 4) ** 2 for x in r) / 3
+    strength = min(max(mean * (1 - mean) / (v - mean * (1 - mean) / 40) - 1, 1), 1000)
+    rate = [(f + mean * strength) / (m + strength) for f, m in zip(failed, n)]
+    assert rate[3] > 0.5 > max(rate[:3])
+    for x in got:
+        h = int(x["host"][1:] or 0) if x["host"] else 0
+        assert abs(x["host_rate"] - rate[h]) < 1e-12 and x["kept"] == (h != 3) and not x["base_failed"]
+    names = spark.createDataFrame([(1, good, "a", 5, True)], "doc_id long, text string, source string, n_words int, kept boolean")
+    assert quality.judge(names).collect()[0]["n_words"] == 60
+
+
 def test_quality(docs, none):
     for r in quality.judge(docs).collect():
         x = next(t for i, t in TEXTS if i == r["doc_id"]) or ""
@@ -236,6 +395,12 @@ def test_embeddings(spark):
             label[i] = min([label[i], *(label[j] for j in link[i])])
     for i, _ in rows:
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(link.get(i, ())), label[i], label[i] == i)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    two = embedding_dedup.group_vectors(df, cell_rows=12, block_rows=8, most_cells=3).collect()  # cells that are parted again
+    assert sorted(map(str, two)) == sorted(map(str, got.values()))
+    same = spark.createDataFrame([(1, [3.0, 4.0], "x"), (1, [3.0, 4.0], "y"), (None, [6.0, 8.0], None), (7, [0.3, 0.4], "z"), (None, None, "q")], "vec_id long, embedding array<double>, kept string")
+    assert sorted(map(str, (tuple(r) for r in embedding_dedup.group_vectors(same).collect()))) == sorted(map(str, [(1, 3, 1, True), (1, 3, 1, True), (None, 3, 1, False), (7, 3, 1, False), (None, 0, None, True)]))
+    assert embedding_dedup.group_vectors(df.limit(0)).count() == 0
 
 
 def test_toxicity(spark, docs, none):
@@ -248,6 +413,60 @@ def test_toxicity(spark, docs, none):
     plain = toxicity.classify(docs, labels.limit(0)).collect()
     assert len(plain) == len(TEXTS) and all(0 <= r["score"] <= 1 for r in plain)
     assert toxicity.classify(none, labels.limit(0)).count() == 0
+    one = toxicity.classify(texts, labels.where("toxic = 1")).collect()
+    assert len(one) == 400 and all(r["predicted"] == 1 for r in one)
+    clash = texts.select("doc_id", "text", F.lit(0.5).alias("score"), F.lit("k").alias("id"), F.lit(1).alias("y"))
+    model = toxicity.train(texts, labels)
+    assert toxicity.keep_clean(clash, model).columns == clash.columns and {r["id"] for r in toxicity.keep_clean(clash, model).collect()} == {"k"}
+
+
+def plain_slots(text, bits):
+    out = collections.Counter()
+    s = [ord(c) for c in f" {text.lower()} "]
+    for n in (3, 4, 5, 6):
+        for i in range(len(s) - n + 1):
+            h = 0
+            for c in s[i : i + n]:
+                h = (h * 0x9E3779B1 + c) % 2**32
+            h ^= n * 0x85EBCA6B % 2**32
+            h = (h ^ h >> 15) * 0x2C1B3C6D % 2**32
+            out[h >> (32 - bits)] += 1
+    return out
+
+
+def test_toxicity_ratios_and_scores_by_hand(spark):
+    """N-grams, log-count ratios, the fitted weights' loss and the scores, each against a plain version."""
+    rng, bits = np.random.default_rng(9), 12
+    rows = [(i, "".join(rng.choice(list("abcde "), 30)) + (" vile" if i % 3 == 0 else ""), int(i % 3 == 0 or i % 17 == 0)) for i in range(120)]
+    texts, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.train(texts, labels, features=64, bits=bits, penalty=1.0, steps=3000)
+    slots = [set(plain_slots(t, bits)) for _, t, _ in rows]
+    for (_, t, _), s in zip(rows, slots):
+        assert collections.Counter(toxicity.hashed_ngrams(t, bits).tolist()) == plain_slots(t, bits)
+    y = np.array([r[2] for r in rows], float)
+    counts = np.array([[sum(s in x and k == c for x, k in zip(slots, y)) for s in range(1 << bits)] for c in (0, 1)])
+    n = np.array([(y == 0).sum(), (y == 1).sum()])
+    ratio = toxicity.log_count_ratios(counts, n)
+    k = int(np.argmax(counts[1]))
+    assert abs(ratio[k] - np.log((counts[1][k] + 1) / (n[1] + 2) * (n[0] + 2) / (counts[0][k] + 1))) < 1e-12
+    chosen = np.flatnonzero(model.place >= 0)
+    spread = np.sqrt(np.maximum(counts.sum(0) / 120 * (1 - counts.sum(0) / 120), 1e-9))
+    apart = np.abs(counts[1] / n[1] - counts[0] / n[0]) / spread * (counts.sum(0) >= 5)
+    assert len(chosen) == 64 and apart[chosen].min() >= np.sort(apart)[-64] - 1e-9
+    present = np.array([[s in x for s in chosen] for x in slots], float)
+    x = present * ratio[chosen] / np.sqrt(np.maximum(present.sum(1), 1))[:, None]
+    loss = lambda w: np.mean(np.logaddexp(0, x @ w[:-1] + w[-1]) - y * (x @ w[:-1] + w[-1])) + 0.5 * (w[:-1] ** 2).sum() / 120
+    w = np.zeros(65)
+    for _ in range(60):  # Newton steps
+        p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+        z = np.hstack([x, np.ones((120, 1))])
+        keep = np.diag([1.0] * 64 + [0.0]) / 120
+        w = w - np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) / 120 + keep + 1e-12 * np.eye(65), z.T @ (p - y) / 120 + keep @ w)
+    fitted = np.append(model.weights / ratio[chosen], model.intercept)
+    assert loss(fitted) <= loss(w) + 1e-3
+    for (_, t, _), row in zip(rows, present):
+        s = (row @ model.weights) / max(row.sum(), 1) ** 0.5 + model.intercept
+        assert abs(model.score(t) - 1 / (1 + np.exp(-s))) < 1e-9
 
 
 def test_warc(spark):
@@ -262,6 +481,28 @@ def test_warc(spark):
         want[i, len(b), hashlib.sha1(b).hexdigest(), "response" if best == i else "revisit", None if best == i else best] += 1
     assert got == want
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
+    clash = pages.select("*", F.lit("x").alias("digest"), F.lit(b"y").alias("body"), F.lit(3).alias("best"), F.lit(1).alias("n"))
+    assert sorted(map(str, warc.round_trip(spark, clash).drop("payload").collect())) == sorted(map(str, warc.round_trip(spark, pages).drop("payload").collect()))
+
+
+def test_archives_are_gzip_of_whole_records(spark, tmp_path):
+    """Any reader of gzip sees the records one after the other; each record is a member of its own."""
+    rows = [(k, f"http://a/{k}", "text é " * (k * 40)) for k in range(200)]
+    path = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"), file_bytes=64 * 32_768)
+    files = sorted(glob.glob(f"{path}/part-*"))
+    assert len(files) > 2
+    found = collections.Counter()
+    for name in files:
+        data = open(name, "rb").read()
+        assert gzip.decompress(data) == b"".join(warc.members(data))
+        kinds = [f["warc-type"] for m in warc.members(data) for f, _ in warc.parse(m)]
+        assert len(kinds) == len(list(warc.members(data))) <= 64
+        found.update(kinds)
+    assert found["response"] == 200
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.members(data[:-5]))
+    with pytest.raises(ValueError):
+        warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "x"), segment_bytes=1 << 24)
 
 
 def test_broken_segments_are_errors(spark):

@@ -1,7 +1,6 @@
 """The pipeline's stages, each against a plain statement of what it decides."""
 
-import re
-
+import brute
 import corpus_pipeline as P
 from millrace.llm import pii, toxicity
 from millrace.llm.common import table
@@ -9,11 +8,6 @@ from millrace.llm.common import table
 DATA = "/root/testdata/sf0.001"
 
 
-def words(x):
-    w = re.findall(r"[^\x20\x09-\x0D]+", x.translate({k: k + 32 for k in range(65, 91)}))
-    return frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
-
-
 def test_stages(spark, tmp_path):
     docs, at = table(spark, DATA, "documents"), {}
     columns = docs.columns
@@ -28,7 +22,7 @@ def test_stages(spark, tmp_path):
     model = toxicity.train(at["in"], table(spark, DATA, "labels").where(~toxicity.held_out()))
     assert text["toxicity"] == {i: x for i, x in text["in"].items() if model.score(x) < 0.3}
 
-    sets = {i: words(x) for i, x in text["toxicity"].items()}
+    sets = {i: brute.shingles(x) for i, x in text["toxicity"].items()}
     label = {i: i for i in sets}
     linked = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     for _ in sets:
@@ -37,7 +31,9 @@ def test_stages(spark, tmp_path):
     assert text["jaccard_join"] == {i: text["toxicity"][i] for i in sets if label[i] == i}
 
     assert text["substring_dedup"].keys() == text["jaccard_join"].keys()
-    assert all(len(x) <= len(text["jaccard_join"][i]) for i, x in text["substring_dedup"].items())
+    rows = list(text["jaccard_join"].items())
+    assert text["substring_dedup"] == {i: x for (i, _), (x, _, _) in zip(rows, brute.without_repeats(rows))}
+    assert any(len(x) < len(text["jaccard_join"][i]) for i, x in text["substring_dedup"].items())
 
     assert text["pii"].keys() == text["substring_dedup"].keys()
     assert pii.digest(at["pii"]).where("n_email + n_ip + n_card + n_phone > 0").count() == 0
