@@ -9,7 +9,7 @@ from millrace.llm import jaccard_join, packing, pii, substring_dedup, toxicity
 from millrace.llm.common import scratch, table
 from millrace.llm.queries import vocabulary
 
-#: No stage but the fourth can be put as SQL: see tests/llm/test_pipeline.py.
+#: The stages cannot be put as SQL: see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
@@ -24,13 +24,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked texts stays; one without an id stays."""
-    groups = jaccard_join.group_documents(docs)
-    return docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest id of each group of linked texts stays; one without an id stays.
+    A row goes by its id and text, so that another text under the same id is not lost."""
+    return jaccard_join.keep_firsts(docs)
 
 
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sentences that an earlier document's span has too are cut out; the document stays."""
+    """What an earlier document's spans have too is cut out; the document stays."""
     return _measured(substring_dedup.remove_repeats(docs).select(*docs.columns))
 
 
