@@ -83,16 +83,18 @@ def compress(record: bytes, level: int = 6) -> bytes:
     return c.compress(record) + c.flush()
 
 
-def members(data: bytes):
+def members(data: bytes, step: int = 8192):
     """The contents of the gzip members of an archive, one after the other; a cut member is an error."""
-    at = 0
-    while at < len(data):
-        d = zlib.decompressobj(31)
-        found = d.decompress(memoryview(data)[at:])
-        if not d.eof:
-            raise ValueError("a gzip member is cut off")
-        yield found
-        at = len(data) - len(d.unused_data)
+    view, at = memoryview(data), 0
+    while at < len(view):
+        d, parts, end = zlib.decompressobj(31), [], at
+        while not d.eof:
+            if end >= len(view):
+                raise ValueError("a gzip member is cut off")
+            parts.append(d.decompress(view[end : end + step]))
+            end += step
+        at = min(end, len(view)) - len(d.unused_data)
+        yield b"".join(parts)
 
 
 def write_archives(
