@@ -407,8 +407,9 @@ def _remaining(shared: DataFrame, found: DataFrame, sets: DataFrame, num: int, d
     a, b = (few.select("key", F.col("cid").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
     pairs = a.join(b, "key").where("a < b and ca <> cb").select("a", "b")
     pairs = pairs.unionAll(_block_pairs(sized.where(F.col("held") > GROUP_PAIRS), sets, num, den, words)).distinct()
-    links = materialize(verified(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(8)).cast("int")), sets, num, den, words), "edges")
-    discard(rows, kept)
+    pairs = materialize(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(8)).cast("int")), "pairs")  # read twice
+    links = materialize(verified(pairs, sets, num, den, words), "edges")
+    discard(rows, kept, pairs)
     return links
 
 
