@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Apply = Callable[[DataFrame], DataFrame]
+from millrace.plans.naming import Apply, free
 
 
 def _majority(df: DataFrame, target: str, *by: str) -> DataFrame:
     """The commonest class of each group of values, the first in order among equals, with its rows and all rows."""
     n = df.where(F.col(target).isNotNull()).groupBy(*by, target).agg(F.count("*").alias("n"))
-    best = F.max(F.struct("n", (-F.col("_r")).alias("r"), F.col(target).alias("y")))
-    ranks = n.select(target).distinct().withColumn("_r", F.dense_rank().over(Window.orderBy(target)))  # one row a class
-    return n.join(F.broadcast(ranks), target).groupBy(*by).agg(best.alias("b"), F.sum("n").alias("all")).select(*by, F.col("b.y").alias("prediction"), F.col("b.n").alias("right"), "all")
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.col(target).alias("y")))
+    return n.groupBy(*by).agg(best.alias("b"), F.sum("n").alias("all")).select(*by, F.col("b.y").alias("prediction"), (-F.col("b.n")).alias("right"), "all")
 
 
 def zero_rule(df: DataFrame, target: str) -> Apply:
@@ -65,36 +63,42 @@ def consistency(df: DataFrame, attributes: list[str], target: str) -> DataFrame:
 def naive_bayes(df: DataFrame, numbers: list[str], nominals: list[str], target: str) -> Apply:
     """Normal densities and Laplace-corrected counts by class; missing cells say nothing.
 
-    Two aggregations: moments by class, and counts by class, attribute and value. The model has a row
-    for each and is joined to the cells' values as literals.
+    Moments by class come as literals, one row a class. The counts of a nominal attribute stay a
+    table, with one row a value and an array over the classes, which is joined to the rows.
     """
     known = df.where(F.col(target).isNotNull())
     moments = known.groupBy(target).agg(F.count("*").alias("n"), *[x for c in numbers for x in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"))]).orderBy(target).collect()
     total, k = sum(r["n"] for r in moments), len(moments)
-    counts: dict = {}
+    tables = {}
     for a in nominals:
-        for r in known.where(F.col(a).isNotNull()).groupBy(target, a).count().collect():
-            counts.setdefault(a, {}).setdefault(r[target], {})[r[a]] = r["count"]
-
-    def score(r):
-        s = F.lit(math.log((r["n"] + 1) / (total + k)))
-        for c in numbers:
-            m, d = r[f"m_{c}"], max(r[f"s_{c}"] or 0.0, 1e-6)
-            if m is not None:
-                z = (F.col(c) - m) / d
-                s = s + F.coalesce(-z * z / 2 - math.log(d * math.sqrt(2 * math.pi)), F.lit(0.0))
-        for a in nominals:
-            domain = sorted({v for by in counts.get(a, {}).values() for v in by})
-            own = counts.get(a, {}).get(r[target], {})
-            seen = sum(own.values()) + len(domain)
-            table = F.create_map(*[F.lit(x) for v in domain for x in (v, math.log((own.get(v, 0) + 1) / seen))])
-            s = s + (F.coalesce(F.try_element_at(table, F.col(a)), F.lit(0.0)) if domain else F.lit(0.0))
-        return s
+        n = known.where(F.col(a).isNotNull()).groupBy(a, target).count()
+        seen = n.groupBy(target).agg(F.sum("count").alias("s")).collect()
+        values = n.select(a).distinct().count()
+        sums = {r[target]: r["s"] for r in seen}
+        logs = [F.log((F.coalesce(F.max(F.when(F.col(target) == r[target], F.col("count"))), F.lit(0)) + 1) / float(sums.get(r[target], 0) + values)) for r in moments]
+        tables[a] = n.groupBy(a).agg(F.array(*logs).alias("logs"))
 
     def apply(rows: DataFrame) -> DataFrame:
-        scored = F.array(*[F.struct(score(r).alias("s"), F.lit(-i).alias("i"), F.lit(r[target]).alias("y")) for i, r in enumerate(moments)])
-        best = rows.withColumn("_best", F.array_max(scored))
-        return best.select(*rows.columns, F.col("_best.y").alias("prediction"), F.col("_best.s").alias("log_score"))
+        held, names = rows, free(rows, *[f"_logs_{a}" for a in nominals])
+        for a, name in zip(nominals, names):
+            value = free(held, "_value")[0]
+            held = held.join(tables[a].select(F.col(a).alias(value), F.col("logs").alias(name)), F.col(a) == F.col(value), "left").drop(value)
+
+        def score(i: int, r):
+            s = F.lit(math.log((r["n"] + 1) / (total + k)))
+            for c in numbers:
+                m, d = r[f"m_{c}"], max(r[f"s_{c}"] or 0.0, 1e-6)
+                if m is not None:
+                    z = (F.col(c) - m) / d
+                    s = s + F.coalesce(-z * z / 2 - math.log(d * math.sqrt(2 * math.pi)), F.lit(0.0))
+            for name in names:
+                s = s + F.coalesce(F.get(F.col(name), F.lit(i)), F.lit(0.0))
+            return s
+
+        scored = F.array(*[F.struct(score(i, r).alias("s"), F.lit(-i).alias("i"), F.lit(r[target]).alias("y")) for i, r in enumerate(moments)])
+        best = free(held, "_best")[0]
+        held = held.withColumn(best, F.array_max(scored))
+        return held.select(*rows.columns, F.col(f"{best}.y").alias("prediction"), F.col(f"{best}.s").alias("log_score"))
 
     return apply
 
@@ -105,8 +109,9 @@ def hyper_pipes(df: DataFrame, numbers: list[str], target: str) -> Apply:
 
     def apply(rows: DataFrame) -> DataFrame:
         inside = lambda r: sum((F.when(F.col(c).between(r[f"a_{c}"], r[f"b_{c}"]), 1).otherwise(0) for c in numbers), F.lit(0))
-        best = rows.withColumn("_best", F.array_max(F.array(*[F.struct(inside(r).alias("s"), F.lit(-i).alias("i"), F.lit(r[target]).alias("y")) for i, r in enumerate(ranges)])))
-        return best.select(*rows.columns, F.col("_best.y").alias("prediction"), (F.col("_best.s") / len(numbers)).alias("share"))
+        name = free(rows, "_best")[0]
+        best = rows.withColumn(name, F.array_max(F.array(*[F.struct(inside(r).alias("s"), F.lit(-i).alias("i"), F.lit(r[target]).alias("y")) for i, r in enumerate(ranges)])))
+        return best.select(*rows.columns, F.col(f"{name}.y").alias("prediction"), (F.col(f"{name}.s") / len(numbers)).alias("share"))
 
     return apply
 

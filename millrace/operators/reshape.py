@@ -8,6 +8,7 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.plans.naming import Apply, fitted, free
 from millrace.plans.numbering import numbered
 
 
@@ -35,9 +36,10 @@ def from_bags(df: DataFrame, bag: str, members: str, target: str, weighting: str
 def transpose(df: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
     """Numeric columns as rows with one cell an input row. In long form, ``name, row, value``: a wide
     form would have as many columns as the table has rows."""
-    rows = numbered(df.select(*order, *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]), order)
-    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"v{i}").alias("value")) for i, c in enumerate(columns)])
-    return rows.select(F.col("_i").alias("row"), F.explode(cells).alias("x")).select("x.name", "row", "x.value")
+    place, *made = free(df, "_i", *[f"v{i}" for i in range(len(columns))])
+    rows = numbered(df.select(*order, *[F.col(c).cast("double").alias(m) for m, c in zip(made, columns)]), order, place)
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(m).alias("value")) for m, c in zip(made, columns)])
+    return rows.select(F.col(place).alias("row"), F.explode(cells).alias("x")).select("x.name", "row", "x.value")
 
 
 def wavelet(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -47,14 +49,14 @@ def wavelet(df: DataFrame, columns: list[str]) -> DataFrame:
     while n < len(columns):
         n *= 2
     cells = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns] + [F.lit(0.0)] * (n - len(columns))
-    root, width, held = math.sqrt(2), n, df.select("*", *[c.alias(f"_w{i}") for i, c in enumerate(cells)])
+    names = free(df, *[f"_w{i}" for i in range(n)])
+    root, width, held = math.sqrt(2), n, df.select("*", *[c.alias(names[i]) for i, c in enumerate(cells)])
     while width > 1:
-        pairs = [(F.col(f"_w{2 * i}"), F.col(f"_w{2 * i + 1}")) for i in range(width // 2)]
+        pairs = [(F.col(names[2 * i]), F.col(names[2 * i + 1])) for i in range(width // 2)]
         made = [(a + b) / root for a, b in pairs] + [(a - b) / root for a, b in pairs]
-        others = [c for c in held.columns if not (c.startswith("_w") and c[2:].isdigit() and int(c[2:]) < width)]
-        held = held.select(*others, *[c.alias(f"_w{i}") for i, c in enumerate(made)])
+        held = held.select(*df.columns, *[c.alias(names[i]) for i, c in enumerate(made)], *names[width:])
         width //= 2
-    return held.select(*[c for c in df.columns if c not in columns], *[F.col(f"_w{i}").alias(f"wavelet_{i}") for i in range(n)])
+    return held.select(*[c for c in df.columns if c not in columns], *[F.col(names[i]).alias(f"wavelet_{i}") for i in range(n)])
 
 
 def project(df: DataFrame, columns: list[str], matrix: list[list[float]], prefix: str = "K") -> DataFrame:
@@ -71,7 +73,8 @@ def random_projection(df: DataFrame, columns: list[str], n: int, seed: int, kind
     return project(df, columns, [[draw() for _ in columns] for _ in range(n)])
 
 
-def principal_components(df: DataFrame, columns: list[str], keep: float = 0.95) -> DataFrame:
+@fitted
+def principal_components(df: DataFrame, columns: list[str], keep: float = 0.95) -> Apply:
     """Standardised columns mapped to the components that hold ``keep`` of the variance.
 
     The moments are one aggregation over the rows; only the matrix of columns is solved on the driver.
@@ -93,5 +96,5 @@ def principal_components(df: DataFrame, columns: list[str], keep: float = 0.95)
     values, vectors = values[::-1], vectors[:, ::-1]
     n = int(np.searchsorted(np.cumsum(values) / values.sum(), keep - 1e-12) + 1)
     weights = [(v * (1 if v[np.abs(v).argmax()] > 0 else -1)).tolist() for v in vectors.T[:n]]
-    scaled = df.withColumns({c: (F.col(c) - F.lit(found[f"m{i}"])) / F.lit(found[f"s{i}"] or 1.0) for i, c in enumerate(columns)})
-    return project(scaled, columns, weights, "PC")
+    scaled = {c: (F.col(c) - F.lit(found[f"m{i}"])) / F.lit(found[f"s{i}"] or 1.0) for i, c in enumerate(columns)}
+    return lambda table: project(table.withColumns(scaled), columns, weights, "PC")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -11,7 +13,8 @@ from millrace.plans.numbering import numbered, scratch, stored
 
 
 def words(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != ""))
+    """Distinct runs of letters and digits, of any script, in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
@@ -25,36 +28,94 @@ def edit_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b)
 
 
-def nearest(targets: DataFrame, rows: DataFrame, columns: list[str], k: int, target_id: str, row_id: str) -> DataFrame:
-    """The ``k`` nearest rows of each target by range-normalised Euclidean distance, with ties at the last.
+#: Targets that are compared with the rows at once.
+MOST_TARGETS = 10_000
+
+
+def nearest(targets: DataFrame, rows: DataFrame, columns: list[str], k: int, target_id: str, row_id: str, widths: dict[str, float] | None = None, index=None) -> DataFrame:
+    """``target, neighbour, distance``: the ``k`` nearest rows of each target, with all ties at the last.
 
-    The targets are broadcast in blocks of at most ``MOST_TARGETS``, one after the other; any number is answered.
+    Distances are Euclidean over columns divided by ``widths``, or by their ranges without; a row with a
+    missing cell has none. Targets go to all tasks in blocks of at most ``MOST_TARGETS``, one block after the
+    other, so that any number is answered. A task multiplies blocks and sends on the best of its own
+    rows alone. With ``index``, of ``millrace.operators.neighbours``, cells that are too far are not looked at.
     """
-    names = dict.fromkeys([target_id, *columns])
-    targets = targets.select(*names)
-    if targets.limit(MOST_TARGETS + 1).count() <= MOST_TARGETS:
-        return _nearest(targets, rows, columns, k, target_id, row_id, _ranges(rows, columns))
-    held, m = stored(numbered(targets, [target_id], "_place"), "targets"), _ranges(rows, columns)
-    path, last = scratch(rows.sparkSession, "nearest"), held.agg(F.max("_place")).first()[0]
+    m = None if widths else _ranges(rows, columns)
+    width = [(widths[c] if widths else (m[f"{c}|b"] or 0) - (m[f"{c}|a"] or 0)) or 1.0 for c in columns]
+    number = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]
+    held = rows.select(F.col(row_id).alias("neighbour"), *number).na.drop(subset=[f"x{i}" for i in range(len(columns))])
+    if held.rdd.getNumPartitions() < rows.sparkSession.sparkContext.defaultParallelism:
+        held = held.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    cells = index.fit(held, np.array(width)) if index else None
+    wanted = targets.select(F.col(target_id).alias("target"), *number).na.drop(subset=[f"x{i}" for i in range(len(columns))])
+    schema = f"target {dict(targets.dtypes)[target_id]}, neighbour {dict(rows.dtypes)[row_id]}, distance double"
+    found = None
+    for block in _target_blocks(wanted):
+        part = _ranked(cells.search(block, k, schema) if cells else held.mapInArrow(best_of(block, np.array(width), k), schema), k)
+        if found is None and block.num_rows < MOST_TARGETS:
+            return part  # the only block
+        path = scratch(rows.sparkSession, "nearest") if found is None else path
+        part.write.mode("append").parquet(path)
+        found = path
+    return rows.sparkSession.read.schema(schema).parquet(found) if found else rows.sparkSession.createDataFrame([], schema)
+
+
+def _target_blocks(wanted: DataFrame):
+    """Arrow tables of at most ``MOST_TARGETS`` targets; a single one is not numbered."""
+    first = wanted.limit(MOST_TARGETS).toArrow()
+    if first.num_rows < MOST_TARGETS:
+        yield first
+        return
+    held = stored(numbered(wanted, ["target"], "_place"), "targets")
+    last = held.agg(F.max("_place")).first()[0]
     for at in range(1, last + 1, MOST_TARGETS):
-        found = _nearest(held.where(F.col("_place").between(at, at + MOST_TARGETS - 1)), rows, columns, k, target_id, row_id, m)
-        found.write.mode("append").parquet(path)
-    return rows.sparkSession.read.schema(found.schema).parquet(path)
+        yield held.where(F.col("_place").between(at, at + MOST_TARGETS - 1)).drop("_place").toArrow()
+
+
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
+    best = pairs.withColumn("r", F.rank().over(Window.partitionBy("target").orderBy("distance"))).where(F.col("r") <= k)
+    return best.select("target", "neighbour", F.round("distance", 9).alias("distance"))
 
 
 def _ranges(rows: DataFrame, columns: list[str]):
     return rows.agg(*[x for c in columns for x in (F.min(c).alias(f"{c}|a"), F.max(c).alias(f"{c}|b"))]).first()
 
 
-def _nearest(targets: DataFrame, rows: DataFrame, columns: list[str], k: int, target_id: str, row_id: str, m) -> DataFrame:
-    t = F.broadcast(targets.select(F.col(target_id).alias("target"), *[F.col(c).alias(f"_{c}") for c in columns]))
-    width = {c: (m[f"{c}|b"] - m[f"{c}|a"]) or 1.0 for c in columns}
-    d = F.sqrt(sum((F.pow((F.col(c) - F.col(f"_{c}")) / width[c], 2) for c in columns), F.lit(0.0)))
-    pairs = rows.join(t, F.col(row_id) != F.col("target")).select("target", F.col(row_id).alias("neighbour"), F.round(d, 9).alias("distance"))
-    return pairs.withColumn("r", F.rank().over(Window.partitionBy("target").orderBy("distance"))).where(F.col("r") <= k).drop("r")
+def coordinates(table) -> np.ndarray:
+    """The columns behind the first as an array of rows."""
+    return np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False) if isinstance(c, pa.Array) else c.to_numpy(), float) for c in table.columns[1:]])
 
 
-MOST_TARGETS = 10_000
+def distances(t: np.ndarray, x: np.ndarray, width: np.ndarray) -> np.ndarray:
+    total = np.zeros((len(t), len(x)))
+    for c in range(t.shape[1]):
+        total += ((x[None, :, c] - t[:, None, c]) / width[c]) ** 2
+    return np.sqrt(total)
+
+
+def best_of(targets: pa.Table, width: np.ndarray, k: int, block: int = 256):
+    """For ``mapInArrow`` over rows of ``neighbour`` and coordinates: the pairs that may be among the ``k`` best."""
+    ids, t = targets.column("target").combine_chunks(), coordinates(targets)
+    names = ids.to_pylist()
+
+    def run(batches):
+        best = np.full((len(t), k), np.inf)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, own = coordinates(batch), batch.column(0)
+            same = {v: i for i, v in enumerate(own.to_pylist())}
+            for a in range(0, len(t), block):
+                d = distances(t[a : a + block], x, width)
+                for i, name in enumerate(names[a : a + block]):
+                    if name in same:
+                        d[i, same[name]] = np.inf
+                here = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, : min(k, d.shape[1])]
+                best[a : a + block] = np.partition(np.hstack([best[a : a + block], here]), k - 1, axis=1)[:, :k]
+                i, j = np.nonzero(np.isfinite(d) & (d <= best[a : a + block].max(1)[:, None]))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i + a)), own.take(pa.array(j)), pa.array(d[i, j])], ["target", "neighbour", "distance"])
+
+    return run
 
 
 def difference(a: Column, b: Column, low: float | None = None, high: float | None = None) -> Column:
@@ -79,27 +140,44 @@ def combined(differences: list[Column], metric: str = "euclidean") -> Column:
     return F.sqrt(total([d * d for d in differences]))
 
 
+def affine_costs(x: list[str], y: list[str], match: float, change: float, opened: float, extended: float) -> np.ndarray:
+    """The costs of many pairs at once: the table of each pair's prefixes, filled for all pairs cell by cell."""
+    code = lambda texts: np.array([np.pad(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), (0, longest - len(t)), constant_values=-1) for t in texts])
+    lx, ly = np.array([len(t) for t in x]), np.array([len(t) for t in y])
+    longest = int(max(lx.max(initial=0), ly.max(initial=0), 1))
+    cx, cy = code(x), code(y)
+    whole = np.concatenate([[0.0], opened + extended * np.arange(ly.max(initial=0))])[:, None] + np.zeros(len(x))
+    down, found, every = np.full_like(whole, np.inf), np.zeros(len(x)), np.arange(len(x))
+    found[lx == 0] = whole[ly, every][lx == 0]
+    for i in range(1, int(lx.max(initial=0)) + 1):
+        corner, across = whole[0].copy(), np.full(len(x), np.inf)
+        whole[0] = opened + extended * (i - 1)
+        for j in range(1, len(whole)):
+            down[j] = np.minimum(down[j] + extended, whole[j] + opened)
+            across = np.minimum(across + extended, whole[j - 1] + opened)
+            best = np.minimum(np.minimum(corner + np.where(cx[:, i - 1] == cy[:, j - 1], match, change), down[j]), across)
+            corner, whole[j] = whole[j].copy(), best
+        done = lx == i
+        found[done] = whole[ly, every][done]
+    return found
+
+
 def affine_gap(a: Column, b: Column, match: float = 0.0, change: float = 1.0, opened: float = 1.0, extended: float = 0.5) -> Column:
     """The least cost to turn one text into the other, where a gap's first and later characters differ in cost.
 
-    Missing texts give a missing cost.
+    Missing texts give a missing cost. Pairs of like length are worked on together.
     """
-    def one(x: str | None, y: str | None) -> float | None:
-        if x is None or y is None:
-            return None
-        inf = float("inf")
-        whole, down = [0.0] + [opened + extended * j for j in range(len(y))], [inf] * (len(y) + 1)
-        for i, c in enumerate(x):
-            corner, whole[0], across = whole[0], opened + extended * i, inf
-            for j, e in enumerate(y, 1):
-                down[j] = min(down[j] + extended, whole[j] + opened)
-                across = min(across + extended, whole[j - 1] + opened)
-                corner, whole[j] = whole[j], min(corner + (match if c == e else change), down[j], across)
-        return whole[-1]
 
     @pandas_udf("double")
     def cost(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([one(*p) for p in zip(x, y)], dtype="float64")
+        out = np.full(len(x), np.nan)
+        known = np.flatnonzero((x.notna() & y.notna()).to_numpy())
+        sizes = np.array([len(x.iloc[i]) * 4096 + len(y.iloc[i]) for i in known])
+        order = known[np.argsort(sizes, kind="stable")]
+        for at in range(0, len(order), 512):
+            some = order[at : at + 512]
+            out[some] = affine_costs([x.iloc[i] for i in some], [y.iloc[i] for i in some], match, change, opened, extended)
+        return pd.Series(out)
 
     return cost(a, b)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +23,17 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _cells(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Counts ``n`` of the pairs of known values, with the totals of their rows and columns and of all: joins of
+    aggregates, so that no one task holds the table."""
     n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
-    return n.withColumns({
-        "ra": F.sum("n").over(Window.partitionBy("a")), "rb": F.sum("n").over(Window.partitionBy("b")), "t": F.sum("n").over(Window.partitionBy()),
-    })
+    return with_totals(n)
+
+
+def with_totals(n: DataFrame) -> DataFrame:
+    """``ra``, ``rb`` and ``t`` for counts ``a, b, n``."""
+    total = n.agg(F.sum("n").alias("t")).first()["t"] or 0
+    rows, columns = n.groupBy("a").agg(F.sum("n").alias("ra")), n.groupBy("b").agg(F.sum("n").alias("rb"))
+    return n.join(rows, "a").join(columns, "b").withColumn("t", F.lit(total))
 
 
 def contingency(df: DataFrame, attribute: str, target: str) -> DataFrame:
@@ -78,16 +87,100 @@ def paired_stats(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def rank_attributes(df: DataFrame, attributes: list[str], target: str) -> DataFrame:
-    """Information gain of each nominal attribute, from one pass over all of them."""
+def attribute_cells(df: DataFrame, attributes: list[str], target: str, weight: str | None = None) -> DataFrame:
+    """``name, v, y, n`` with the totals ``rv, ry, t`` of each nominal attribute, from one pass over all of them."""
     cells = df.where(F.col(target).isNotNull()).select(
-        F.col(target).cast("string").alias("y"), F.explode(F.array(*[F.struct(F.lit(a).alias("name"), F.col(a).cast("string").alias("v")) for a in attributes])).alias("x")
+        F.col(target).cast("string").alias("y"), (F.col(weight) if weight else F.lit(1)).alias("w"), F.explode(F.array(*[F.struct(F.lit(a).alias("name"), F.col(a).cast("string").alias("v")) for a in attributes])).alias("x")
     ).where("x.v is not null")
-    n = cells.groupBy("x.name", "x.v", "y").agg(F.count("*").alias("n"))
-    w = lambda *c: F.sum("n").over(Window.partitionBy("name", *c))
-    n = n.withColumns({"rv": w("v"), "ry": w("y"), "t": w()})
-    gain = F.sum(F.col("n") / F.col("t") * F.log2(F.col("n") * F.col("t") / (F.col("rv") * F.col("ry"))))
-    return n.groupBy("name").agg(gain.alias("info_gain"))
+    n = cells.groupBy("x.name", "x.v", "y").agg(F.sum("w").alias("n"))
+    total = lambda name, *c: n.groupBy("name", *c).agg(F.sum("n").alias(name_of[name]))
+    name_of = {"v": "rv", "y": "ry", "t": "t"}
+    return n.join(total("v", "v"), ["name", "v"]).join(total("y", "y"), ["name", "y"]).join(total("t"), "name")
+
+
+def rank_attributes(df: DataFrame, attributes: list[str], target: str, weight: str | None = None) -> DataFrame:
+    """``name, info_gain, gain_ratio, symmetrical_uncertainty, chi2`` of each nominal attribute."""
+    n, v, y, t = (F.col(c).cast("double") for c in ("n", "rv", "ry", "t"))
+    s = attribute_cells(df, attributes, target, weight).groupBy("name").agg(
+        F.sum(n / t * F.log2(n * t / (v * y))).alias("info_gain"), F.sum(-n / t * F.log2(v / t)).alias("hv"), F.sum(-n / t * F.log2(y / t)).alias("hy"),
+        (F.max(t) * (F.sum(n * n / (v * y)) - 1)).alias("chi2"),
+    )
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    gain = F.col("info_gain")
+    return s.select("name", "info_gain", ratio(gain, F.col("hv")).alias("gain_ratio"), ratio(2 * gain, F.col("hv") + F.col("hy")).alias("symmetrical_uncertainty"), "chi2")
+
+
+def top_ranked(scores: DataFrame, score: str, n: int | None = None, threshold: float | None = None) -> DataFrame:
+    """Attributes by falling score, ties by name: at most ``n``, and those above ``threshold``."""
+    kept = scores if threshold is None else scores.where(F.col(score) > threshold)
+    return kept.orderBy(F.desc(score), "name").limit(n) if n is not None else kept
+
+
+def conditional_entropies(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: entropy of the pairs, of the rows and columns of their table, and of each given the other."""
+    m = _cells(df, a, b)
+    n, t = F.col("n"), F.col("t")
+    part = lambda x, y: -n / t * F.log2(F.col(x) / F.col(y))
+    return m.agg(
+        F.sum(part("n", "t")).alias("joint"), F.sum(part("ra", "t")).alias("over_rows"), F.sum(part("rb", "t")).alias("over_columns"),
+        F.sum(part("n", "ra")).alias("given_rows"), F.sum(part("n", "rb")).alias("given_columns"),
+    )
+
+
+def test_entropy_given_rows(train: DataFrame, test: DataFrame, a: str, b: str, classes: int) -> DataFrame:
+    """One row: entropy of the columns given the rows of the test table, by the training table with one more in each cell."""
+    n = _cells(test, a, b).select("a", "b", "n", "t")
+    known = _cells(train, a, b).select("a", "b", F.col("n").alias("m"), "ra")
+    rows = known.groupBy("a").agg(F.max("ra").alias("ra"))
+    held = n.join(known.select("a", "b", "m"), ["a", "b"], "left").join(rows, "a", "left")
+    share = F.log2((F.coalesce("m", F.lit(0)) + 1) / (F.coalesce("ra", F.lit(0)) + classes))
+    return held.agg(F.sum(-F.col("n") / F.col("t") * share).alias("entropy"))
+
+
+def log2_hypergeometric(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: minus the binary logarithm of the chance of the table, given its margins."""
+    from millrace.functions.special import column, ln_factorial
+
+    f = column(ln_factorial)
+    m = _cells(df, a, b)
+    rows, columns = m.groupBy("a").agg(F.max("ra").alias("n")), m.groupBy("b").agg(F.max("rb").alias("n"))
+    parts = m.select((-f(F.col("n"))).alias("x")).unionAll(rows.select(f(F.col("n")).alias("x"))).unionAll(columns.select(f(F.col("n")).alias("x")))
+    total = m.agg(F.max("t").alias("n")).select((-f(F.col("n"))).alias("x"))
+    return parts.unionAll(total).agg((-F.sum("x") / math.log(2)).alias("bits"))
+
+
+def reduced(counts: DataFrame) -> DataFrame:
+    """Counts ``a, b, n`` without the rows and columns that are all zero."""
+    rows = counts.groupBy("a").agg(F.sum("n").alias("s")).where("s > 0").select("a")
+    columns = counts.groupBy("b").agg(F.sum("n").alias("s")).where("s > 0").select("b")
+    return counts.join(rows, "a", "left_semi").join(columns, "b", "left_semi")
+
+
+def summary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``name, count, sum, sum_squared, min, max, mean, deviation``: of one value the deviation is infinite."""
+    def of(c: str) -> list:
+        x = F.col(c).cast("double")
+        sd = F.when(F.count(x) == 1, float("inf")).otherwise(F.stddev_samp(x))
+        return [F.struct(F.lit(c).alias("name"), F.count(x).alias("count"), F.coalesce(F.sum(x), F.lit(0.0)).alias("sum"), F.coalesce(F.sum(x * x), F.lit(0.0)).alias("sum_squared"),
+                         F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), sd.alias("deviation"))]
+
+    return df.agg(F.array(*[s for c in columns for s in of(c)]).alias("x")).select(F.inline("x"))
+
+
+def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per numeric column the whole and the fractional cells besides its ``profile`` counts."""
+    kinds = [F.struct(F.lit(c).alias("name"), F.count(F.when(F.col(c) == F.floor(c), 1)).alias("whole"), F.count(F.when(F.col(c) != F.floor(c), 1)).alias("fractional")) for c in columns]
+    counted = df.agg(F.array(*kinds).alias("x")).select(F.inline("x"))
+    return profile(df, columns).join(counted, "name")
+
+
+def histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
+    """``bin, n``: rows of each value, or of each of ``bins`` ranges of equal width."""
+    from millrace.operators.columns import equal_width_bins
+
+    rows = df.where(F.col(column).isNotNull())
+    rows = equal_width_bins(rows, column, bins, "bin") if bins else rows.withColumn("bin", F.col(column))
+    return rows.groupBy("bin").agg(F.count("*").alias("n"))
 
 
 def frequent_pairs(df: DataFrame, basket: str, item: str, least: int) -> DataFrame:

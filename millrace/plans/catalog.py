@@ -73,8 +73,8 @@ _register(
     "SELECT p_partkey, CAST(" + " + ".join(f"(CASE WHEN p_size > a + (b - a) / 7.0 * {i} THEN 1 ELSE 0 END)" for i in range(1, 7)) + " AS INT) AS bin FROM part, (SELECT min(p_size) AS a, max(p_size) AS b FROM part)",
 )
 _register("first_order", "lineitem", lambda t: C.first_order(t.select("l_orderkey", "l_linenumber", "l_discount", "l_tax"), ["l_discount", "l_tax"]).select("l_orderkey", "l_linenumber", F.round("l_tax FO l_discount", 6).alias("d")), "SELECT l_orderkey, l_linenumber, round(l_tax - l_discount, 6) AS d FROM lineitem")
-_register("make_indicator", "lineitem", lambda t: C.make_indicator(t, "l_returnflag", ["R"]).groupBy("l_returnflag").count(), "SELECT CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS DOUBLE) AS l_returnflag, count(*) AS count FROM lineitem GROUP BY 1")
-_register("merge_values", "lineitem", lambda t: C.merge_values(t, "l_returnflag", "A", "N").groupBy("l_returnflag").count(), "SELECT CASE WHEN l_returnflag IN ('A', 'N') THEN 'A_N' ELSE l_returnflag END AS l_returnflag, count(*) AS count FROM lineitem GROUP BY 1")
+_register("make_indicator", "lineitem", lambda t: C.make_indicator(t, "l_returnflag", ["R"]).select("l_orderkey", "l_linenumber", "l_returnflag"), "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS DOUBLE) AS l_returnflag FROM lineitem")
+_register("merge_values", "lineitem", lambda t: C.merge_values(t, "l_returnflag", "A", "N").select("l_orderkey", "l_linenumber", "l_returnflag"), "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag IN ('A', 'N') THEN 'A_N' ELSE l_returnflag END AS l_returnflag FROM lineitem")
 _register(
     "numeric_cleaner", "part", lambda t: C.numeric_cleaner(t.select("p_partkey", F.col("p_size").cast("double").alias("p_size")), "p_size", 5, 5, 45, 45, 20, 20, 3, 0),
     "SELECT p_partkey, CASE WHEN p_size < 5 THEN 5.0 WHEN p_size > 45 THEN 45.0 WHEN abs(p_size - 20) < 3 AND p_size <> 20 THEN 20.0 ELSE CAST(p_size AS DOUBLE) END AS p_size FROM part",
@@ -97,7 +97,7 @@ def replace_missing(spark, d):
 
 
 _register(
-    "math_expression", "part", lambda t: C.math_expression(_p(t), "p_size", "(A - MEAN) / (MAX - MIN) + ln(COUNT)").select("p_partkey", F.round("p_size", 6).alias("p_size")),
+    "math_expression", "part", lambda t: C.math_expression(_p(t), "p_size", "(A - MEAN) / (MAX - MIN) + log(COUNT)").select("p_partkey", F.round("p_size", 6).alias("p_size")),
     "SELECT p_partkey, round((p_size - m) / (b - a) + ln(n), 6) AS p_size FROM part, (SELECT avg(p_size) AS m, min(p_size) AS a, max(p_size) AS b, count(p_size) AS n FROM part)",
 )
 _register(
@@ -179,8 +179,8 @@ _register(
 _register(
     "nearest", "part", lambda t: similarity.nearest(t.where("p_partkey % 20 = 0"), t, ["p_size", "p_retailprice"], 3, "p_partkey", "p_partkey"),
     "WITH m AS (SELECT min(p_size) AS a, max(p_size) AS b, min(p_retailprice) AS c, max(p_retailprice) AS d FROM part), "
-    "x AS (SELECT t.p_partkey AS target, r.p_partkey AS neighbour, round(sqrt(((r.p_size - t.p_size) / (b - a)) ** 2 + ((r.p_retailprice - t.p_retailprice) / (d - c)) ** 2), 9) AS distance "
-    "FROM part t, part r, m WHERE t.p_partkey % 20 = 0 AND r.p_partkey <> t.p_partkey) SELECT target, neighbour, distance FROM x QUALIFY rank() OVER (PARTITION BY target ORDER BY distance) <= 3",
+    "x AS (SELECT t.p_partkey AS target, r.p_partkey AS neighbour, sqrt(((r.p_size - t.p_size) / (b - a)) ** 2 + ((r.p_retailprice - t.p_retailprice) / (d - c)) ** 2) AS distance "
+    "FROM part t, part r, m WHERE t.p_partkey % 20 = 0 AND r.p_partkey <> t.p_partkey) SELECT target, neighbour, round(distance, 9) AS distance FROM x QUALIFY rank() OVER (PARTITION BY target ORDER BY distance) <= 3",
 )
 
 
@@ -192,4 +192,4 @@ def oracle_sql() -> dict[str, str]:
     return {k: s for k, (_, s) in _ALL.items() if s}
 
 
-from millrace.plans import mining_queries  # noqa: E402, F401  registers its queries
+from millrace.plans import filter_queries, function_queries, mining_queries, record_queries, source_queries  # noqa: E402, F401  register their queries

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.evaluation import accuracy
+from millrace.plans.naming import free
 from millrace.plans.numbering import numbered, stored
 
 RESULT = "scheme string, run int, fold int, n long, correct long, accuracy double"
@@ -16,8 +17,9 @@ RESULT = "scheme string, run int, fold int, n long, correct long, accuracy doubl
 def with_folds(df: DataFrame, target: str, key: list[str], folds: int, run: int) -> DataFrame:
     """A column ``_fold`` from 0: rows are shuffled by hash of key and run, then dealt class after class, so that
     folds are even in all and within each class."""
-    rows = numbered(df.withColumn("_h", F.xxhash64(F.lit(run), *key)), [target, "_h", *key])
-    return rows.withColumn("_fold", F.pmod(F.col("_i"), F.lit(folds)).cast("int")).drop("_h", "_i")
+    drawn, place = free(df, "_h", "_i")
+    rows = numbered(df.withColumn(drawn, F.xxhash64(F.lit(run), *key)), [target, drawn, *key], place)
+    return rows.withColumn("_fold", F.pmod(F.col(place), F.lit(folds)).cast("int")).drop(drawn, place)
 
 
 def cross_validate(

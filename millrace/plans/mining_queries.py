@@ -29,7 +29,7 @@ _register(
     "change_date_format", "events", lambda t: C.change_date_format(t.select("event_id", "ts"), "ts", "yyyy-MM").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("month")),
     "SELECT event_id, strftime(date_trunc('month', ts), '%Y-%m-%d') AS month FROM events",
 )
-_register("numeric_to_nominal", "part", lambda t: C.numeric_to_nominal(t, ["p_size"]).groupBy("p_size").count(), "SELECT CAST(p_size AS VARCHAR) AS p_size, count(*) AS count FROM part GROUP BY 1")
+_register("numeric_to_nominal", "part", lambda t: C.numeric_to_nominal(t, ["p_size"], 0).select("p_partkey", "p_size"), "SELECT p_partkey, CAST(p_size AS VARCHAR) AS p_size FROM part")
 _register(
     "obfuscate", "orders", lambda t: C.obfuscate(C.with_domain(t.select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["F", "O", "P"])),
     "SELECT o_orderkey AS \"A1\", CASE o_orderstatus WHEN 'F' THEN 'V1' WHEN 'O' THEN 'V2' WHEN 'P' THEN 'V3' END AS \"A2\" FROM orders",
@@ -47,7 +47,7 @@ _register(
     "time_series_whole", "orders", lambda t: _rounded(C.time_series_delta(t.select("o_orderkey", "o_totalprice"), ["o_totalprice"], ["o_orderkey"]).toDF("o_orderkey", "d"), "d"),
     "SELECT o_orderkey, round(o_totalprice - lag(o_totalprice) OVER (ORDER BY o_orderkey), 6) AS d FROM orders",
 )
-_register("reservoir_sample", "orders", lambda t: R.reservoir_sample(t, 100, 3).agg(F.count("*").alias("n")), "SELECT least(count(*), 100) AS n FROM orders")
+_register("reservoir_sample", "orders", lambda t: R.reservoir_sample(t, 100, 3, ["o_orderkey"]).select("o_orderkey").distinct().join(t, "o_orderkey", "left_semi").agg(F.count("*").alias("n")), "SELECT least(count(*), 100) AS n FROM orders")
 _register("train_test_split", "orders", lambda t: R.train_test_split(t, 66, 1, ["o_orderkey"])[0].agg(F.count("*").alias("n")), "SELECT CAST(floor(count(*) * 0.66 + 0.5) AS BIGINT) AS n FROM orders")
 
 
@@ -84,8 +84,8 @@ _register("principal_components", "part", lambda t: reshape.principal_components
 _WORDS = "SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[ \\r\\n\\t.,;:''\"()?!]+'), lambda x: x <> '')) AS word FROM documents"
 _register("alphabetic_tokens", "documents", lambda t: t.select("doc_id", F.size(text.alphabetic(F.coalesce("text", F.lit("")))).alias("n")), "SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'))::INT AS n FROM documents")
 _register("ngrams", "part", lambda t: t.select("p_partkey", F.array_join(text.ngrams(text.delimited(F.col("p_type")), 1, 2), "|").alias("grams")), "WITH w AS (SELECT p_partkey, list_filter(regexp_split_to_array(p_type, '[ \\r\\n\\t.,;:''\"()?!]+'), lambda x: x <> '') AS w FROM part) SELECT p_partkey, array_to_string(list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), w), '|') AS grams FROM w")
-_register("word_vectors", "documents", lambda t: text.word_vectors(t, "doc_id", "text", 50, "lang").groupBy("doc_id").agg(F.sum("value").alias("n")), f"WITH w AS ({_WORDS}), c AS (SELECT lang, word, count(*) AS n FROM w JOIN documents USING (doc_id) GROUP BY 1, 2), k AS (SELECT DISTINCT word FROM (SELECT word, rank() OVER (PARTITION BY lang ORDER BY n DESC) AS r FROM c) WHERE r <= 50) SELECT doc_id, CAST(count(DISTINCT word) AS DOUBLE) AS n FROM w SEMI JOIN k USING (word) GROUP BY 1")
-_register("tf_idf", "documents", lambda t: _rounded(text.tf_idf(t, "doc_id", "text").groupBy("doc_id").agg(F.sum("weight").alias("s")), "s", places=4), f"WITH w AS ({_WORDS.replace('(text,', '(lower(text),')}), f AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY 1, 2), i AS (SELECT word, ln((SELECT count(*) FROM documents) / count(*)) AS idf FROM f GROUP BY 1) SELECT doc_id, round(sum(tf * idf), 4) AS s FROM f JOIN i USING (word) WHERE idf > 0 GROUP BY 1")
+_register("word_vectors", "documents", lambda t: text.word_vectors(t, "doc_id", "text", 50, "lang"), f"WITH w AS ({_WORDS}), c AS (SELECT lang, word, count(*) AS n FROM w JOIN documents USING (doc_id) GROUP BY 1, 2), k AS (SELECT DISTINCT word FROM (SELECT word, rank() OVER (PARTITION BY lang ORDER BY n DESC) AS r FROM c) WHERE r <= 50) SELECT DISTINCT doc_id, word, CAST(1 AS DOUBLE) AS value FROM w SEMI JOIN k USING (word)")
+_register("tf_idf", "documents", lambda t: _rounded(text.tf_idf(t, "doc_id", "text"), "weight", places=5), f"WITH w AS ({_WORDS.replace('(text,', '(lower(text),')}), f AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY 1, 2), i AS (SELECT word, ln((SELECT count(*) FROM documents) / count(*)) AS idf FROM f GROUP BY 1) SELECT doc_id, word, round(tf * idf, 5) AS weight FROM f JOIN i USING (word) WHERE idf > 0")
 
 _MASKS = "WITH o AS (SELECT l_orderkey, bit_or(1 << (l_linenumber - 1)) AS m FROM lineitem GROUP BY 1), c AS (SELECT g AS s, count(*) FILTER (m & g = g) AS n FROM o, generate_series(1, 127) t(g) GROUP BY 1), z AS (SELECT count(*) AS z FROM o)"
 _NAMES = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {{0}} & {1 << i} > 0 THEN '{i + 1}' END" for i in range(7)) + "], lambda x: x IS NOT NULL), ',')"
@@ -104,7 +104,7 @@ _register(
 _register("sequences_whole", "events", lambda t: mining.sequences(t.withColumn("day", F.struct("user_id", F.to_date("ts"))), "day", "event_type", ["ts", "event_id"], 0.01), None)
 
 _TOP = "SELECT {0}, arg_max({1}, (n, -r)) AS prediction FROM (SELECT {0}, {1}, count(*) AS n, dense_rank() OVER (ORDER BY {1}) AS r FROM {2} GROUP BY {0}, {1}) GROUP BY {0}"
-_register("zero_rule", "lineitem", lambda t: models.zero_rule(t, "l_returnflag")(t).groupBy("prediction").count(), "SELECT (SELECT l_returnflag FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS prediction, count(*) AS count FROM lineitem")
+_register("zero_rule", "lineitem", lambda t: models.zero_rule(t, "l_returnflag")(t).select("l_orderkey", "l_linenumber", "prediction"), "SELECT l_orderkey, l_linenumber, (SELECT l_returnflag FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS prediction FROM lineitem")
 _RULE = " UNION ALL ".join(
     f"SELECT {i} AS i, v, arg_max(y, (n, -r)) AS p, max(n) AS hit FROM (SELECT CAST({c} AS VARCHAR) AS v, l_returnflag AS y, count(*) AS n, dense_rank() OVER (ORDER BY l_returnflag) AS r FROM lineitem GROUP BY 1, 2) GROUP BY v"
     for i, c in enumerate(("l_linestatus", "l_linenumber"))
@@ -131,9 +131,9 @@ def naive_bayes(spark, d):
 
 
 _register(
-    "hyper_pipes", "lineitem", lambda t: models.hyper_pipes(t, ["l_quantity", "l_tax"], "l_returnflag")(t).groupBy("prediction").agg(F.count("*").alias("n")),
-    "WITH r AS (SELECT l_returnflag AS y, min(l_quantity) AS a, max(l_quantity) AS b, min(l_tax) AS c, max(l_tax) AS d, row_number() OVER (ORDER BY l_returnflag) AS i FROM lineitem GROUP BY 1), "
-    "s AS (SELECT k, arg_max(y, (CAST(l_quantity BETWEEN a AND b AS INT) + CAST(l_tax BETWEEN c AND d AS INT), -i)) AS prediction FROM (SELECT row_number() OVER () AS k, l_quantity, l_tax FROM lineitem), r GROUP BY 1) SELECT prediction, count(*) AS n FROM s GROUP BY 1",
+    "hyper_pipes", "lineitem", lambda t: models.hyper_pipes(t, ["l_quantity", "l_tax"], "l_returnflag")(t).select("l_orderkey", "l_linenumber", "prediction"),
+    "WITH r AS (SELECT l_returnflag AS y, min(l_quantity) AS a, max(l_quantity) AS b, min(l_tax) AS c, max(l_tax) AS d, row_number() OVER (ORDER BY l_returnflag) AS i FROM lineitem GROUP BY 1) "
+    "SELECT l_orderkey, l_linenumber, prediction FROM lineitem JOIN (SELECT l_quantity, l_tax, arg_max(y, (CAST(l_quantity BETWEEN a AND b AS INT) + CAST(l_tax BETWEEN c AND d AS INT), -i)) AS prediction FROM (SELECT DISTINCT l_quantity, l_tax FROM lineitem), r GROUP BY 1, 2) USING (l_quantity, l_tax)",
 )
 _register("farthest_first", "part", lambda t: t.sparkSession.createDataFrame([(c["k"],) for c in models.farthest_first(t, "p_partkey", ["p_size", "p_retailprice"], 4)], "centre long"), None)
 _register("k_means", "part", lambda t: models.spark_model("k_means", t, ["p_size", "p_retailprice"], k=4, seed=1).transform(t).groupBy("prediction").agg(F.count("*").alias("n")), None)
@@ -205,5 +205,5 @@ _register(
     "similar_texts", "part", lambda t: _rounded(similarity.similar_texts(t, "p_partkey", "p_name", 0.4), "cosine", places=5),
     _VECTORS + "SELECT p.k AS a, q.k AS b, round(sum(p.x * q.x), 5) AS cosine FROM u p JOIN u q ON p.word = q.word AND p.k < q.k GROUP BY 1, 2 HAVING sum(p.x * q.x) >= 0.4",
 )
-_register("affine_gap", "nation", lambda t: t.select("n_nationkey", similarity.affine_gap(F.lit("ALGERIA"), F.col("n_name")).alias("cost")), None)
+_register("affine_gap", "nation", lambda t: t.select("n_nationkey", similarity.affine_gap(F.lit("NATION_7 AND MORE"), F.col("n_name"), extended=1.0).alias("cost")), "SELECT n_nationkey, CAST(levenshtein('NATION_7 AND MORE', n_name) AS DOUBLE) AS cost FROM nation")
 _register("remove_misclassified", "lineitem", lambda t: R.remove_misclassified(t, lambda rows: models.zero_rule(rows, "l_returnflag"), "l_returnflag").groupBy("l_returnflag").count(), "SELECT l_returnflag, count(*) AS count FROM lineitem WHERE l_returnflag = (SELECT l_returnflag FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) GROUP BY 1")

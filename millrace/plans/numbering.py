@@ -9,33 +9,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.plans.naming import free
 from millrace.plans.storage import scratch, stored  # noqa: F401  given on
 
-_PART, _PLACE, _BASE = "__part", "__place", "__base"
-
 
 def numbered(df: DataFrame, order: list, name: str = "_i") -> DataFrame:
     """Rows with their place in the order, from 1. Equal keys are numbered in any, but a fixed, order."""
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    held = stored(df.orderBy(*order).withColumns({_PART: F.spark_partition_id(), _PLACE: place}), "numbered")
-    sizes = held.groupBy(_PART).count()
-    starts = sizes.select(_PART, (F.sum("count").over(Window.orderBy(_PART)) - F.col("count")).alias(_BASE))
-    return held.join(F.broadcast(starts), _PART).select(*df.columns, (F.col(_BASE) + F.col(_PLACE) + 1).alias(name))
+    part, place, base = free([*df.columns, name], "__part", "__place", "__base")
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    held = stored(df.orderBy(*order).withColumns({part: F.spark_partition_id(), place: at}), "numbered")
+    sizes = held.groupBy(part).count()
+    starts = sizes.select(part, (F.sum("count").over(Window.orderBy(part)) - F.col("count")).alias(base))
+    return held.join(F.broadcast(starts), part).select(*df.columns, (F.col(base) + F.col(place) + 1).alias(name))  # one row a partition
 
 
 def numbered_within(df: DataFrame, by: str, order: list, name: str = "_i") -> DataFrame:
     """Places from 1 within each value of ``by``, missing ones included; a frequent value takes many tasks."""
     rows = numbered(df, [by, *order], name)
-    firsts = rows.groupBy(F.col(by).alias(_PART)).agg(F.min(name).alias(_BASE))
-    return rows.join(firsts, F.col(by).eqNullSafe(F.col(_PART))).select(*df.columns, (F.col(name) - F.col(_BASE) + 1).alias(name))
+    value, base = free([*df.columns, name], "__value", "__base")
+    firsts = rows.groupBy(F.col(by).alias(value)).agg(F.min(name).alias(base))
+    return rows.join(firsts, F.col(by).eqNullSafe(F.col(value))).select(*df.columns, (F.col(name) - F.col(base) + 1).alias(name))
 
 
 def running(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
     """``sums[new] = column``: sums of all rows up to each, in an order whose keys are distinct."""
-    held = stored(df.orderBy(*order).withColumn(_PART, F.spark_partition_id()), "running")
-    before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    totals = held.groupBy(_PART).agg(*[F.sum(c).alias(f"{_BASE}{n}") for n, c in sums.items()])
-    starts = totals.select(_PART, *[F.coalesce(F.sum(f"{_BASE}{n}").over(before), F.lit(0)).alias(f"{_BASE}{n}") for n in sums])
-    inside = Window.partitionBy(_PART).orderBy(*order)
-    rows = held.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(F.broadcast(starts), _PART)
-    return rows.select(*df.columns, *[(F.col(n) + F.col(f"{_BASE}{n}")).alias(n) for n in sums])
+    part, *bases = free([*df.columns, *sums], "__part", *[f"__base{i}" for i in range(len(sums))])
+    held = stored(df.orderBy(*order).withColumn(part, F.spark_partition_id()), "running")
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = held.groupBy(part).agg(*[F.sum(c).alias(b) for b, c in zip(bases, sums.values())])
+    starts = totals.select(part, *[F.coalesce(F.sum(b).over(before), F.lit(0)).alias(b) for b in bases])
+    inside = Window.partitionBy(part).orderBy(*order)
+    rows = held.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(F.broadcast(starts), part)
+    return rows.select(*df.columns, *[(F.col(n) + F.col(b)).alias(n) for n, b in zip(sums, bases)])

@@ -29,10 +29,59 @@ def windowed(stream: DataFrame, time: str, by: str, value: str, length: str, lat
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, length), by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
-def prequential(stream: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """Running accuracy of predictions."""
+def prequential(stream: DataFrame, actual: str, predicted: str, value: str | None = None, estimate: str | None = None) -> DataFrame:
+    """Running accuracy of predictions, and with two numbers the root of their mean squared error."""
     right = F.when(F.col(actual) == F.col(predicted), 1.0).otherwise(0.0)
-    return stream.where(F.col(actual).isNotNull()).groupBy().agg(F.count("*").alias("n"), F.avg(right).alias("accuracy"))
+    off = [F.sqrt(F.avg(F.pow(F.col(value) - F.col(estimate), 2))).alias("error")] if value else []
+    return stream.where(F.col(actual).isNotNull()).groupBy().agg(F.count("*").alias("n"), F.avg(right).alias("accuracy"), *off)
+
+
+def append_predictions(rows: DataFrame, model: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A model applied to a stream or a table: a narrow step for models that are expressions."""
+    return model(rows)
+
+
+def counted(stream: DataFrame) -> DataFrame:
+    return stream.groupBy().agg(F.count("*").alias("n"))
+
+
+def series(stream: DataFrame, time: str, value: str, length: str, late: str) -> DataFrame:
+    """``start, mean`` of each window, for a running chart."""
+    held = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    return held.groupBy(F.window(time, length).alias("w")).agg(F.avg(value).alias("mean")).select(F.col("w.start").alias("start"), "mean")
+
+
+def save(stream: DataFrame, path: str) -> None:
+    """Appends all that is there to Parquet files, each row once even when a batch is run again."""
+    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def shown(df: DataFrame, order: list[str], n: int = 100) -> DataFrame:
+    """The first rows, for a viewer."""
+    return df.orderBy(*order).limit(n)
+
+
+def run(nodes: dict[str, tuple[list[str], Callable]], wanted: str):
+    """Runs a graph of named nodes ``(inputs, function)`` up to ``wanted``: each once, those that do not wait for one
+    another at the same time. A circle is an error."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    done: dict[str, object] = {}
+    needed, open_ = set(), [wanted]
+    while open_:
+        name = open_.pop()
+        if name not in needed:
+            needed.add(name)
+            open_ += nodes[name][0]
+    while wanted not in done:
+        ready = [n for n in needed if n not in done and all(i in done for i in nodes[n][0])]
+        if not ready:
+            raise ValueError("the nodes wait for one another")
+        with ThreadPoolExecutor(max_workers=min(4, len(ready))) as pool:
+            found = list(pool.map(lambda n: nodes[n][1](*[done[i] for i in nodes[n][0]]), ready))
+        done.update(zip(ready, found))
+    return done[wanted]
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
