@@ -12,9 +12,10 @@ from millrace.plans.naming import Apply, free
 
 def _majority(df: DataFrame, target: str, *by: str) -> DataFrame:
     """The commonest class of each group of values, the first in order among equals, with its rows and all rows."""
-    n = df.where(F.col(target).isNotNull()).groupBy(*by, target).agg(F.count("*").alias("n"))
-    best = F.min(F.struct((-F.col("n")).alias("n"), F.col(target).alias("y")))
-    return n.groupBy(*by).agg(best.alias("b"), F.sum("n").alias("all")).select(*by, F.col("b.y").alias("prediction"), (-F.col("b.n")).alias("right"), "all")
+    n, best = free(df, "_n", "_best")
+    counts = df.where(F.col(target).isNotNull()).groupBy(*by, target).agg(F.count("*").alias(n))
+    found = counts.groupBy(*by).agg(F.min(F.struct((-F.col(n)).alias("n"), F.col(target).alias("y"))).alias(best), F.sum(n).alias("all"))
+    return found.select(*by, F.col(f"{best}.y").alias("prediction"), (-F.col(f"{best}.n")).alias("right"), "all")
 
 
 def zero_rule(df: DataFrame, target: str) -> Apply:

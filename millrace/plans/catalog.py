@@ -192,4 +192,4 @@ def oracle_sql() -> dict[str, str]:
     return {k: s for k, (_, s) in _ALL.items() if s}
 
 
-from millrace.plans import filter_queries, function_queries, mining_queries, record_queries, source_queries  # noqa: E402, F401  register their queries
+from millrace.plans import filter_queries, function_queries, learner_queries, mining_queries, record_queries, source_queries  # noqa: E402, F401  register their queries
