@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,23 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def tidy(run):
+    """``run`` over batches, after which the worker, which serves later tasks too, gives unused memory back."""
+
+    def whole(batches):
+        yield from run(batches)
+        release()
+
+    return whole
+
+
+def release() -> None:
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def free_name(taken: list[str], name: str) -> str:
     """``name``, with underscores until no column is called so in any case."""
     while name.lower() in {c.lower() for c in taken}:
@@ -62,7 +80,7 @@ def only_wanted(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Colum
     return flag_wanted(df, key, wanted, wanted_key, name).where(F.col(name)).drop(name)
 
 
-def block_sizes(total: int, least: int = 1_500_000, entries: int = 256) -> tuple[int, int]:
+def block_sizes(total: int, least: int = 600_000, entries: int = 256) -> tuple[int, int]:
     """Entries of a chunk, and the number of buckets of which each chunk fills one block.
 
     A chunk and a bucket hold at least ``least`` entries, and beyond that the root of the total, so

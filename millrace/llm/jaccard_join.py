@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import block_sizes, connected_components, discard, flag_wanted, free_name, join_heavy, materialize, only_wanted
+from millrace.llm.common import block_sizes, connected_components, discard, flag_wanted, free_name, join_heavy, materialize, only_wanted, tidy
 from millrace.llm.shingles import mix, set_hash, shingle_sets
 
 #: Groups up to this size are paired by a join, larger ones block by block; both find the same pairs.
@@ -128,7 +128,7 @@ def _count_chunk(key, t):
     })
 
 
-def shingle_counts(docs: DataFrame, words: int = 5, block_shingles: int = 1_500_000) -> DataFrame:
+def shingle_counts(docs: DataFrame, words: int = 5, block_shingles: int = 750_000) -> DataFrame:
     """``doc_id, t, n, h1, h2, shared`` of ``docs(doc_id, t, text)``: set size and hash, and an upper bound of
     the shingles that another row has as well. Blocks grow in proportion to the input, see ``block_sizes``."""
     chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
@@ -157,7 +157,7 @@ def shingle_counts(docs: DataFrame, words: int = 5, block_shingles: int = 1_500_
         if sets:
             yield flush()
 
-    blocks = docs.mapInArrow(run, "bucket long, chunk long, payload binary").groupBy("bucket").applyInArrow(_count_bucket, _ROWS)
+    blocks = docs.mapInArrow(tidy(run), "bucket long, chunk long, payload binary").groupBy("bucket").applyInArrow(_count_bucket, _ROWS)
     return blocks.groupBy("chunk").applyInArrow(_count_chunk, "doc_id long, t long, n long, h1 long, h2 long, shared long")
 
 
@@ -271,7 +271,7 @@ def signatures(sets: DataFrame, bands: list[Band], num: int, den: int, words: in
                         [pa.array(np.concatenate(x)) for x in ([k.view(np.int64) for k in keys], cids, numbers, spares)], ["key", "cid", "band", "spare"]
                     )
 
-    return sets.select("cid", "text").mapInArrow(run, "key long, cid long, band int, spare int")
+    return sets.select("cid", "text").mapInArrow(tidy(run), "key long, cid long, band int, spare int")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, words: int) -> DataFrame:
@@ -304,7 +304,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, words: int)
                         found_b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def _class_rows(docs: DataFrame, num: int, den: int, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -431,7 +431,7 @@ def _block_pairs(rows: DataFrame, sets: DataFrame, num: int, den: int, words: in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(packed, pa.binary())], ["cid", "n", "bits"])
 
     wanted = sets.join(rows.select("cid").distinct(), "cid", "left_semi").select("cid", "text")
-    drawn = wanted.mapInArrow(draw, "cid long, n long, bits binary")
+    drawn = wanted.mapInArrow(tidy(draw), "cid long, n long, bits binary")
     blocks = F.ceil(F.col("held") / block).cast("int")
     rows = rows.withColumn("i", F.pmod(F.xxhash64("cid"), blocks).cast("int")).join(drawn, "cid")
     rows = rows.join(rows.groupBy("cid").agg(F.collect_set("key").alias("mine")), "cid")

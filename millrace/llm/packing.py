@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.chunks import library_encoder
-from millrace.llm.common import materialize
+from millrace.llm.common import materialize, tidy
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = "uid long, length long, grp long, seq long, offset long, open boolean"
@@ -31,6 +31,7 @@ def token_pieces(
 
     def run(batches):
         encoder, tail = library_encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        encoder.cache.bound = 400_000
         for batch in batches:
             rows = []
             for doc, packed in zip(batch.column(0).to_pylist(), encoder.packed(batch.column(1).to_pylist())):
@@ -43,10 +44,11 @@ def token_pieces(
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"]
             )
+        encoder.cache.old = {}  # an idle worker keeps the younger chunks alone
 
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    ).mapInArrow(run, PIECES)
+    ).mapInArrow(tidy(run), PIECES)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:

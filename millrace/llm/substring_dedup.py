@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import block_sizes, discard, flag_wanted, free_name, materialize, only_wanted
+from millrace.llm.common import block_sizes, discard, flag_wanted, free_name, materialize, only_wanted, tidy
 from millrace.llm.shingles import Words, bounded
 
 ADDED = ("n_removed", "first_doc_ids")
@@ -335,7 +335,7 @@ def repeated_spans(texts: DataFrame, rule: Rule) -> DataFrame:
 
         yield from _chunked(batches, take, buckets, size, False)
 
-    blocks = texts.mapInArrow(candidates, _BLOCKS).groupBy("bucket").applyInArrow(_seen, _ANSWERS)
+    blocks = texts.mapInArrow(tidy(candidates), _BLOCKS).groupBy("bucket").applyInArrow(_seen, _ANSWERS)
     hits = blocks.groupBy("chunk").applyInArrow(_hits, "doc long, hash long, places array<int>")
     hits = materialize(hits.dropDuplicates(["doc", "hash"]), "hits")
 
@@ -357,7 +357,7 @@ def repeated_spans(texts: DataFrame, rule: Rule) -> DataFrame:
 
     key = F.xxhash64("doc", "hash")
     chosen = only_wanted(texts, key, hits, key).join(hits, ["doc", "hash"]).select("doc", "hash", "text", "places")
-    blocks = chosen.mapInArrow(spans, _BLOCKS).groupBy("bucket").applyInArrow(_firsts, _ANSWERS)
+    blocks = chosen.mapInArrow(tidy(spans), _BLOCKS).groupBy("bucket").applyInArrow(_firsts, _ANSWERS)
     found = blocks.groupBy("chunk").applyInArrow(_removed, "doc long, hash long, starts array<int>, lengths array<int>, firsts array<long>")
     removed = materialize(found.dropDuplicates(["doc", "hash"]), "removed")
     discard(hits)
@@ -437,7 +437,7 @@ def remove_repeats(
 
     fields = [f if f.name != text_col else T.StructField(text_col, T.StringType()) for f in docs.schema.fields]
     schema = T.StructType([*fields, T.StructField(ADDED[0], T.IntegerType()), T.StructField(ADDED[1], T.ArrayType(T.LongType()))])
-    return whole.withColumn(text_col, text).select(*names, *ADDED).unionByName(joined.mapInArrow(clean, schema))
+    return whole.withColumn(text_col, text).select(*names, *ADDED).unionByName(joined.mapInArrow(tidy(clean), schema))
 
 
 def report(docs: DataFrame) -> DataFrame:

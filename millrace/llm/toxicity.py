@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import tidy
+
 ORDERS = (3, 4, 5, 6)
 
 
@@ -180,7 +182,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, te
             texts = batch.column(names.index(text_col)).to_pylist()
             yield batch.filter(pa.array([m.score(t or "") < threshold for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):
