@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import block_sizes, connected_components, discard, flag_wanted, free_name, join_heavy, materialize, only_wanted, tidy
+from millrace.llm.common import block_sizes, connected_components, discard, flag_wanted, free_name, join_heavy, materialize, only_wanted, release, tidy
 from millrace.llm.shingles import mix, set_hash, shingle_sets
 
 #: Groups up to this size are paired by a join, larger ones block by block; both find the same pairs.
@@ -459,6 +459,7 @@ def _block_pairs(rows: DataFrame, sets: DataFrame, num: int, den: int, words: in
             here = np.array([min(mine[p] & mine[q]) == name for p, q in zip(i.tolist(), j.tolist())], bool)
             a.append(np.minimum(cid[i], cid[j])[here])
             b.append(np.maximum(cid[i], cid[j])[here])
+        release()
         return pa.table({"a": pa.array(np.concatenate([*a, np.zeros(0, np.int64)])), "b": pa.array(np.concatenate([*b, np.zeros(0, np.int64)]))})
 
     return dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import block_sizes, discard, flag_wanted, free_name, materialize, only_wanted, tidy
+from millrace.llm.common import block_sizes, discard, flag_wanted, free_name, materialize, only_wanted, release, tidy
 from millrace.llm.shingles import Words, bounded
 
 ADDED = ("n_removed", "first_doc_ids")
@@ -309,6 +309,7 @@ def _removed(key, t):
         earliest = place[np.flatnonzero(own)][np.cumsum(own) - 1]
         gone = (doc[owner] > lead) | (place >= earliest + length)
     order, cuts, docs, texts = _by_owner((doc, text), owner, np.flatnonzero(gone))
+    release()
     firsts = [np.unique(lead[order[a:b]][lead[order[a:b]] < d]) for a, b, d in zip(cuts[:-1], cuts[1:], docs)]
     return pa.table({
         "doc": pa.array(docs), "hash": pa.array(texts), "starts": _lists(place[order], cuts, np.int32), "lengths": _lists(length[order], cuts, np.int32),
