@@ -91,9 +91,10 @@ def resample_again(df: DataFrame, percent: float, seed: int, by: str | None = No
     for i, (value, size) in enumerate(even):
         biased, biased_at = F.when(k == i, F.lit(value)).otherwise(biased), F.when(k == i, (uniform(4) * size).cast("long") + 1).otherwise(biased_at)
     use = (uniform(1) < bias) & F.lit(bool(even))
-    wanted = df.sparkSession.range(draws).select(F.when(use, biased).otherwise(pick).alias("c"), F.when(use, biased_at).otherwise(within).alias("w"))
+    c, w = free(rows, "_c", "_w")
+    wanted = df.sparkSession.range(draws).select(F.when(use, biased).otherwise(pick).alias(c), F.when(use, biased_at).otherwise(within).alias(w))
     kind = dict(rows.dtypes)[label]
-    return rows.join(wanted, rows[label].eqNullSafe(F.col("c").cast(kind)) & (rows[place] == F.col("w"))).select(df.columns)
+    return rows.join(wanted, F.col(label).eqNullSafe(F.col(c).cast(kind)) & (F.col(place) == F.col(w))).select(df.columns)
 
 
 def spread_subsample(df: DataFrame, by: str, spread: float, order: list[str], most: int | None = None) -> DataFrame:

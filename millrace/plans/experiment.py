@@ -63,8 +63,10 @@ def together(tasks: dict, at_once: int = 4) -> dict:
 
 def inheritable(f: Callable) -> Callable:
     from pyspark import inheritable_thread_target
+    from pyspark.sql import SparkSession
 
-    return inheritable_thread_target(f)
+    session = SparkSession.getActiveSession()
+    return inheritable_thread_target(session)(f) if session else f
 
 
 def grid(tables: dict[str, DataFrame], schemes: dict[str, Callable], evaluate: Callable, runs: int = 1, done: DataFrame | None = None, at_once: int = 4) -> list[dict]:

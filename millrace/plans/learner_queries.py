@@ -142,7 +142,7 @@ _SU = (
     "w AS (SELECT max(u) FILTER (k = 'l') AS l, max(u) FILTER (k = 's') AS s, max(u) FILTER (k = 'i') AS i FROM u)"
 )
 _register("chosen_attributes", "lineitem", lambda t: t.sparkSession.createDataFrame([(a,) for a in select.fcbf(_lines(t).withColumn("copy", F.col("l_linestatus")), "l_returnflag", ["l_linestatus", "copy", "l_line"])[:1]], "name string"), _SU + " SELECT CASE WHEN l >= s THEN 'l_line' ELSE 'l_linestatus' END AS name FROM w")
-_register("searched_attributes", "lineitem", lambda t: (lambda m: t.sparkSession.createDataFrame([(n, ",".join(f(["l_linestatus", "l_line"], m))) for n, f in (("best", select.best_first), ("all", select.exhaustive), ("forward", select.forward), ("random", partial(select.random_search, share=1.0)), ("genetic", partial(select.genetic_search, generations=5, population=6)), ("scatter", partial(select.scatter_search, size=4)))], "search string, chosen string"))(select.correlation_merit(_lines(t), "l_returnflag")),
+_register("searched_attributes", "lineitem", lambda t: (lambda m: t.sparkSession.createDataFrame([(n, ",".join(f(["l_linestatus", "l_line"], m))) for n, f in (("best", select.best_first), ("all", select.exhaustive), ("forward", select.forward), ("random", partial(select.random_search, share=1.0)), ("genetic", partial(select.genetic_search, generations=20, population=12)), ("scatter", partial(select.scatter_search, size=4)))], "search string, chosen string"))(select.correlation_merit(_lines(t), "l_returnflag")),
     _SU + " SELECT search, CASE WHEN round((l + s) / sqrt(2 + 2 * i), 9) > round(greatest(l, s), 9) THEN 'l_linestatus,l_line' WHEN l > s THEN 'l_line' ELSE 'l_linestatus' END AS chosen FROM w, (VALUES ('best'), ('all'), ('forward'), ('random'), ('genetic'), ('scatter')) v(search)")
 
 # Mining --------------------------------------------------------------------------------------
