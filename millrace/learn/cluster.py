@@ -619,10 +619,105 @@ def neighbourhood_centres(df: DataFrame, space: Space, key: str, links: DataFram
     return np.array(got[:k])
 
 
+def _by_messages(d: np.ndarray, links: list[tuple], weight: float, rounds: int = 200, keep: float = 0.5) -> np.ndarray:
+    """The cluster of least cost for each row by min-sum messages along the links: exact where links form no ring,
+    else what the damped messages settle on within ``rounds``."""
+    if not links:
+        return d.argmin(1)
+    a, b, link = (np.array(c) for c in zip(*links))
+    source, to = np.concatenate([a, b]), np.concatenate([b, a])
+    back = np.roll(np.arange(len(source)), len(a))
+    must = np.concatenate([link, link])[:, None] == 1
+    sent = np.zeros((len(source), d.shape[1]))
+    for _ in range(rounds):
+        total = d.copy()
+        np.add.at(total, to, sent)
+        own = total[source] - sent[back]
+        ranked = np.sort(own, axis=1)
+        low = ranked[:, :1]
+        other = np.where(own == low, ranked[:, 1:2] if d.shape[1] > 1 else np.inf, low)
+        new = np.where(must, np.minimum(own, low + weight), np.minimum(own + weight, other))
+        new = keep * sent + (1 - keep) * (new - new.min(1, keepdims=True))
+        if np.abs(new - sent).max() < 1e-9:
+            break
+        sent = new
+    total = d.copy()
+    np.add.at(total, to, sent)
+    return total.argmin(1)
+
+
+def _by_program(d: np.ndarray, links: list[tuple], weight: float, most: int = 4000) -> np.ndarray:
+    """The clusters that rows have whole in the linear program whose whole-numbered solutions are the assignments; rows that it
+    divides follow, the least divided first, each to the cluster of the least cost among the rows placed.
+
+    A link costs ``weight`` by the part of the shares that breaks it, at each cluster. Solved by the simplex method from the
+    nearest clusters on; a program of more than ``most`` rows, n plus k a link, raises ValueError.
+    """
+    n, k = d.shape
+    if not links:
+        return d.argmin(1)
+    tied = np.unique([i for a, b, _ in links for i in (a, b)])
+    at, row, near = d.argmin(1), {i: r for r, i in enumerate(tied.tolist())}, d[tied].argmin(1)
+    size, shares, cells = len(tied), len(tied) * k, len(links) * k
+    if size + cells > most:
+        raise ValueError(f"{size + cells} rows are more than the {most} that a linear program may have")
+    table, right = np.zeros((size + cells, shares + 2 * cells)), np.ones(size + cells)
+    cost = np.concatenate([d[tied].ravel(), np.full(cells, weight), np.zeros(cells)])
+    for r in range(size):
+        table[r, r * k : (r + 1) * k] = 1
+    basis = [r * k + int(near[r]) for r in range(size)]
+    for e, (a, b, link) in enumerate(links):
+        a, b, sign = row[a], row[b], -1 if link == 1 else 1
+        for c in range(k):
+            at_row, u = size + e * k + c, shares + e * k + c
+            table[at_row, a * k + c], table[at_row, b * k + c] = 1, sign
+            table[at_row, u], table[at_row, u + cells] = -1, 1
+            right[at_row] = 0 if link == 1 else 1
+            over = (near[a] == c) + sign * int(near[b] == c) - right[at_row]
+            basis.append(u if over > 0 else u + cells)
+    inverse = np.linalg.inv(table[:, basis])
+    table, right = inverse @ table, inverse @ right
+    price = cost - cost[basis] @ table
+    for step in range(50 * len(basis)):
+        enter = np.flatnonzero(price < -1e-9)
+        if not len(enter):
+            break
+        # The steepest column; later on the first, which cannot run in a ring.
+        c = int(enter[price[enter].argmin()] if step < 10 * len(basis) else enter[0])
+        up = np.flatnonzero(table[:, c] > 1e-9)
+        ratio = right[up] / table[up, c]
+        r = int(min(up[ratio <= ratio.min() + 1e-12], key=lambda i: basis[i]))
+        right[r], table[r] = right[r] / table[r, c], table[r] / table[r, c]
+        part = table[:, c].copy()
+        part[r] = 0
+        right, table, price = right - part * right[r], table - np.outer(part, table[r]), price - price[c] * table[r]
+        basis[r] = c
+    share = np.zeros(shares + 2 * cells)
+    share[basis] = right
+    share = share[:shares].reshape(size, k)
+    sure = np.round(share.max(1), 6)
+    at[tied] = np.where(sure == 1, share.argmax(1), -1)
+    for r in np.argsort(-sure, kind="stable").tolist():
+        i = tied[r]
+        if at[i] < 0:
+            price = d[i].copy()
+            for a, b, link in links:
+                other = at[b] if a == i else at[a] if b == i else -1
+                if other >= 0:
+                    price += weight * (np.arange(k) != other if link == 1 else np.arange(k) == other)
+            at[i] = price.argmin()
+    return at
+
+
 def _assign(z: np.ndarray, d: np.ndarray, keys: list, links: list[tuple], weight: float, order: str, seed: int) -> np.ndarray:
     """Rows one after the other to the cluster of the least distance and broken links, in order of rows (``simple``), by chance
-    (``random``) or by distance (``sorted``); ``global`` sweeps until nothing changes from the nearest clusters on."""
+    (``random``) or by distance (``sorted``); ``global`` sweeps until nothing changes from the nearest clusters on. All at once by
+    messages along the links (``belief``) or a linear program (``program``)."""
     n, k = d.shape
+    if order in ("belief", "program"):
+        place = {x: i for i, x in enumerate(keys)}
+        held = [(place[a], place[b], link) for a, b, link in links if a in place and b in place and a != b]
+        return (_by_messages if order == "belief" else _by_program)(d, held, weight)
     must: dict = {}
     cannot: dict = {}
     place = {x: i for i, x in enumerate(keys)}
@@ -659,7 +754,7 @@ def _assign(z: np.ndarray, d: np.ndarray, keys: list, links: list[tuple], weight
 def constrained_k_means(df: DataFrame, key: str, attributes: list[str], links: DataFrame, k: int, weight: float = 1.0, order: str = "simple", metric: str = "none", rounds: int = 20, seed: int = 1, regular: str = "none", strength: float = 0.1) -> tuple[DataFrame, Centres]:
     """``key, cluster`` and the model: k-means that pays ``weight`` for each broken link.
 
-    Rows without links are assigned where they lie. Those with links are assigned together, since each
+    ``order``: see ``_assign``. Rows without links are assigned where they lie. Those with links are assigned together, since each
     depends on the others: they come to the driver, as many as the links name. ``metric``: none; ``euclidean``, a
     weight for each column from the scatter within clusters; ``mahalanobis``, a full matrix; ``gradient``, ``cosine`` or ``kl``, steps of
     descent. ``regular``: ``l1`` or ``rayleigh`` keeps the weights of descent small.

@@ -721,6 +721,17 @@ def most_useful(committee: Model, pool: DataFrame, n: int, key: list[str], measu
     return held.withColumn("utility", value).orderBy(F.desc("utility"), *key).limit(n).select(*pool.columns, "utility")
 
 
+def features_wanted(committee: Model, pool: DataFrame, n: int, key: list[str], target: str) -> DataFrame:
+    """The labelled rows whose missing values would help most: of the least lead of their own class over the likeliest other,
+    so that wrongly classified rows come first. A label that the committee does not know leads by minus the largest share;
+    rows without a label are left out."""
+    held, (g, d) = pool.where(F.col(target).isNotNull()), free(pool, "_g", "_d")
+    own = F.array_position(F.array(*[F.lit(c) for c in committee.classes]), F.col(target).cast("string")).cast("int")
+    others = F.array_max(F.transform(d, lambda p, i: F.when(i + 1 == own, 0.0).otherwise(p)))
+    lead = F.coalesce(F.try_element_at(d, F.when(own > 0, own)), F.lit(0.0)) - others
+    return committee.transform(held, g, d).withColumn("utility", -lead).orderBy(F.desc("utility"), *key).limit(n).select(*pool.columns, "utility")
+
+
 def query_by_bagging(df, target, attributes, pool: DataFrame, n: int, key: list[str], base: Scheme = trees.j48, members: int = 5, seed: int = 1) -> DataFrame:
     return most_useful(bagging(df, target, attributes, None, base, members, seed), pool, n, key)
 

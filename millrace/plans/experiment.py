@@ -159,6 +159,25 @@ def active_curve(df: DataFrame, target: str, attributes: list[str], key: str, ch
     return df.sparkSession.createDataFrame(out, "labelled long, accuracy double")
 
 
+def acquisition_curve(df: DataFrame, target: str, attributes: list[str], bought: list[str], key: str, choose: Callable, scheme, start: int, step: int, steps: int, test: DataFrame) -> DataFrame:
+    """``complete, accuracy`` while ``choose(known, pool, n)`` names the rows whose values of ``bought`` are paid for next.
+
+    Every row has its label and its other columns from the beginning; ``known`` is the whole table with nulls where
+    nothing was bought, and ``pool`` the rows of it that lack the values. Accuracy is that on ``test``, with all values.
+    """
+    rows = stored(df.where(F.col(target).isNotNull()), "priced")
+    paid = stored(rows.orderBy(F.xxhash64(key), key).limit(start).select(key), "paid")
+    out = []
+    for _ in range(steps):
+        lacking = rows.join(paid, key, "left_anti").withColumns({c: F.lit(None).cast(rows.schema[c].dataType) for c in bought})
+        known = rows.join(paid, key, "left_semi").unionByName(lacking)
+        out.append((paid.count(), split_scores(known, test, target, attributes, scheme)["accuracy"]))
+        if not lacking.limit(1).count():
+            break
+        paid = stored(paid.unionAll(choose(known, lacking, step).select(key)), "paid")
+    return df.sparkSession.createDataFrame(out, "complete long, accuracy double")
+
+
 def semi_supervised_curve(df: DataFrame, target: str, attributes: list[str], key: list[str], fit: Callable, shares: list[float], folds: int = 3, run: int = 1, hidden: list[str] = ()) -> DataFrame:
     """``share, fold, accuracy`` of ``fit(rows)`` on training rows of which a share keeps its label; ``hidden`` classes keep none."""
     dealt = stored(with_folds(df.where(F.col(target).isNotNull()), target, key, folds, run), "folds")

@@ -58,7 +58,7 @@ _DOCUMENT = (
     "pmml_functions",
     "WITH t AS (SELECT *, CAST(p_size AS DOUBLE) AS s, p_retailprice AS r FROM part) SELECT p_partkey, " + ", ".join(f"round(CAST({q} AS DOUBLE), 6) AS d_{n}" for n, (_, _, q) in _FUNCTIONS.items())
     + ", upper(p_name) AS d_uppercase, 'a b' AS d_trimblanks, substr(p_name, 2, 4) AS d_substring, s * 2 AS d_twice, CASE WHEN s < 10 THEN 0.0 WHEN s > 40 THEN 5.0 WHEN s <= 20 THEN (s - 10) / 10 ELSE 1 + (s - 20) / 20 * 4 END AS d_line, "
-    "CASE WHEN p_brand = (SELECT min(p_brand) FROM part) THEN 1.0 ELSE 0.0 END AS d_is, CASE WHEN s <= 10 THEN 'low' WHEN s < 30 THEN 'mid' ELSE 'rest' END AS d_bin FROM t",
+    "CAST(CASE WHEN p_brand = (SELECT min(p_brand) FROM part) THEN 1 ELSE 0 END AS DOUBLE) AS d_is, CASE WHEN s <= 10 THEN 'low' WHEN s < 30 THEN 'mid' ELSE 'rest' END AS d_bin FROM t",
 )
 def pmml_functions(spark, d):
     t = table(spark, d, "part").withColumn("p_size", F.col("p_size").cast("double"))

@@ -159,14 +159,14 @@ _register("cosine_distances", "embeddings", lambda t: _rounded(t.select("vec_id"
 
 
 def _sets(t):
-    return mining.itemsets(t, "l_orderkey", "l_linenumber", 0.3)
+    return mining.itemsets(t, "l_orderkey", "l_linenumber", 0.15)
 
 
 _register("maximal_sets", "lineitem", lambda t: K.maximal(_sets(t)).select(F.array_join("items", ",").alias("items"), "n"),
-    "WITH o AS (SELECT l_orderkey, max(l_linenumber) AS m, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT l_orderkey, bit_or(1 << (l_linenumber - 1)) AS m FROM lineitem GROUP BY 1), z AS (SELECT count(*) AS z FROM b), c AS (SELECT g AS s, count(*) FILTER (m & g = g) AS n FROM b, generate_series(1, 127) t(g) GROUP BY 1), f AS (SELECT s, n FROM c, z WHERE n >= ceil(0.3 * z)) "
+    "WITH o AS (SELECT l_orderkey, max(l_linenumber) AS m, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT l_orderkey, bit_or(1 << (l_linenumber - 1)) AS m FROM lineitem GROUP BY 1), z AS (SELECT count(*) AS z FROM b), c AS (SELECT g AS s, count(*) FILTER (m & g = g) AS n FROM b, generate_series(1, 127) t(g) GROUP BY 1), f AS (SELECT s, n FROM c, z WHERE n >= ceil(0.15 * z)) "
     "SELECT array_to_string(list_filter([" + ", ".join(f"CASE WHEN s & {1 << i} > 0 THEN '{i + 1}' END" for i in range(7)) + "], lambda x: x IS NOT NULL), ',') AS items, n FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.s <> f.s AND g.s & f.s = f.s)")
 _register("superset_confidence", "lineitem", lambda t: _rounded(K.superset_confidence(_sets(t)).select(F.array_join("items", ",").alias("items"), F.array_join("superset", ",").alias("superset"), "confidence"), "confidence"),
-    "WITH b AS (SELECT l_orderkey, bit_or(1 << (l_linenumber - 1)) AS m FROM lineitem GROUP BY 1), z AS (SELECT count(*) AS z FROM b), c AS (SELECT g AS s, count(*) FILTER (m & g = g) AS n FROM b, generate_series(1, 127) t(g) GROUP BY 1), f AS (SELECT s, n FROM c, z WHERE n >= ceil(0.3 * z)), t AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.s <> f.s AND g.s & f.s = f.s)) "
+    "WITH b AS (SELECT l_orderkey, bit_or(1 << (l_linenumber - 1)) AS m FROM lineitem GROUP BY 1), z AS (SELECT count(*) AS z FROM b), c AS (SELECT g AS s, count(*) FILTER (m & g = g) AS n FROM b, generate_series(1, 127) t(g) GROUP BY 1), f AS (SELECT s, n FROM c, z WHERE n >= ceil(0.15 * z)), t AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.s <> f.s AND g.s & f.s = f.s)) "
     "SELECT array_to_string(list_filter([" + ", ".join(f"CASE WHEN f.s & {1 << i} > 0 THEN '{i + 1}' END" for i in range(7)) + "], lambda x: x IS NOT NULL), ',') AS items, array_to_string(list_filter([" + ", ".join(f"CASE WHEN t.s & {1 << i} > 0 THEN '{i + 1}' END" for i in range(7)) + "], lambda x: x IS NOT NULL), ',') AS superset, round(t.n / f.n, 6) AS confidence FROM f JOIN t ON t.s <> f.s AND t.s & f.s = f.s")
 _register("medoids", "embeddings", lambda t: K.medoids(t.withColumn("v", F.transform("embedding", lambda x: x.cast("double"))), "vec_id", "v", 3, 4)[0].groupBy("cluster").agg(F.count("*").alias("n")), None)
 _LLOYD = "WITH c0 AS (SELECT * FROM (VALUES (0, 5.0, 950.0), (1, 25.0, 1000.0), (2, 45.0, 1050.0)) v(i, x, y))"
