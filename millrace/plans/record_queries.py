@@ -144,8 +144,9 @@ _X = "WITH x AS (SELECT CAST(l_suppkey + 1 AS INT) AS row, l_linenumber AS \"col
 def matrix_files(spark, d):
     from millrace.sources import formats
 
-    path, m = scratch(spark, "matrix"), _matrix(table(spark, d, "lineitem"))
-    formats.write_matrix(m, path, table(spark, d, "supplier").count() + 1, 7)
+    path, t = scratch(spark, "matrix"), table(spark, d, "lineitem")
+    last = t.agg(F.max("l_suppkey")).first()[0] or 0  # keys may have gaps
+    formats.write_matrix(_matrix(t), path, max(table(spark, d, "supplier").count(), last) + 1, 7)
     return formats.read_matrix(spark, path)
 
 

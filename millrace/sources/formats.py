@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.plans.numbering import numbered
-from millrace.plans.storage import _at
+from millrace.plans.storage import _at, discard, stored
 from millrace.sources.arff import read_arff, write_arff
 from millrace.sources.svmlight import read_svmlight
 
@@ -69,9 +69,10 @@ def write_names(df: DataFrame, names: str, data: str, target: str) -> None:
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """``row, column, value`` from 1. The first line has rows and columns, and for the sparse form, which
     has pairs of column and value, the number of cells. Lines are numbered by their place in the file, so that
-    a file is read in many parts."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("within"))
-    lines = numbered(lines.where(F.trim("value") != ""), ["block", "within"], "line").select("line", F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "").alias("c"))
+    a file is read in many parts; the files of a folder follow each other by part and name, however tasks take them."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("within"))
+    part = F.lpad(F.regexp_extract("file", r"/part-(\d+)[^/]*$", 1), 12, "0")
+    lines = numbered(lines.where(F.trim("value") != ""), [part, "file", "block", "within"], "line").select("line", F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "").alias("c"))
     first = lines.where("line = 1").first()
     if first is None:
         raise ValueError("the file is empty")
@@ -85,14 +86,17 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 def write_matrix(matrix: DataFrame, path: str, rows: int, columns: int) -> None:
     """The sparse form of ``row, column, value``: a line a row in order, written by as many tasks as there are ranges
-    of rows; the first line in a file of its own, which sorts first."""
-    cells = matrix.where("value <> 0")
-    n = cells.count()
+    of rows; the first line in a file of its own, which sorts first. A cell beyond ``rows`` or ``columns`` is an error."""
+    cells = stored(matrix.where("value <> 0"), "cells")
+    n, *ends = cells.agg(F.count("*"), F.min("row"), F.min("column"), F.max("row"), F.max("column")).first()
+    if n and (min(ends[:2]) < 1 or ends[2] > rows or ends[3] > columns):
+        raise ValueError(f"a cell lies outside {rows} rows and {columns} columns")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column", "value"))), lambda x: F.concat_ws(" ", x["column"].cast("string"), x["value"].cast("string"))), " ")
     every = matrix.sparkSession.range(1, rows + 1).select(F.col("id").alias("row"))
     lines = every.join(cells.groupBy("row").agg(text.alias("line")), "row", "left").select("row", F.coalesce("line", F.lit(" ")).alias("value"))
     head = matrix.sparkSession.createDataFrame([(0, f"{rows} {columns} {n}")], "row long, value string")
     head.unionByName(lines.select(F.col("row").cast("long"), "value")).orderBy("row").select("value").write.text(path)
+    discard(cells)
 
 
 def write_libsvm(df: DataFrame, path: str, columns: list[str], label: str) -> None:
