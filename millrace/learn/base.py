@@ -140,7 +140,10 @@ class Model:
             return pd.Series([r.tolist() for r in held.scores(x)])
 
         shares = free(df, "_shares")[0]
-        rows = df.withColumn(shares, classes(cells))
+        return self._named(df.withColumn(shares, classes(cells)), shares, prediction, distribution)
+
+    def _named(self, rows: DataFrame, shares: str, prediction: str, distribution: str | None) -> DataFrame:
+        """The first class of the greatest share."""
         at = F.array_position(shares, F.array_max(shares)).cast("int")
         rows = rows.withColumn(prediction, F.try_element_at(F.array(*[F.lit(c) for c in self.classes]), at))
         return rows.withColumnRenamed(shares, distribution) if distribution else rows.drop(shares)

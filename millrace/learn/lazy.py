@@ -1,4 +1,5 @@
-"""Learners that keep their training rows, at most ``MOST_KEPT``; ``join`` answers over any number by a neighbour join."""
+"""Learners that keep their training rows, at most ``MOST_KEPT``. ``ib1`` and ``ibk`` keep equal rows once and answer over
+any number of them, block by block; so does ``join``, by a neighbour join."""
 
 from __future__ import annotations
 
@@ -7,10 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.learn.base import Model, Table, class_values, frame, normalised, one_hot
+from millrace.learn.base import Model, Table, class_values, frame, is_number, normalised, one_hot
 from millrace.learn.bayes import NaiveBayes
 from millrace.operators.similarity import nearest
 from millrace.plans.naming import free
+from millrace.plans.numbering import numbered
+from millrace.plans.storage import discard, stored
 
 MOST_KEPT = 50_000
 
@@ -51,47 +54,154 @@ class Kept:
         return np.sqrt(sum((d * d for d in self.differences(x)), np.zeros((len(x), len(self.rows)))))
 
 
+class Grouped(Kept):
+    """Training rows that are equal, in their class as well where there are classes, kept once: ``n`` says how many there
+    are, ``w`` what they weigh, ``y`` their class or mean. Beyond ``MOST_KEPT`` they lie in ``held``, to be had by ``block``."""
+
+    def __init__(self, df: DataFrame, target: str, attributes: list[str], weight: str | None):
+        rows = frame(df, target, attributes, weight)
+        self.number = dict(rows.dtypes)["_y"] == "double"
+        names = [f"`{a}`" for a in attributes]
+        n, w = F.count("*").alias("_n"), F.sum("_w").alias("_w")
+        equal = rows.groupBy(*names).agg(n, w, (F.sum(F.col("_y") * F.col("_w")) / F.sum("_w")).alias("_y")) if self.number else rows.groupBy(*names, "_y").agg(n, w)
+        equal = stored(equal, "equal")
+        self.table, self.attributes, self.held, self.order = Table.of(rows, attributes), attributes, None, [*names, "_y"]
+        self.classes = None if self.number else class_values(equal, "_y")
+        known = lambda a: F.when(~F.isnan(f"`{a}`"), F.col(f"`{a}`"))
+        ends = equal.agg(F.count("*"), *[f(known(a)) for a in self.table.numbers for f in (F.min, F.max)]).first()
+        low, high = (np.array([np.nan if v is None else v for v in ends[i::2]], float) for i in (1, 2))
+        self.low, self.width = low, np.where(high > low, high - low, 1.0)
+        if ends[0] > MOST_KEPT:
+            self.held, self.last = stored(numbered(equal, self.order, "_place"), "kept"), ends[0]
+        else:
+            self._take(equal.orderBy(*self.order).toPandas())
+        discard(equal)
+
+    def _take(self, held: pd.DataFrame) -> None:
+        self.rows, self.n, self.w = held, held["_n"].to_numpy(), held["_w"].to_numpy()
+        self.v, self.c = self._unit(held)
+        self.y = held["_y"].to_numpy(float) if self.number else one_hot(held["_y"], self.classes)
+
+    def block(self, at: int) -> Grouped:
+        """The rows with places from ``at`` on, without the table that they lie in."""
+        some = object.__new__(Grouped)
+        some.__dict__.update({k: v for k, v in self.__dict__.items() if k != "held"}, held=None)
+        some._take(self.held.where(F.col("_place").between(at, at + MOST_KEPT - 1)).orderBy("_place").toPandas())
+        return some
+
+    def least(self, d: np.ndarray, k: int) -> np.ndarray:
+        """Of each row of distances the ``k`` least, one of ``n`` equal rows as often as there are such rows; infinite ones fill up."""
+        m = min(k, d.shape[1])
+        at = np.argpartition(d, m - 1, axis=1)[:, :m]
+        near = np.take_along_axis(d, at, 1)
+        order = np.argsort(near, axis=1, kind="stable")
+        near, upto = np.take_along_axis(near, order, 1), np.cumsum(self.n[np.take_along_axis(at, order, 1)], 1)
+        place = (upto[:, None] <= np.arange(k)[None, :, None]).sum(2)
+        return np.where(place < m, np.take_along_axis(near, np.minimum(place, m - 1), 1), np.inf)
+
+
 class Neighbours(Model):
     """The ``k`` nearest rows, with all ties at the last; their votes weigh 1, or by distance (``inverse``, ``similarity``)."""
 
-    def __init__(self, kept: Kept, k: int, weighting: str = "none", window: int = 0):
+    def __init__(self, kept: Grouped, k: int, weighting: str = "none", window: int = 0):
         self.kept, self.k, self.weighting, self.classes, self.attributes = kept, k, weighting, kept.classes, kept.attributes
 
+    def _votes(self, kept: Grouped, d: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """What the rows within reach vote for each class, or for the number, and their weight."""
+        w = (d <= reach[:, None] + 1e-12) * kept.w[None]
+        if self.weighting == "inverse":
+            w = w / (d + 0.001)
+        elif self.weighting == "similarity":
+            w = w * (1 - d / np.sqrt(max(len(self.attributes), 1)))
+        return w @ kept.y if self.classes is not None else np.column_stack([w @ kept.y, w.sum(1)])
+
+    def _said(self, votes: np.ndarray) -> np.ndarray:
+        return normalised(votes) if self.classes is not None else votes[:, 0] / np.maximum(votes[:, 1], 1e-12)
+
+    def _reach(self, near: np.ndarray) -> np.ndarray:
+        """The distance of the ``k``-th row, or of the last of fewer."""
+        return np.where(np.isfinite(near), near, -np.inf).max(1)
+
     def scores(self, x):
         kept, out = self.kept, []
+        if kept.held is not None:
+            raise ValueError(f"more than {MOST_KEPT} different rows are answered by transform alone")
         for at in range(0, len(x), 256):
             d = kept.distances(x.iloc[at : at + 256])
-            k = min(self.k, d.shape[1])
-            kth = np.partition(d, k - 1, axis=1)[:, k - 1]
-            w = (d <= kth[:, None] + 1e-12) * kept.w[None]
-            if self.weighting == "inverse":
-                w = w / (d + 0.001)
-            elif self.weighting == "similarity":
-                w = w * (1 - d / np.sqrt(max(len(self.attributes), 1)))
-            out.append(normalised(w @ kept.y) if self.classes is not None else (w @ kept.y) / np.maximum(w.sum(1), 1e-12))
+            out.append(self._said(self._votes(kept, d, self._reach(kept.least(d, self.k)))))
         return np.concatenate(out) if out else np.zeros((0, len(self.classes))) if self.classes is not None else np.zeros(0)
 
+    def transform(self, df, prediction="prediction", distribution="distribution"):
+        if self.kept.held is None:
+            return super().transform(df, prediction, distribution)
+        kinds, kept = dict(df.dtypes), self.kept
+        names = free(df, *[f"_a{i}" for i in range(len(self.attributes))], "_said")
+        cells = [F.col(f"`{a}`").cast("double" if is_number(kinds[a]) else "string").alias(n) for a, n in zip(self.attributes, names)]
+        fields = ", ".join(f"{n} {'double' if a in kept.table.numbers else 'string'}" for a, n in zip(self.attributes, names))
+        state, back = stored(df.select(*cells).distinct().withColumns({"near": F.array().cast("array<double>"), "votes": F.array().cast("array<double>")}), "asked"), dict(zip(names, self.attributes))
+        for voting in (False, True):  # first how far the k-th row is, then the votes up to there
+            for at in range(1, kept.last + 1, MOST_KEPT):
+
+                def visit(tables, block=kept.block(at), voting=voting):
+                    for t in tables:
+                        for i in range(0, len(t), 256):
+                            x = t.iloc[i : i + 256].copy()
+                            d = block.distances(x.rename(columns=back))
+                            near = np.stack([np.pad(r, (0, self.k - len(r)), constant_values=np.inf) for r in x["near"]])
+                            if voting:
+                                votes = self._votes(block, d, self._reach(near))
+                                x["votes"] = [(np.asarray(r) + v if len(r) else v).tolist() for r, v in zip(x["votes"], votes)]
+                            else:
+                                both = np.hstack([near, block.least(d, self.k)])
+                                x["near"] = np.partition(both, self.k - 1, axis=1)[:, : self.k].tolist()
+                            yield x
+
+                before, state = state, stored(state.repartition(df.sparkSession.sparkContext.defaultParallelism).mapInPandas(visit, f"{fields}, near array<double>, votes array<double>"), "asked")
+                discard(before)
+
+        @F.pandas_udf("array<double>" if self.classes is not None else "double")
+        def said(votes: pd.Series) -> pd.Series:
+            return pd.Series(list(self._said(np.stack(votes.tolist()))) if len(votes) else [])
+
+        answers = state.select(*names[:-1], said("votes").alias(names[-1]))
+        same = [c.eqNullSafe(answers[n]) for c, n in zip([F.col(f"`{a}`").cast("double" if is_number(kinds[a]) else "string") for a in self.attributes], names)]
+        rows = df.join(answers, same, "left").drop(*names[:-1])
+        return self._named(rows, names[-1], prediction, distribution) if self.classes is not None else rows.withColumnRenamed(names[-1], prediction)
+
+    def __getstate__(self):
+        held = self.kept.__dict__.get("held")
+        if held is None:
+            return self.__dict__
+        bare = object.__new__(Grouped)
+        bare.__dict__.update({k: v for k, v in self.kept.__dict__.items() if k != "held"})
+        return self.__dict__ | {"kept": bare}
+
 
 def ib1(df, target, attributes, weight=None) -> Neighbours:
-    return Neighbours(Kept(df, target, attributes, weight), 1)
+    return Neighbours(Grouped(df, target, attributes, weight), 1)
 
 
 def ibk(df, target, attributes, weight=None, k: int = 1, weighting: str = "none", choose: bool = False) -> Neighbours:
     """``choose``: the ``k`` up to the given one that errs least on rows answered by all others."""
-    kept = Kept(df, target, attributes, weight)
-    if choose and len(kept.rows) > 1:
-        errors = np.zeros(k)
-        for at in range(0, len(kept.rows), 256):
-            d = kept.distances(kept.rows.iloc[at : at + 256])
-            n = len(d)
-            d[np.arange(n), at + np.arange(n)] = np.inf
-            order = np.sort(d, axis=1)
-            for j in range(1, k + 1):
-                w = (d <= order[:, min(j, d.shape[1] - 1) - 1][:, None] + 1e-12) * kept.w[None]
-                own = kept.y[at : at + n]
-                errors[j - 1] += ((w @ kept.y).argmax(1) != own.argmax(1)).sum() if kept.classes is not None else (((w @ kept.y) / w.sum(1) - own) ** 2).sum()
-        k = int(errors.argmin()) + 1
-    return Neighbours(kept, k, weighting)
+    if choose:
+        k = _chosen(Kept(df, target, attributes, weight), k)
+    return Neighbours(Grouped(df, target, attributes, weight), k, weighting)
+
+
+def _chosen(kept: Kept, k: int) -> int:
+    if len(kept.rows) <= 1:
+        return k
+    errors = np.zeros(k)
+    for at in range(0, len(kept.rows), 256):
+        d = kept.distances(kept.rows.iloc[at : at + 256])
+        n = len(d)
+        d[np.arange(n), at + np.arange(n)] = np.inf
+        order = np.sort(d, axis=1)
+        for j in range(1, k + 1):
+            w = (d <= order[:, min(j, d.shape[1] - 1) - 1][:, None] + 1e-12) * kept.w[None]
+            own = kept.y[at : at + n]
+            errors[j - 1] += ((w @ kept.y).argmax(1) != own.argmax(1)).sum() if kept.classes is not None else (((w @ kept.y) / w.sum(1) - own) ** 2).sum()
+    return int(errors.argmin()) + 1
 
 
 def join(df: DataFrame, train: DataFrame, target: str, numbers: list[str], k: int, key: str, train_key: str, index=None) -> DataFrame:

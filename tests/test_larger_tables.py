@@ -26,3 +26,38 @@ def test_matrix_cells_beyond_the_size_are_an_error(spark, tmp_path):
     cells = spark.createDataFrame([(1, 1, 2.0), (5, 1, 3.0)], "row int, column int, value double")
     with pytest.raises(ValueError):
         formats.write_matrix(cells, str(tmp_path / "m"), 4, 1)
+
+
+def test_equal_rows_are_kept_once(spark, monkeypatch):
+    from millrace.learn import lazy
+
+    monkeypatch.setattr(lazy, "MOST_KEPT", 10)
+    df = spark.range(200).select("id", (F.col("id") % 10).cast("int").alias("g"), (F.col("id") * 7 % 31).cast("double").alias("y"))
+    got = {r["id"]: r["prediction"] for r in lazy.ibk(df, "y", ["g"], k=3).transform(df).collect()}
+    means = {r["g"]: r["m"] for r in df.groupBy("g").agg(F.avg("y").alias("m")).collect()}
+    assert len(got) == 200 and all(abs(v - means[k % 10]) < 1e-9 for k, v in got.items())
+
+
+@pytest.mark.parametrize("target", ["y", "c"])
+def test_neighbours_of_more_rows_than_are_held(spark, monkeypatch, target):
+    from millrace.learn import lazy
+
+    rows = [(i, None if i % 17 == 0 else float(i * 13 % 40), None if i % 19 == 0 else "abc"[i % 3], float(i % 11), "pq"[i * i % 7 % 2]) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, x double, a string, y double, c string")
+    for k, weighting in ((1, "none"), (6, "inverse")):
+        show = lambda m: {r["id"]: r["prediction"] if m.classes is None else tuple(r["distribution"]) for r in m.transform(df).collect()}
+        want = show(lazy.ibk(df, target, ["x", "a"], k=k, weighting=weighting))
+        with monkeypatch.context() as few:
+            few.setattr(lazy, "MOST_KEPT", 40)
+            model = lazy.ibk(df, target, ["x", "a"], k=k, weighting=weighting)
+            assert model.kept.held is not None
+            got = show(model)
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+    plain = lazy.Kept(df, target, ["x", "a"], None)  # every row by itself
+    x = df.select("x", "a").toPandas()
+    d = plain.distances(x)
+    import numpy as np
+
+    w = (d <= np.sort(d, axis=1)[:, 5][:, None] + 1e-12) / (d + 0.001)
+    brute = w @ plain.y / w.sum(1, keepdims=plain.classes is not None)
+    assert all(want[i] == pytest.approx(brute[i], abs=1e-9) for i in range(150))
