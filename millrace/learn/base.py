@@ -88,7 +88,7 @@ class Table:
         return np.column_stack([np.zeros((len(x), 0)), *[x[a].to_numpy(float, na_value=np.nan) for a in self.numbers]])
 
     def codes(self, x: pd.DataFrame) -> np.ndarray:
-        made = [np.array([self.places[a].get(v, -1) for v in x[a]], np.int64) for a in self.domains]
+        made = [x[a].map(self.places[a]).fillna(-1).to_numpy(np.int64) for a in self.domains]
         return np.column_stack([np.zeros((len(x), 0), np.int64), *made])
 
     @property
@@ -174,9 +174,8 @@ def softmax(logs: np.ndarray) -> np.ndarray:
 
 
 def one_hot(y: pd.Series, classes: list[str]) -> np.ndarray:
-    place = {c: i for i, c in enumerate(classes)}
     out = np.zeros((len(y), len(classes)))
-    out[np.arange(len(y)), [place[v] for v in y]] = 1
+    out[np.arange(len(y)), pd.Series(y).map({c: i for i, c in enumerate(classes)}).to_numpy(np.int64)] = 1
     return out
 
 

@@ -2,7 +2,7 @@
 
 Attributes become codes: a nominal one the place of its value, a number how many of its cuts lie below it.
 Cuts are the middles between distinct values where there are at most ``bins`` of them, else quantiles.
-Each pass adds up, for the open nodes of all trees at once, the classes (or the sums of the target) by
+Rows that are equal are kept once, with their number in ``_n``. Each pass adds up, for the open nodes of all trees at once, the classes (or the sums of the target) by
 attribute and code; the driver chooses splits from them. A node of at most ``local_rows`` rows is finished
 by the task that gets them, from the same histograms by the same rule. A row without a value goes down
 the heaviest branch in fitting; a scored one goes down all, by their weights.
@@ -235,19 +235,19 @@ def coding(df: DataFrame, attributes: list[str], bins: int = 256) -> Coding:
 
 
 def grow(rows: DataFrame, c: Coding, value_of, width: int, rule: Rule, trees: int = 1, local_rows: int = 20_000, drawn=None) -> list[Node]:
-    """Trees over ``rows``. ``value_of(table)`` gives what a row adds to a histogram (``width`` numbers); ``drawn(table, tree)``
-    the weight of each row in each tree, 1 without."""
+    """Trees over ``rows``. ``value_of(table)`` gives what a row adds to a histogram (``width`` numbers), ``_n`` times where there is
+    that column; ``drawn(table, tree)`` how often each row counts in each tree, ``_n`` times without."""
     sizes, numeric, width_all = c.sizes, c.numeric, sum(c.sizes) * width
     roots: list[Node | None] = [None] * trees
 
     def load(t: pd.DataFrame, k: int):
-        codes, value = c.codes(t), value_of(t)
-        return codes, value if drawn is None else value * drawn(t, k)[:, None]
+        return c.codes(t), value_of(t if drawn is None else t.assign(_n=drawn(t, k)))
 
     def sums(t: pd.DataFrame):
         for k in range(trees):
-            yield str(k), load(t, k)[1].sum(0)
-            yield f"n{k}", np.array([float((load(t, k)[1][:, 0] != 0).sum() if drawn is not None else len(t))])
+            value = load(t, k)[1]
+            yield str(k), value.sum(0)
+            yield f"n{k}", np.array([float((value != 0).any(1).sum() if drawn is not None else len(t))])
 
     first = gather(rows, sums)
     sent: dict[tuple[int, str], float] = {}
@@ -442,13 +442,16 @@ class TreeModel(Model):
 
 
 def _values(classes: list[str] | None):
+    w = lambda t: t["_w"] * t["_n"] if "_n" in t else t["_w"]
     if classes is None:
-        return lambda t: np.column_stack([t["_w"], t["_w"] * t["_y"], t["_w"] * t["_y"] ** 2]), 3
-    return lambda t: one_hot(t["_y"], classes) * t["_w"].to_numpy()[:, None], len(classes)
+        return lambda t: np.column_stack([w(t), w(t) * t["_y"], w(t) * t["_y"] ** 2]), 3
+    return lambda t: one_hot(t["_y"], classes) * w(t).to_numpy()[:, None], len(classes)
 
 
-def _prepared(df: DataFrame, target: str, attributes: list[str], weight: str | None, bins: int):
-    rows = stored(frame(df, target, attributes, weight), "training")
+def _prepared(df: DataFrame, target: str, attributes: list[str], weight: str | None, bins: int, once: bool = True):
+    """The training rows, equal ones ``once`` with their number, their coding and classes."""
+    rows = frame(df, target, attributes, weight)
+    rows = stored(rows.groupBy(*[F.col(f"`{a}`") for a in rows.columns]).agg(F.count("*").cast("double").alias("_n")) if once else rows, "training")
     classes = None if dict(rows.dtypes)["_y"] == "double" else class_values(rows, "_y")
     return rows, coding(df, attributes, bins), classes
 
@@ -491,16 +494,32 @@ def random_tree(df, target, attributes, weight=None, take: int = 0, seed: int =
     return fit_tree(df, target, attributes, weight, Rule("gain", True, least, take=take or int(np.log2(len(attributes)) + 1), seed=seed), **options)
 
 
+#: Of more equal rows than these the draws are one Poisson count.
+MOST_RANKS = 64
+
+
 def draws(seed: int):
-    """How often each row is drawn into each tree: Poisson counts by hash of the row and the tree, the same wherever it lies."""
+    """How often each row is drawn into each tree: Poisson counts by hash of the row and the tree, the same wherever it lies;
+    of ``_n`` equal rows their sum."""
 
     def drawn(t: pd.DataFrame, tree: int) -> np.ndarray:
-        h = pd.util.hash_pandas_object(t.drop(columns=["_w"]), index=False).to_numpy()
-        rank = t.groupby(h).cumcount().to_numpy()
-        u = ((h ^ np.uint64((seed * 1_000_003 + tree * 7919 + 1) * 0x9E3779B97F4A7C15 % 2**64)) + rank.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).astype(np.uint64)
-        u = (u ^ (u >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        u = ((u ^ (u >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(11)
-        return np.searchsorted(np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720)]), u / 2.0**53).astype(float)
+        h = pd.util.hash_pandas_object(t.drop(columns=["_w", "_n"], errors="ignore"), index=False).to_numpy()
+        h = h + (t["_w"].to_numpy(float).view(np.uint64) - np.ones(1).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        n = t["_n"].to_numpy(float) if "_n" in t else np.ones(len(t))
+        start = h ^ np.uint64((seed * 1_000_003 + tree * 7919 + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        table, out = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720)]), np.zeros(len(t))
+        here = np.flatnonzero(n <= MOST_RANKS)
+        for rank in range(MOST_RANKS):
+            here = here[n[here] > rank]
+            if not len(here):
+                break
+            u = start[here] + np.uint64(rank * 0xD6E8FEB86659FD93 % 2**64)
+            u = (u ^ (u >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+            u = ((u ^ (u >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(11)
+            out[here] += np.searchsorted(table, u / 2.0**53)
+        for i in np.flatnonzero(n > MOST_RANKS):
+            out[i] = np.random.default_rng(int(start[i])).poisson(n[i])
+        return out
 
     return drawn
 
@@ -512,7 +531,7 @@ def random_forest(df, target, attributes, weight=None, trees: int = 10, take: in
 
 
 def _parted(rows: DataFrame, folds: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    h = F.pmod(F.xxhash64(*rows.columns, F.lit(seed)), F.lit(folds))
+    h = F.pmod(F.xxhash64(*[F.col(f"`{a}`") for a in rows.columns if a != "_n"], F.lit(seed)), F.lit(folds))
     return rows.where(h != 0), rows.where(h == 0)
 
 
@@ -549,7 +568,7 @@ def _refill(roots: list[Node], rows: DataFrame, c: Coding, value_of) -> None:
 def with_leaf_models(df, target, attributes, weight, fit_groups, rule: Rule, confidence: float = 0.0, bins: int = 256, local_rows: int = 20_000) -> TreeModel:
     """A tree whose leaves have models: ``fit_groups(rows, group, count)`` fits one for each number that ``group(table)`` gives
     to rows, all of them in the same passes."""
-    rows, c, classes = _prepared(df, target, attributes, weight, bins)
+    rows, c, classes = _prepared(df, target, attributes, weight, bins, once=False)
     if classes is None:
         rule.criterion = "variance"
     value_of, width = _values(classes)

@@ -61,3 +61,40 @@ def test_neighbours_of_more_rows_than_are_held(spark, monkeypatch, target):
     w = (d <= np.sort(d, axis=1)[:, 5][:, None] + 1e-12) / (d + 0.001)
     brute = w @ plain.y / w.sum(1, keepdims=plain.classes is not None)
     assert all(want[i] == pytest.approx(brute[i], abs=1e-9) for i in range(150))
+
+
+def _leaves(model):
+    from millrace.learn.trees import nodes_of
+
+    return [(p, n.attribute, n.kind, n.value, n.dist.tolist()) for p, n in nodes_of(model.roots[0])]
+
+
+def test_trees_keep_equal_rows_once(spark, monkeypatch):
+    from millrace.learn import trees
+
+    seen, grow = [], trees.grow
+    monkeypatch.setattr(trees, "grow", lambda rows, *a, **k: seen.append(rows.count()) or grow(rows, *a, **k))
+    one = spark.range(60).select((F.col("id") % 5).cast("double").alias("x"), F.when(F.col("id") % 3 > 0, "p").otherwise("q").alias("a"), F.when(F.col("id") * F.col("id") % 7 > 2, "yes").otherwise("no").alias("y"))
+    many = one.crossJoin(spark.range(50)).drop("id")
+    different = one.distinct().count()
+    schemes = [trees.j48, trees.random_tree, trees.rep_tree]
+    models = [s(many, "y", ["x", "a"]) for s in schemes]
+    assert max(seen) <= different
+    prepared = trees._prepared
+    monkeypatch.setattr(trees, "_prepared", lambda *a: prepared(*a, once=False))
+    assert [_leaves(m) for m in models] == [_leaves(s(many, "y", ["x", "a"])) for s in schemes]
+
+
+def test_draws_of_equal_rows_are_those_of_each(spark):
+    import numpy as np
+    import pandas as pd
+
+    from millrace.learn import trees
+
+    drawn = trees.draws(3)
+    rows = pd.DataFrame({"x": np.arange(2000.0), "_y": "u", "_w": 1.0, "_n": 40.0})
+    some = drawn(rows, 1)
+    assert abs(some.mean() - 40) < 1 and abs(some.var() - 40) < 6
+    large = drawn(rows.assign(_n=5000.0), 1)
+    assert abs(large.mean() - 5000) < 10 and abs(large.var() / 5000 - 1) < 0.2
+    assert (drawn(rows.iloc[::-1], 1)[::-1] == some).all()  # wherever they lie
