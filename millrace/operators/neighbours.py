@@ -9,11 +9,12 @@ which other cells it must look at. The result equals that of a search over all r
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.similarity import best_of, coordinates, distances
+from millrace.operators.similarity import _ranges, best_of, coordinates, distances
 from millrace.plans.storage import stored
 
 Rule = tuple
@@ -221,3 +222,120 @@ class Cells:
         more = bound <= limit[:, None] * (1 + 1e-9) + 1e-12
         more[np.arange(len(t)), home] = False
         return near.unionAll(self._visit(targets, [np.flatnonzero(more[:, c]) for c in range(len(self.cells))], k, schema))
+
+
+def _halves(x, box):
+    """At the median of the widest dimension, or below the greatest value where that is the median: both halves have rows."""
+    d = _widest(x)
+    v = float(np.median(x[:, d]))
+    return ("side", d, v if v < x[:, d].max() else float(x[x[:, d] < x[:, d].max(), d].max()))
+
+
+def _cell_of(x: np.ndarray, nodes: list) -> np.ndarray:
+    out = np.zeros(len(x), np.int64)
+    waiting = [(0, np.arange(len(x)))]
+    while waiting:
+        k, here = waiting.pop()
+        if not len(here) or not nodes or nodes[k] is None:
+            out[here] = k
+            continue
+        rule, a, b = nodes[k]
+        first = _first(rule, x[here])
+        waiting += [(a, here[first]), (b, here[~first])]
+    return out
+
+
+def _best(t: np.ndarray, x: np.ndarray, ids: list, k: int, own: bool):
+    """Of each target the ``k`` first ``(distance, id)`` of points with some ids each, and the distance of the ``k``-th point.
+    ``own``: targets are the points, and not their own neighbours."""
+    sizes = np.array([len(i) for i in ids], np.int64)
+    codes, names = pd.factorize(np.concatenate(ids) if len(ids) else np.zeros(0), sort=True)
+    start, near, who, reach = np.cumsum(sizes) - sizes, [], [], np.full(len(t), np.inf)
+    for a in range(0, len(t), 256):
+        d = distances(t[a : a + 256], x, np.ones(t.shape[1]))
+        n = np.arange(len(d))
+        if own:
+            d[n, a + n] = np.inf
+        if k <= d.shape[1]:
+            reach[a : a + 256] = np.partition(d, k - 1, axis=1)[:, k - 1]
+        i, j = np.nonzero(np.isfinite(d) & (d <= reach[a : a + 256, None] + 1e-9))
+        times = sizes[j]
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        code, far, of = codes[np.repeat(start[j], times) + within], np.repeat(d[i, j].round(9), times), np.repeat(i, times)
+        order = np.lexsort((code, far, of))
+        code, far, of = code[order], far[order], of[order]
+        first = np.searchsorted(of, n)
+        keep = np.arange(len(of)) - first[of] < k
+        code, far, ends = code[keep], far[keep], np.searchsorted(of[keep], np.arange(len(d) + 1))
+        near += [far[p:q].tolist() for p, q in zip(ends, ends[1:])]
+        who += [names[code[p:q]].tolist() for p, q in zip(ends, ends[1:])]
+    return near, who, reach
+
+
+#: Points that shape the cells of ``all_nearest``.
+MOST_SHAPING = 200_000
+
+
+def all_nearest(rows: DataFrame, columns: list[str], k: int, key: str, leaf: int = 512) -> DataFrame:
+    """``target, near``: for every row the keys of its ``k`` nearest other rows, the first by distance to nine places and key.
+
+    Distances are Euclidean over columns divided by their ranges; a row with a missing cell has none and is none's.
+    Equal rows are searched for once, with the first ``k + 1`` of their keys. Points lie in boxes of about ``leaf``, shaped
+    by a bounded sample; each is compared with its own box and then with those that its ``k``-th distance reaches. No table
+    comes to one task, and a box is compared with few others unless the columns are many.
+    """
+    kind, names = dict(rows.dtypes)[key], [f"x{i}" for i in range(len(columns))]
+    ends = _ranges(rows, columns)
+    width = np.array([(ends[f"{c}|b"] or 0) - (ends[f"{c}|a"] or 0) or 1.0 for c in columns], float)
+    held = rows.select(F.col(key).alias("id"), *[(F.col(c).cast("double") / float(w)).alias(x) for c, w, x in zip(columns, width, names)]).na.drop(subset=names)
+    place = F.row_number().over(Window.partitionBy(*names).orderBy("id"))
+    firsts = held.withColumn("place", place).where(F.col("place") <= k + 1)
+    points = stored(firsts.groupBy(*names).agg(F.array_sort(F.collect_list("id")).alias("ids")), "points")
+    n = points.count()
+    sample = points.where(F.pmod(F.xxhash64(*names), F.lit(max(n, 1))) < MOST_SHAPING).select("ids", *names)
+    x = coordinates(sample.toArrow())
+    nodes = top_down(x, max(1, int(leaf * min(1.0, len(x) / max(n, 1)))), _halves)
+
+    def settle(batches):
+        for batch in batches:
+            at = _cell_of(coordinates(pa.table([batch.column(0), *batch.columns[:-1]], ["", *names])), nodes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], [*batch.schema.names, "cell"])
+
+    fields = ", ".join(f"{x} double" for x in names)
+    homes = stored(points.mapInArrow(settle, f"{fields}, ids array<{kind}>, cell long"), "homes")
+    boxes = homes.groupBy("cell").agg(*[f(x) for f in (F.min, F.max) for x in names]).orderBy("cell").toPandas().to_numpy(float)  # one row a cell
+    cells, low, high = boxes[:, 0].astype(np.int64), boxes[:, 1 : 1 + len(names)], boxes[:, 1 + len(names) :]
+
+    def at_home(t: pd.DataFrame) -> pd.DataFrame:
+        x, me = t[names].to_numpy(float), int(np.searchsorted(cells, t["cell"].iloc[0]))
+        near, who, reach = _best(x, x, t["ids"].tolist(), k, True)
+        search = np.array([len(i) <= k for i in t["ids"]])  # others are near enough to themselves
+        limit = np.where(search, reach * (1 + 1e-9) + 1e-8, -1)
+        off = np.maximum(np.maximum(low - high[me], low[me] - high), 0)
+        maybe = np.flatnonzero(np.sqrt((off**2).sum(1)) <= limit.max(initial=-1))
+        maybe = maybe[maybe != me]
+        visit = [[] for _ in range(len(t))]
+        for c in maybe:
+            off = np.maximum(np.maximum(low[c] - x, x - high[c]), 0)
+            for i in np.flatnonzero(np.sqrt((off**2).sum(1)) <= limit):
+                visit[i].append(int(cells[c]))
+        return t.drop(columns="cell").assign(near=near, who=who, visit=visit, first=[i[0] for i in t["ids"]])
+
+    lists = f"near array<double>, who array<{kind}>"
+    home = stored(homes.groupBy("cell").applyInPandas(at_home, f"{fields}, ids array<{kind}>, {lists}, visit array<long>, first {kind}"), "home")
+
+    def on_visit(t: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        if not len(t) or not len(there):
+            return pd.DataFrame({"first": [], "near": [], "who": []}, dtype=object)
+        near, who, _ = _best(t[names].to_numpy(float), there[names].to_numpy(float), there["ids"].tolist(), k, False)
+        return pd.DataFrame({"first": t["first"], "near": near, "who": who})
+
+    visits = home.select("first", *names, F.explode("visit").alias("cell"))
+    away = visits.groupBy("cell").cogroup(homes.groupBy("cell")).applyInPandas(on_visit, f"first {kind}, {lists}")
+    pairs = F.arrays_zip("near", "who")
+    found = home.select("first", pairs.alias("p")).unionAll(away.select("first", pairs.alias("p")))
+    found = found.groupBy("first").agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, k).alias("p"))
+    found = found.join(home.select("first", "ids"), "first").select("first", F.concat(F.transform("ids", lambda i: F.struct(F.lit(0.0).alias("near"), i.alias("who"))), "p").alias("p"))
+    every = held.join(points.select(*names, F.get("ids", F.lit(0)).alias("first")), names).select(F.col("id").alias("target"), "first")
+    ranked = F.array_sort(F.filter("p", lambda p: p["who"] != F.col("target")))
+    return every.join(found, "first").select("target", F.transform(F.slice(ranked, 1, k), lambda p: p["who"]).alias("near"))

@@ -131,9 +131,9 @@ def smote(df: DataFrame, target: str, key: str, numbers: list[str], nominals: li
 
     A new row's neighbour and place on the line are drawn by hash. Whole hundreds are made of every
     row, the rest of the first rows by hash. The new rows' keys are missing. Nominal cells differ
-    by 0 or 1 in the distance. The neighbours come from blocks of products, see ``nearest``.
+    by 0 or 1 in the distance. The neighbours of all rows come from boxes, see ``all_nearest``.
     """
-    from millrace.operators.similarity import nearest
+    from millrace.operators.neighbours import all_nearest
 
     if value is None:
         rarest = df.where(F.col(target).isNotNull()).groupBy(target).count().orderBy("count", target).first()
@@ -145,9 +145,7 @@ def smote(df: DataFrame, target: str, key: str, numbers: list[str], nominals: li
     domains = {c: [r[0] for r in rows.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).collect()] for c in nominals}
     hot = {c: [free(df, f"_{c}_{i}")[0] for i in range(len(domains[c]))] for c in nominals}
     flat = rows.select(key, *numbers, *[F.when(F.col(c) == v, 2**-0.5).otherwise(0.0).alias(h) for c in nominals for h, v in zip(hot[c], domains[c])])
-    found = nearest(flat, flat, [*numbers, *[h for c in nominals for h in hot[c]]], k, key, key)
-    ordered = F.slice(F.array_sort(F.collect_list(F.struct("distance", F.col("neighbour")))), 1, k)
-    near = found.groupBy("target").agg(F.transform(ordered, lambda x: x["neighbour"]).alias("near"))
+    near = stored(all_nearest(flat, [*numbers, *[h for c in nominals for h in hot[c]]], k, key).where(F.size("near") > 0), "near")
     n = rows.count()
     whole, rest = int(percent // 100), int(n * (percent % 100) / 100)
     numbered_rows = _shuffled(rows, seed, [key], "_millrace_place")
@@ -161,7 +159,7 @@ def smote(df: DataFrame, target: str, key: str, numbers: list[str], nominals: li
     between = {c: (F.col(c) + (F.col(f"_millrace_{c}") - F.col(c)) * u(2)).cast(dict(df.dtypes)[c]) for c in numbers}
     made = made.withColumns(between)
     for c in nominals:  # votes of the row and its neighbours
-        votes = draws.select(key, F.explode(F.concat(F.array(F.col(key)), "near")).alias("v")).distinct().join(rows.select(F.col(key).alias("v"), F.col(c).alias("_x")), "v")
+        votes = draws.where("_millrace_draw = 1").select(key, F.explode(F.concat(F.array(F.col(key)), "near")).alias("v")).join(rows.select(F.col(key).alias("v"), F.col(c).alias("_x")), "v")
         top = votes.groupBy(key, "_x").count().groupBy(key).agg(F.min(F.struct((-F.col("count")).alias("n"), "_x")).alias("b")).select(F.col(key).alias("_k"), F.col("b._x").alias(codes[c]))
         made = made.join(top, F.col(key) == F.col("_k")).drop("_k").withColumn(c, F.col(codes[c]))
     made = made.withColumn(key, F.lit(None).cast(dict(df.dtypes)[key]))

@@ -98,3 +98,37 @@ def test_draws_of_equal_rows_are_those_of_each(spark):
     large = drawn(rows.assign(_n=5000.0), 1)
     assert abs(large.mean() - 5000) < 10 and abs(large.var() / 5000 - 1) < 0.2
     assert (drawn(rows.iloc[::-1], 1)[::-1] == some).all()  # wherever they lie
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_all_nearest_is_that_of_all_pairs(spark, kind):
+    import numpy as np
+
+    from millrace.operators.neighbours import all_nearest
+
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(0, 12, 400) / 1.0, rng.normal(size=400).round(1), rng.integers(0, 2, 400) * 0.5])
+    x[100:130] = x[100]  # more copies than neighbours
+    rows = [(i if kind == "bigint" else f"k{i}", *(None if i % 97 == 0 and c == 1 else float(v) for c, v in enumerate(r))) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, f"id {kind}, a double, b double, c double")
+    known = [r for r in rows if None not in r]
+    p = np.array([r[1:] for r in known])
+    u = p / (p.max(0) - p.min(0))
+    d = np.sqrt(((u[:, None] - u[None]) ** 2).sum(2)).round(9)
+    want = {known[i][0]: [q for _, q in sorted((d[i, j], known[j][0]) for j in range(len(known)) if j != i)[:5]] for i in range(len(known))}
+    for leaf in (16, 512):
+        got = {r["target"]: r["near"] for r in all_nearest(df, ["a", "b", "c"], 5, "id", leaf=leaf).collect()}
+        assert got == want
+
+
+def test_smote_searches_without_all_pairs(spark, monkeypatch):
+    from millrace.operators import rows as R
+    from millrace.operators import similarity
+
+    def all_pairs(*a, **k):
+        raise AssertionError("every row is compared with every row")
+
+    monkeypatch.setattr(similarity, "nearest", all_pairs)
+    df = spark.range(90).select("id", F.when(F.col("id") % 3 == 0, "p").otherwise("q").alias("y"), (F.col("id") * 7 % 20).cast("double").alias("v"), F.when(F.col("id") % 2 == 0, "m").otherwise("n").alias("a"))
+    made = R.smote(df, "y", "id", ["v"], ["a"], 5, 150).where("id is null").collect()
+    assert len(made) == 45 and all(r["y"] == "p" and 0 <= r["v"] <= 19 and r["a"] in "mn" for r in made)
