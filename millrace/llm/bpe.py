@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from millrace.llm.chunks import ChunkCache
 _NONE = np.int64(1) << 60
 #: Fixed value: the split pattern of this family of byte-level vocabularies.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Signs that make one piece of their own behind a word, since none of them begins a contraction.
+_SIGNS = ".,!?;:%*&$#|"
 
 
 def _byte_alphabet() -> list[str]:
@@ -35,7 +38,7 @@ def _byte_alphabet() -> list[str]:
 class SegmentTreeBPE:
     """A byte-level BPE vocabulary from a tokenizers JSON file; no code of that library runs."""
 
-    def __init__(self, path: str, bound: int = 200_000):
+    def __init__(self, path: str, bound: int = 400_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -58,7 +61,8 @@ class SegmentTreeBPE:
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.cache = ChunkCache(self._encode_chunks, bound)
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, tuple[str, bytes]] = {}
+        self.names = {i: str(i) for i in self.bytes_of}
         self.bound = bound
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -125,26 +129,38 @@ class SegmentTreeBPE:
             live = live[tree[live, 1] < _NONE]
         symbols = symbols[:, :width]
         kept = symbols >= 0
-        flat, ends = symbols[kept], np.cumsum(kept.sum(1))
-        for place, ids in zip(places.tolist(), np.split(flat, ends[:-1])):
-            out[place] = ids
+        flat, ends = symbols[kept], np.cumsum(kept.sum(1)).tolist()
+        for place, at, end in zip(places.tolist(), [0, *ends], ends):
+            out[place] = flat[at:end]
 
-    def encode_pieces(self, pieces: list[str]) -> None:
-        """Puts the ids of all pieces into the table of known pieces."""
+    def encode_pieces(self, pieces: Iterable[str]) -> None:
+        """Puts all pieces into the table of known ones: their ids joined by commas, and the bytes that these decode to."""
         new = list(set(pieces).difference(self.pieces))
+        spelt, known, names = self.bytes_of, self.pieces, self.names
         for piece, ids in zip(new, self.merge_all([p.encode("utf-8", "surrogatepass") for p in new])):
-            self.pieces[piece] = tuple(ids.tolist())
+            ids = ids.tolist()
+            known[piece] = (names[ids[0]], spelt[ids[0]]) if len(ids) == 1 else (",".join([names[i] for i in ids]), b"".join([spelt[i] for i in ids]))
+
+    def _pieces_of(self, chunk: str) -> list[str]:
+        """The pieces of a chunk behind its space: a word of Latin letters and the signs behind it need no pattern."""
+        base = chunk.rstrip(_SIGNS)
+        if base.isalpha() and (base.isascii() or max(base) <= "\u00ff"):
+            return [" " + base, chunk[len(base) :]] if len(base) < len(chunk) else [" " + base]
+        return self.split.findall(" " + chunk)
 
     def _encode_chunks(self, chunks: list[str], heads: list[str]) -> tuple[list, list]:
         """Per chunk its ids joined by commas and the bytes they decode to."""
         if len(self.pieces) > self.bound:
             self.pieces = {}
-        found = [self.split.findall(" " + x) for x in chunks] + [self.split.findall(x) for x in heads]
-        self.encode_pieces([p for ps in found for p in ps])
+        found = [*map(self._pieces_of, chunks), *map(self.split.findall, heads)]
+        self.encode_pieces(chain.from_iterable(found))
         known, values = self.pieces, []
         for ps in found:
-            ids = [i for p in ps for i in known[p]]
-            values.append((",".join(map(str, ids)), b"".join([self.bytes_of[i] for i in ids])))
+            if len(ps) == 1:
+                values.append(known[ps[0]])
+            else:
+                got = [known[p] for p in ps]
+                values.append((",".join([g[0] for g in got]), b"".join([g[1] for g in got])))
         return values[: len(chunks)], values[len(chunks) :]
 
     def encode_decode(self, texts: list[str], at_once: int = 400) -> Iterator[tuple[str, str]]:
