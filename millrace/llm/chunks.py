@@ -46,17 +46,14 @@ class ChunkCache:
                 missing.update(dict.fromkeys(names))
                 holes.append((row, at, names))
             rows.append(row)
-        if old:
-            kept = old.keys() & missing.keys()
-            for x in kept:
-                young[x] = old[x]
-                del missing[x]
-        new = list(missing)
+        kept = {x: old[x] for x in old.keys() & missing.keys()} if old else {}
+        new = [x for x in missing if x not in kept] if kept else list(missing)
         got, first = self.encode(new, heads)
-        young.update(zip(new, got))
+        kept.update(zip(new, got))
+        young.update(kept)
         for row, at, names in holes:
             for i, x in zip(at, names):
-                row[i] = young[x]
+                row[i] = kept[x]
         for row, head in zip(rows, first):
             row[0] = head
         return rows
@@ -81,7 +78,9 @@ class LibraryEncoder:
         self.model = self.tokenizer.model
         self.by_word = any(t.endswith("</w>") for t in self.tokenizer.get_vocab())
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.stand_in = dict(zip([b for b in range(256) if b not in shown], range(256, 512)))
+        hidden = iter(range(256, 512))
+        self.shown = "".join([chr(b) if b in shown else chr(next(hidden)) for b in range(256)])
+        self.four = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
         self.tails = {"": b""}
         self.cache = ChunkCache(self._encode, bound)
 
@@ -89,9 +88,9 @@ class LibraryEncoder:
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _encode(self, chunks: list[str], heads: list[str]) -> tuple[list[bytes], list[bytes]]:
-        out: dict[str, bytes] = {}
-        rest, tails, by_word, tokenize = [], self.tails, self.by_word, self.model.tokenize
-        for chunk in chunks:
+        out: list = [None] * len(chunks)
+        rest, tails, by_word, tokenize, four, shown = [], self.tails, self.by_word, self.model.tokenize, self.four, self.shown
+        for i, chunk in enumerate(chunks):
             base = chunk.rstrip(self._TAIL)
             ascii_only = base.isascii()
             if base.isalpha() and (ascii_only or max(base) <= "ÿ"):
@@ -101,17 +100,18 @@ class LibraryEncoder:
                 if by_word:
                     base = base.lower()
                 if not ascii_only:
-                    base = base.encode().decode("latin-1").translate(self.stand_in)
+                    base = base.encode().decode("latin-1").translate(shown)
                 ids = tokenize(base if by_word else "Ġ" + base)
-                out[chunk] = array("I", [t.id for t in ids]).tobytes() + tails[tail]
+                out[i] = (four[ids[0].id] if len(ids) == 1 else b"".join([four[t.id] for t in ids])) + tails[tail]
             else:
-                rest.append(chunk)
+                rest.append(i)
         if len(tails) > 10_000:
             self.tails = {"": b""}
-        singly = self.tokenizer.encode_batch_fast([" " + x for x in rest] + heads, add_special_tokens=False)
+        singly = self.tokenizer.encode_batch_fast([" " + chunks[i] for i in rest] + heads, add_special_tokens=False)
         packed = [array("I", e.ids).tobytes() for e in singly]
-        out.update(zip(rest, packed))
-        return [out[x] for x in chunks], packed[len(rest) :]
+        for i, ids in zip(rest, packed):
+            out[i] = ids
+        return out, packed[len(rest) :]
 
     def packed(self, texts: list[str], at_once: int = 400):
         """Yields the packed ids of each text."""
