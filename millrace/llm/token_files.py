@@ -15,8 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.chunks import library_encoder
-from millrace.llm.common import scratch
+from millrace.llm.common import scratch, tidy
+from millrace.llm.pieces import piece_encoder, text_slices
 
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, part int, part_start long"
 
@@ -39,13 +39,10 @@ def write_token_files(
     """
 
     def run(batches):
-        encoder, part, start = library_encoder(vocabulary), TaskContext.get().partitionId(), 0
-        tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            packed = [b + tail for b in encoder.packed(batch.column(1).to_pylist())]
-            counts = np.array([len(b) // 4 for b in packed], np.int64)
+        encoder, part, start = piece_encoder(vocabulary), TaskContext.get().partitionId(), 0
+        for batch in (x for whole in batches for x in text_slices(whole, 1)):
+            values, counts = encoder.ids(batch.column(1), end_id)
             offsets = np.concatenate([[0], np.cumsum(counts)])
-            values = np.frombuffer(b"".join(packed), "<i4")
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -64,7 +61,7 @@ def write_token_files(
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     )
     (
-        ordered.mapInArrow(run, SCHEMA)
+        ordered.mapInArrow(tidy(run), SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.row.index.stride", str(row_group))
