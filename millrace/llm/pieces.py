@@ -4,8 +4,8 @@ A text is cut before every space that a non-space follows, as in ``chunks``. For
 it is also cut between an ASCII letter and a sign, and after a single line break between a visible ASCII
 character and an ASCII letter. No token crosses such a cut, so the ids of a text are the ids of its
 pieces in order. Pieces of at most 15 bytes are compared as two whole numbers and their ids kept in
-tables of a bounded size; longer ones are encoded once a block. What is kept changes the speed and
-never a result.
+tables of a bounded size, those of up to 64 bytes in a bounded dictionary; longer ones are encoded once
+a block. What is kept changes the speed and never a result.
 """
 
 from __future__ import annotations
@@ -115,7 +115,7 @@ class PieceEncoder:
     def __init__(self, path: str, bound: int = 1 << 20, block: int = 1 << 16):
         self.library, self.bound, self.block = library_encoder(path), bound, block
         self.inner = not self.library.by_word
-        self.young, self.old = PieceTable(bound), None
+        self.young, self.old, self.longer = PieceTable(bound), None, {}
 
     def ids(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts of ``column``, which has no nulls, each followed by ``end_id``, and how many each has."""
@@ -184,9 +184,14 @@ class PieceEncoder:
             for i in np.flatnonzero(value).tolist():
                 a, n = int(value[i]) >> 8, int(value[i]) & 255
                 found[i] = self.old.pool[a : a + n].tobytes()
+        for i in np.flatnonzero(~keep).tolist():
+            found[i] = self.longer.get(pieces[i])
         todo = [i for i, x in enumerate(found) if x is None]
         for i, x in zip(todo, self._encode([pieces[i] for i in todo])):
             found[i] = x
+        if len(self.longer) > self.bound // 8:
+            self.longer = {}
+        self.longer.update((pieces[i], found[i]) for i in todo if 15 < len(pieces[i]) <= 64)
         count = np.array([len(x) for x in found], np.int64) >> 2
         keep = np.flatnonzero(keep & (count < 256))[: max(0, young.bound - young.n)]
         order = np.concatenate([keep, np.setdiff1d(np.arange(len(pieces)), keep)])

@@ -80,6 +80,29 @@ def test_a_word_is_asked_for_once_whatever_sign_follows(monkeypatch):
     assert not asked and all((x == y).all() for x, y in zip(first, again))
 
 
+def test_longer_words_are_kept_too(monkeypatch):
+    """Words of 16 to 64 bytes are asked for once while there is room, and again after; the ids are the same."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from millrace.llm import pieces, queries
+
+    path = queries.vocabulary("byte_bpe_50k.json")
+    encoder, asked = pieces.PieceEncoder(path, bound=64), []
+    real = encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda x: asked.extend(x) or real(x))
+    words = ["достопримечательность", "internationalisation", "x" * 63, "y" * 64]
+    column = pa.array([" " + w for w in words])
+    want = [i for w in words for i in Tokenizer.from_file(path).encode(" " + w).ids]
+    assert encoder.ids(column)[0].tolist() == want and len(asked) == 4
+    asked.clear()
+    assert encoder.ids(column)[0].tolist() == want and [len(x) for x in asked] == [65]
+    encoder.ids(pa.array([f" {k:020d}" for k in range(200)]))  # more than there is room for
+    for asks in (1, 4, 1):
+        asked.clear()
+        assert encoder.ids(column)[0].tolist() == want and len(asked) == asks
+
+
 def test_text_slices_hold_whole_rows():
     import pyarrow as pa
 
